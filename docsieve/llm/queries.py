@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
-from .common import utf8_bytes
+from . import audio, bpe, mixing, quality_rules, sharding, simhash, warc
+from .common import materialize, utf8_bytes
+
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,13 +28,51 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    stored = materialize(audio.store_media(_table(spark, sf_dir, "documents").select("doc_id", "text")), "media", "zstd")
+    return audio.features(stored).select("doc_id", "n_bytes", "audio.*")
+
+
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measured = quality_rules.signals(_table(spark, sf_dir, "documents")).select("doc_id", "lang", "source", "signals")
+    return quality_rules.judge(materialize(measured, "signals")).drop("lang", "source")
+
+
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).select("doc_id", "token_ids")
+    return bpe.decode(coded, VOCABULARY).select(
+        "doc_id",
+        F.size("token_ids").cast("long").alias("n_tokens"),
+        F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.copies(mixing.sized_documents(_table(spark, sf_dir, "documents")))
     return plan.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"), "source", "copies")
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = warc.archive(_table(spark, sf_dir, "pages"))
+    return warc.records(warc.read_chunks(manifest, with_data=False))
+
+
+def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def queries() -> dict:
-    return {"op1_sharding": op1_sharding, "op5_mixing": op5_mixing}
+    return {
+        "op1_sharding": op1_sharding,
+        "op2_audio": op2_audio,
+        "op3_quality_rules": op3_quality_rules,
+        "op4_bpe": op4_bpe,
+        "op5_mixing": op5_mixing,
+        "op6_warc": op6_warc,
+        "op8_simhash": op8_simhash,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
