@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, mixing, quality_rules, sharding, simhash, warc
-from .common import materialize, utf8_bytes
+from . import audio, bpe, language_model, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity, warc
+from .common import id_remainder, materialize, utf8_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -58,11 +58,32 @@ def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.records(warc.read_chunks(manifest, with_data=False))
 
 
+def _scored(scored: DataFrame, least: float) -> DataFrame:
+    held_out = (id_remainder("doc_id", 5) == 0).alias("held_out")
+    return scored.select("doc_id", held_out, "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.learn(docs, _table(spark, sf_dir, "labels"))
+    return _scored(toxicity.score(docs, model), 0.5)
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(_table(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality_classifier.learn(docs, _table(spark, sf_dir, "labels"))
+    return _scored(quality_classifier.score(docs, model), 0.3)
+
+
+def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.score(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
@@ -71,7 +92,10 @@ def queries() -> dict:
         "op4_bpe": op4_bpe,
         "op5_mixing": op5_mixing,
         "op6_warc": op6_warc,
+        "op7_toxicity": op7_toxicity,
         "op8_simhash": op8_simhash,
+        "op9_quality_classifier": op9_quality_classifier,
+        "op10_language_model": op10_language_model,
     }
 
 
