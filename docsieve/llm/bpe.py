@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .common import fresh, quoted, text_or_empty
 
-#: Matches and words that a Python worker remembers at most before it starts anew.
-MEMORY = 300_000
+#: Matches and words that a Python worker learns before it forgets those not used since it last did.
+MEMORY = 100_000
 
 
 def byte_characters() -> list[str]:
@@ -31,8 +31,32 @@ def byte_characters() -> list[str]:
     return [chr(b if b in plain else next(spare)) for b in range(256)]
 
 
-class ByteBpe:
-    """Encoder and decoder for one rank file (``base64-token rank`` lines).
+class ByteTable:
+    """The decoder for one rank file (``base64-token rank`` lines)."""
+
+    def __init__(self, path: str):
+        with open(path, "rb") as f:
+            pairs = [(base64.b64decode(token), int(rank)) for token, rank in map(bytes.split, f)]
+        self.bytes_of = [b""] * (max(rank for _, rank in pairs) + 1)
+        for token, rank in pairs:
+            self.bytes_of[rank] = token
+
+    def decode(self, ids) -> bytes:
+        return b"".join(map(self.bytes_of.__getitem__, ids))
+
+    def characters(self, ids) -> list[str]:
+        """The text each id completes: a character that several tokens share comes whole with the last of them."""
+        import codecs
+
+        reader = codecs.getincrementaldecoder("utf-8")("replace")
+        out = [reader.decode(self.bytes_of[i]) for i in ids]
+        if rest := reader.decode(b"", final=True):
+            out.append(rest)
+        return out
+
+
+class ByteBpe(ByteTable):
+    """Encoder and decoder.
 
     The library merges the pair whose result has the lowest rank, as the ranks
     ask for: every way to cut a token into two tokens is a merge, in rank order,
@@ -43,27 +67,29 @@ class ByteBpe:
         import regex
         from tokenizers import Tokenizer, models
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, f)}
-        self.bytes_of = [b""] * (max(self.ranks.values()) + 1)
-        for token, rank in self.ranks.items():
-            self.bytes_of[rank] = token
+        super().__init__(path)
+        ranks = {token: rank for rank, token in enumerate(self.bytes_of) if token}
         chars = byte_characters()
-        self.text_of = lambda token: "".join(map(chars.__getitem__, token))
+        text_of = lambda token: "".join(map(chars.__getitem__, token))
         self._map = str.maketrans({chr(b): c for b, c in enumerate(chars)})
         merges = []
         for token in filter(None, self.bytes_of):
             cuts = ((token[:i], token[i:]) for i in range(1, len(token)))
-            merges += ((self.text_of(a), self.text_of(b)) for a, b in sorted((c for c in cuts if c[0] in self.ranks and c[1] in self.ranks), key=lambda c: self.ranks[c[0]]))
-        self.model = Tokenizer(models.BPE(vocab={self.text_of(t): r for t, r in self.ranks.items()}, merges=merges, ignore_merges=True)).model
+            merges += ((text_of(a), text_of(b)) for a, b in sorted((c for c in cuts if c[0] in ranks and c[1] in ranks), key=lambda c: ranks[c[0]]))
+        self.model = Tokenizer(models.BPE(vocab={text_of(t): r for t, r in ranks.items()}, merges=merges, ignore_merges=True)).model
         self.split = regex.compile(pattern).findall
         self.seen: dict[str, bytes] = {}
         self.words: dict[str, bytes | None] = {}
+        self.old_seen, self.old_words = self.seen, self.words
 
     def piece(self, piece: str) -> bytes:
         """Ids of one match of the pattern, as int32 bytes."""
         ids = self.seen.get(piece)
         if ids is None:
+            ids = self.old_seen.get(piece)
+            if ids is not None:
+                self.seen[piece] = ids
+                return ids
             word = piece.encode().decode("latin-1").translate(self._map)  # bytes to characters
             ids = self.seen[piece] = array("i", [t.id for t in self.model.tokenize(word)]).tobytes()
         return ids
@@ -73,7 +99,9 @@ class ByteBpe:
 
     def _word(self, word: str) -> bytes | None:
         """Ids of a space and ``word``, or None where the cut at that space isn't safe."""
-        ids = None if not word or word[0].isspace() or word[-1].isspace() else self._slowly(" " + word)
+        ids = self.old_words.get(word, 0)
+        if ids == 0:
+            ids = None if not word or word[0].isspace() or word[-1].isspace() else self._slowly(" " + word)
         self.words[word] = ids
         return ids
 
@@ -87,8 +115,8 @@ class ByteBpe:
         uses of the space are split as a whole.
         """
         if len(self.words) + len(self.seen) > MEMORY:
-            self.words.clear()
-            self.seen.clear()
+            self.old_seen, self.old_words = self.seen, self.words
+            self.seen, self.words = {}, {}
         first, *words = text.split(" ")
         if not words or not first or first[-1].isspace():
             return self._slowly(text)
@@ -111,19 +139,6 @@ class ByteBpe:
             at += starts
         return out
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.bytes_of.__getitem__, ids))
-
-    def characters(self, ids) -> list[str]:
-        """The text each id completes: a character that several tokens share comes whole with the last of them."""
-        import codecs
-
-        reader = codecs.getincrementaldecoder("utf-8")("replace")
-        out = [reader.decode(self.bytes_of[i]) for i in ids]
-        if rest := reader.decode(b"", final=True):
-            out.append(rest)
-        return out
-
 
 @lru_cache(maxsize=2)
 def coder(path: str, pattern: str) -> ByteBpe:
@@ -131,6 +146,11 @@ def coder(path: str, pattern: str) -> ByteBpe:
     return ByteBpe(path, pattern)
 
 
+@lru_cache(maxsize=2)
+def table(path: str) -> ByteTable:
+    return ByteTable(path)
+
+
 def _known(vocabulary: str, pattern: str | None) -> tuple[str, str]:
     import public_tokenizers
 
@@ -163,12 +183,12 @@ def offsets_column(text: Column, vocabulary: str, pattern: str | None = None) ->
     return spans(text)
 
 
-def decode_column(ids: Column, vocabulary: str, pattern: str | None = None) -> Column:
+def decode_column(ids: Column, vocabulary: str) -> Column:
     """The bytes that an id column stands for."""
 
     @F.pandas_udf("binary")
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = coder(*_known(vocabulary, pattern))
+        own = table(_known(vocabulary, None)[0])
         for rows in batches:
             yield pd.Series([own.decode(x.tolist()) for x in rows], dtype=object)
 
@@ -186,7 +206,7 @@ def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", pattern:
     return out.withColumn(spans, offsets_column(text_or_empty(text_col), vocabulary, pattern)) if offsets else out
 
 
-def decode(docs: DataFrame, vocabulary: str, *, ids_col: str = "token_ids", pattern: str | None = None) -> DataFrame:
+def decode(docs: DataFrame, vocabulary: str, *, ids_col: str = "token_ids") -> DataFrame:
     """``docs`` plus ``decoded`` (binary), the bytes of the ids (null ids: no bytes)."""
     (name,) = fresh(docs, "decoded")
-    return docs.withColumn(name, decode_column(F.coalesce(quoted(ids_col), F.array().cast("array<int>")), vocabulary, pattern))
+    return docs.withColumn(name, decode_column(F.coalesce(quoted(ids_col), F.array().cast("array<int>")), vocabulary))
