@@ -11,17 +11,17 @@ from __future__ import annotations
 
 import base64
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame
 
-from .common import fresh, quoted, text_or_empty
+from .common import fresh, with_fields
 
 #: Matches and words that a Python worker learns before it forgets those not used since it last did.
-MEMORY = 100_000
+MEMORY = 150_000
+#: Bytes of text, or ids, that a worker turns over before it hands rows on.
+SLICE = 2 << 20
 
 
 def byte_characters() -> list[str]:
@@ -72,6 +72,7 @@ class ByteBpe(ByteTable):
         chars = byte_characters()
         text_of = lambda token: "".join(map(chars.__getitem__, token))
         self._map = str.maketrans({chr(b): c for b, c in enumerate(chars)})
+        self.space = chars[0x20]
         merges = []
         for token in filter(None, self.bytes_of):
             cuts = ((token[:i], token[i:]) for i in range(1, len(token)))
@@ -101,7 +102,10 @@ class ByteBpe(ByteTable):
         """Ids of a space and ``word``, or None where the cut at that space isn't safe."""
         ids = self.old_words.get(word, 0)
         if ids == 0:
-            ids = None if not word or word[0].isspace() or word[-1].isspace() else self._slowly(" " + word)
+            if word.isascii() and word.isalpha():  # one match under these patterns, and its bytes are their own characters
+                ids = array("i", [t.id for t in self.model.tokenize(self.space + word)]).tobytes()
+            else:
+                ids = None if not word or word[0].isspace() or word[-1].isspace() else self._slowly(" " + word)
         self.words[word] = ids
         return ids
 
@@ -152,61 +156,120 @@ def table(path: str) -> ByteTable:
 
 
 def _known(vocabulary: str, pattern: str | None) -> tuple[str, str]:
+    """The workers find the file by its name: a path, or a file of the public tokenizers."""
+    import os
+
     import public_tokenizers
 
-    return public_tokenizers.path(vocabulary), pattern or public_tokenizers.PATTERN
+    return vocabulary if os.path.isabs(vocabulary) else public_tokenizers.path(vocabulary), pattern or public_tokenizers.PATTERN
+
 
+def _extended(docs: DataFrame, column: str, start: Callable, **types: str) -> DataFrame:
+    """``docs`` plus new columns. ``start()`` gives, once per task, the function from the
+    values of ``column`` to the Arrow arrays of the new columns.
 
-def encode_column(text: Column, vocabulary: str, pattern: str | None = None) -> Column:
-    """Token ids (array<int>) of a text column; the workers find the file by its name."""
+    Rows go through in slices of about SLICE bytes (a longer value is a slice of
+    its own), so that memory follows neither the batch size nor the table.
+    """
+    schema = with_fields(docs.schema, **types)
+    names, place = schema.names, docs.columns.index(column)
 
-    @F.pandas_udf("array<int>")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def run(batches) -> Iterator:
         import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
 
-        own = coder(*_known(vocabulary, pattern))
-        for texts in batches:
-            yield pd.Series([np.frombuffer(own.encode_bytes(t), dtype=np.int32) for t in texts], dtype=object)
+        work = start()
+        for batch in batches:
+            values = batch.column(place)
+            length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+            sizes = np.cumsum(length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < len(values):
+                done = sizes[first - 1] if first else 0
+                end = max(first + 1, int(np.searchsorted(sizes, done + SLICE, side="right")))
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*part.columns, *work(part.column(place))], names=names)
+                first = end
 
-    return encode(text)
+    return docs.mapInArrow(run, schema)
 
 
-def offsets_column(text: Column, vocabulary: str, pattern: str | None = None) -> Column:
-    """Code-point spans of the tokens, as array<struct<start:int,end:int>>."""
+def _lists(values: list, type_):
+    """An Arrow list array from numpy arrays."""
+    import numpy as np
+    import pyarrow as pa
 
-    @F.pandas_udf("array<struct<start:int,end:int>>")
-    def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = coder(*_known(vocabulary, pattern))
-        for texts in batches:
-            yield pd.Series([[{"start": a, "end": b} for a, b in own.offsets(t)] for t in texts], dtype=object)
+    ends = np.cumsum([0, *map(len, values)]).astype(np.int32)
+    flat = np.concatenate(values) if values else np.empty(0, np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, type_))
 
-    return spans(text)
 
+def _texts(values) -> list[str]:
+    return [x or "" for x in values.to_pylist()]
 
-def decode_column(ids: Column, vocabulary: str) -> Column:
-    """The bytes that an id column stands for."""
 
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own = table(_known(vocabulary, None)[0])
-        for rows in batches:
-            yield pd.Series([own.decode(x.tolist()) for x in rows], dtype=object)
+def _encoded(own: ByteBpe, texts: list[str]) -> list:
+    import numpy as np
 
-    return decode(ids)
+    return [np.frombuffer(own.encode_bytes(t), dtype=np.int32) for t in texts]
 
 
 def encode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", pattern: str | None = None, offsets: bool = False) -> DataFrame:
     """``docs`` plus ``token_ids`` and, if asked for, ``token_offsets``.
 
     Null texts encode like empty ones, to no ids. Names that clash get a
-    leading underscore. Very long texts are encoded whole.
+    leading underscore. Very long texts are encoded whole. ``token_offsets`` are
+    code-point spans (start, end); a token inside a character has that character's span.
     """
     ids, spans = fresh(docs, "token_ids", "token_offsets")
-    out = docs.withColumn(ids, encode_column(text_or_empty(text_col), vocabulary, pattern))
-    return out.withColumn(spans, offsets_column(text_or_empty(text_col), vocabulary, pattern)) if offsets else out
+
+    def start():
+        import pyarrow as pa
+
+        own = coder(*_known(vocabulary, pattern))
+
+        def work(values):
+            texts = _texts(values)
+            out = [_lists(_encoded(own, texts), pa.int32())]
+            if offsets:
+                pair = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+                out.append(pa.array([[{"start": a, "end": b} for a, b in own.offsets(t)] for t in texts], pa.list_(pair)))
+            return out
+
+        return work
+
+    types = {ids: "array<int>"} | ({spans: "array<struct<start:int,end:int>>"} if offsets else {})
+    return _extended(docs, text_col, start, **types)
 
 
 def decode(docs: DataFrame, vocabulary: str, *, ids_col: str = "token_ids") -> DataFrame:
     """``docs`` plus ``decoded`` (binary), the bytes of the ids (null ids: no bytes)."""
     (name,) = fresh(docs, "decoded")
-    return docs.withColumn(name, decode_column(F.coalesce(quoted(ids_col), F.array().cast("array<int>")), vocabulary))
+
+    def start():
+        import pyarrow as pa
+
+        own = table(_known(vocabulary, None)[0])
+        return lambda values: [pa.array([own.decode(x or ()) for x in values.to_pylist()], pa.binary())]
+
+    return _extended(docs, ids_col, start, **{name: "binary"})
+
+
+def encode_and_decode(docs: DataFrame, vocabulary: str, *, text_col: str = "text", pattern: str | None = None) -> DataFrame:
+    """``docs`` plus ``token_ids`` and ``decoded``: :func:`encode`, then :func:`decode`
+    of the ids, in one pass through one worker."""
+    ids, name = fresh(docs, "token_ids", "decoded")
+
+    def start():
+        import pyarrow as pa
+
+        own = coder(*_known(vocabulary, pattern))
+
+        def work(values):
+            coded = _encoded(own, _texts(values))
+            return [_lists(coded, pa.int32()), pa.array([own.decode(x.tolist()) for x in coded], pa.binary())]
+
+        return work
+
+    return _extended(docs, text_col, start, **{ids: "array<int>", name: "binary"})

@@ -39,8 +39,8 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    coded = bpe.encode(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY).select("doc_id", "token_ids")
-    return bpe.decode(coded, VOCABULARY).select(
+    coded = bpe.encode_and_decode(_table(spark, sf_dir, "documents").select("doc_id", "text"), VOCABULARY)
+    return coded.select(
         "doc_id",
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
