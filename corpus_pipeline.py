@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsieve.llm import bpe, mixing, quality_classifier, simhash, toxicity
-from docsieve.llm.common import fresh, materialize, quoted, text_or_empty
+from docsieve.llm.common import fresh, materialize, quoted
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 LEAST_QUALITY, MOST_TOXIC = 0.3, 0.5
@@ -52,8 +52,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and digests of the ids and of the bytes decoded from them."""
-    coded = bpe.encode(docs.select("doc_id", "lang", "source", text_or_empty("text").alias("text")), VOCABULARY).drop("text")
-    return bpe.decode(coded, VOCABULARY).select(
+    return bpe.encode_and_decode(docs.select("doc_id", "lang", "source", "text"), VOCABULARY).select(
         "doc_id",
         "lang",
         "source",
