@@ -11,13 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, shared_dir, text_or_empty, with_fields
+from .common import fresh, materialize, quoted, shared_dir, text_or_empty, with_fields
 
 #: Seed of production runs.
 SEED = 20_011
 #: Cells of the seeded hash; buckets are runs of neighbouring cells, so the
-#: table that maps cells to buckets never has more rows than this.
-CELLS = 1 << 16
+#: table that maps cells to buckets never has more rows than this. Where a cell
+#: would be larger than a bucket, there are more cells, up to MOST_CELLS.
+CELLS, MOST_CELLS = 1 << 16, 1 << 20
 #: Bytes of text that one bucket holds (a task shuffles one bucket at a time).
 BUCKET_BYTES = 16 << 20
 
@@ -39,7 +40,11 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_
     cell, h, bucket, start, total, shard, slot = fresh(docs, "cell", "hash", "bucket", "start", "total", "shard", "slot")
     hashed = docs.withColumn(h, F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col))).withColumn(cell, F.pmod(quoted(h), F.lit(cells)).cast("int"))
 
-    per_cell = hashed.groupBy(cell).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_or_empty(text_col)) + 64).alias("bytes"))
+    per_cell = materialize(hashed.groupBy(cell).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_or_empty(text_col)) + 64).alias("bytes")), "cells")
+    wanted = (per_cell.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes
+    if cells < min(wanted, MOST_CELLS):
+        more = min(MOST_CELLS, 1 << int(wanted).bit_length())
+        return shuffle_to_shards(docs, n_shards, id_col=id_col, text_col=text_col, seed=seed, bucket_bytes=bucket_bytes, cells=more, path=path)
     so_far = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     # One row per cell: at most `cells` rows, the bound that the broadcast rests on.
     places = per_cell.select(

@@ -120,6 +120,9 @@ def fit(rows: list[tuple[str, int]], *, epochs: int = EPOCHS, rate: float = RATE
         rng.normal(0, 0.1, (len(WIDTHS), FILTERS)).astype(np.float32),
         -1.0,
     )
+    if not rows:
+        model.out[:], model.bias = 0, 0.0
+        return model
     for bank in model.filters:  # half of the filters start as detectors of the evidence
         bank[0][[0, HALF], : FILTERS // 2] = 1
     model.out[:, : FILTERS // 2] = 0.2

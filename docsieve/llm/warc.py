@@ -158,7 +158,7 @@ def records_of(raw, chunk: int = CHUNK) -> Iterator[tuple]:
         number = lambda k: int(field[k]) if k in field else None  # noqa: E731, B023
         left, i, sha1 = int(field["Content-Length"]), 0, hashlib.sha1()
         digest, size, kind = field["WARC-Payload-Digest"].removeprefix("sha1:"), number("X-Payload-Length"), field["WARC-Type"]
-        same = (field["WARC-Record-ID"], None if field["X-Page-Id"] == "None" else int(field["X-Page-Id"]), kind, number("X-Refers-To-Page-Id"), digest, size)
+        same = (field["WARC-Record-ID"], number("X-Page-Id"), kind, number("X-Refers-To-Page-Id"), digest, size)
         while True:
             data = stream.take(min(chunk, left))
             sha1.update(data)
