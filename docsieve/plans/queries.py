@@ -77,16 +77,16 @@ def abstention(spark, sf_dir):
     return retrieval.abstain(_table(spark, sf_dir, "benchmark"), _hits(spark, sf_dir), query_id="item_id", prompt="text", guard_terms=GUARD, scope_terms=SCOPE)
 
 
-@query("""WITH q AS (SELECT DISTINCT s_suppkey AS query_id, unnest(regexp_extract_all(lower(r_name || ' ' || n_name), '[a-z0-9]+')) AS term FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey),
+@query("""WITH q AS (SELECT DISTINCT n_nationkey AS query_id, unnest(regexp_extract_all(lower(r_name || ' ' || n_name), '[a-z0-9]+')) AS term FROM nation JOIN region ON r_regionkey = n_regionkey),
 c AS (SELECT DISTINCT c_custkey AS entry_id, unnest(regexp_extract_all(lower(r_name || ' ' || n_name), '[a-z0-9]+')) AS term FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey)
 SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id)::INT AS place
 FROM (SELECT query_id, entry_id, count(*) AS score FROM q JOIN c USING (term) GROUP BY 1, 2) QUALIFY place <= 3""")
 def token_search(spark, sf_dir):
+    """The nations as queries against all customers, by the names of their places."""
     places = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws(" ", "r_name", "n_name").alias("place_name"))
-    suppliers = _table(spark, sf_dir, "supplier").join(places, F.col("s_nationkey") == F.col("n_nationkey"))
     customers = _table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     words = F.regexp_extract_all(F.lower("place_name"), F.lit("[a-z0-9]+"), F.lit(0))
-    return retrieval.overlap_search(suppliers, customers, query_id="s_suppkey", entry_id="c_custkey", tokens=words, limit=3)
+    return retrieval.overlap_search(places, customers, query_id="n_nationkey", entry_id="c_custkey", tokens=words, limit=3)
 
 
 @query("""WITH s AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
