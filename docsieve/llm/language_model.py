@@ -28,6 +28,8 @@ from .common import id_remainder, materialize, quoted, text_or_empty
 FOLDS, DELETED = 10, 1
 #: Tokens of a block, and entries that one counting partition gets about.
 BLOCK, ENTRIES = 1_000_000, 1_500_000
+#: Tokens whose probabilities are worked out at once.
+SLICE = 1 << 17
 #: Buckets of context counts: bit lengths up to BUCKETS - 1.
 BUCKETS = 16
 #: Steps per power of ten in which probabilities are counted for the weights.
@@ -296,10 +298,14 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
 
     def cells(row, got):
         got["parts"] = parts
-        all_counts, deleted = _counts(row, got, "counts"), _counts(row, got, "deleted")
-        c, context, pair = (a - d for a, d in zip(all_counts, deleted, strict=True))
-        bigram, unigram, _ = _estimates(c, context, pair, n - n_deleted, v)
-        code = (_bucket(context).astype(np.int64) << 32) | ((_steps(bigram) + 1).astype(np.int64) << 16) | (_steps(unigram) + 1)
+        rest = _counts(row, got, "counts")
+        for whole, part in zip(rest, _counts(row, got, "deleted"), strict=True):
+            whole -= part
+        code = np.empty(len(rest[0]), dtype=np.int64)
+        for i in range(0, len(code), SLICE):
+            c, context, pair = (x[i : i + SLICE] for x in rest)
+            bigram, unigram, _ = _estimates(c, context, pair, n - n_deleted, v)
+            code[i : i + SLICE] = (_bucket(context).astype(np.int64) << 32) | ((_steps(bigram) + 1).astype(np.int64) << 16) | (_steps(unigram) + 1)
         code, times = np.unique(code, return_counts=True)
         return pa.table({"bucket": pa.array((code >> 32).astype(np.int32)), "p2": pa.array(((code >> 16 & 0xFFFF) - 1).astype(np.int32)), "p1": pa.array(((code & 0xFFFF) - 1).astype(np.int32)), "n": pa.array(times)})
 
@@ -310,16 +316,21 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
     def scores(row, got):
         got["parts"] = parts
         ids, nulls, lengths, _, _ = _read(row)
-        c, context, pair = _counts(row, got, "counts")
-        bigram, unigram, uniform = _estimates(c, context, pair, n, v)
-        w = weights[_bucket(context)]
-        mixed = np.log10(w[:, 0] * bigram + w[:, 1] * unigram + w[:, 2] * uniform)
-        base = np.log10((c + ADD) / (n + ADD * (v + 1)))
+        every = _counts(row, got, "counts")
+        base, mixed, known = np.empty(len(every[0])), np.empty(len(every[0])), np.empty(len(every[0]), dtype=np.int64)
+        for i in range(0, len(base), SLICE):
+            part = slice(i, i + SLICE)
+            c, context, pair = (x[part] for x in every)
+            bigram, unigram, uniform = _estimates(c, context, pair, n, v)
+            w = weights[_bucket(context)]
+            mixed[part] = np.log10(w[:, 0] * bigram + w[:, 1] * unigram + w[:, 2] * uniform)
+            base[part] = np.log10((c + ADD) / (n + ADD * (v + 1)))
+            known[part] = c > 0
         at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         add = lambda x: np.add.reduceat(x, at)
         return pa.table({
             "doc_id": pa.array(ids, mask=nulls.astype(bool)), "held_out": pa.array([row["role"] == 0] * len(ids)), "n_tokens": pa.array(lengths),
-            "n_known": pa.array(add((c > 0).astype(np.int64))), "base_score": pa.array(add(base)), "score": pa.array(add(mixed)),
+            "n_known": pa.array(add(known)), "base_score": pa.array(add(base)), "score": pa.array(add(mixed)),
         })
 
     out = _together(made, answered, scores, SCORES)

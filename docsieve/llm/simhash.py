@@ -284,6 +284,18 @@ def components(edges: DataFrame) -> DataFrame:
     return pairs.unionByName(pairs.select(F.col("root").alias("node"), "root").distinct())
 
 
+def _grouped(docs: DataFrame, id_col: str, text_col: str, bits: int, shingle: int) -> DataFrame:
+    """(doc_id, text_hash, fp, root, component_id), one row per document; ``root`` names the group."""
+    prints = docs.select(quoted(id_col).alias("doc_id"), F.xxhash64(quoted(text_col)).alias("text_hash"), fingerprint_column(text_or_empty(text_col), shingle).alias("fp"))
+    prints = materialize(prints, "simhash-prints")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
+    root = components(links(distinct, bits=bits))
+    labelled = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
+    by_print = labelled.join(smallest, "root").select("fp", "root", "component_id")
+    return prints.join(by_print, "fp").select("doc_id", "text_hash", "fp", "root", "component_id")
+
+
 def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id), one row per document.
 
@@ -292,23 +304,19 @@ def groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
     any other; rows that repeat an id are rows of their own; null ids are never
     the smallest unless a group has no other. An empty table gives an empty result.
     """
-    prints = materialize(docs.select(quoted(id_col).alias("doc_id"), fingerprint_column(text_or_empty(text_col), shingle).alias("fp")), "simhash-prints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-distinct")
-    root = components(links(distinct, bits=bits))
-    labelled = distinct.join(root, distinct["fp"] == root["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    smallest = labelled.groupBy("root").agg(F.min("least").alias("component_id"))
-    by_print = labelled.join(smallest, "root").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    return _grouped(docs, id_col, text_col, bits, shingle).drop("text_hash", "root")
 
 
 def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bits: int = BITS, shingle: int = SHINGLE) -> DataFrame:
-    """The rows of ``docs`` that stay: of each group the one with the smallest id."""
-    found = groups(docs, id_col=id_col, text_col=text_col, bits=bits, shingle=shingle)
-    # one row per group: of rows that share the smallest id, the one with the smallest fingerprint
-    stay = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("component_id", F.xxhash64("component_id", "doc_id").alias("g")).agg(F.min("fp").alias("fp"))
-    fp, kept_id, kept_fp, nth = fresh(docs, "fp", "kept_id", "kept_fp", "nth")
-    stay = stay.select(F.col("component_id").alias(kept_id), F.col("fp").alias(kept_fp))
-    rows = docs.withColumn(fp, fingerprint_column(text_or_empty(text_col), shingle))
-    joined = rows.join(stay, quoted(id_col).eqNullSafe(F.col(kept_id)) & (F.col(fp) == F.col(kept_fp)))
-    one = Window.partitionBy(quoted(id_col), fp).orderBy(F.xxhash64(quoted(text_col)))
+    """The rows of ``docs`` that stay: of each group the one with the smallest id.
+
+    Of rows that share that id, the one with the smallest fingerprint stays, then
+    that with the smallest hash of its text. A group of documents without ids keeps one row.
+    """
+    found = _grouped(docs, id_col, text_col, bits, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    own = found.groupBy("root").agg(F.min(F.struct("fp", "text_hash", "doc_id")).alias("x"))  # partial minima: a large group is a row per task
+    kept_id, kept_hash, nth = fresh(docs, "kept_id", "kept_hash", "nth")
+    stay = own.select(F.col("x.doc_id").alias(kept_id), F.col("x.text_hash").alias(kept_hash))
+    joined = docs.join(stay, quoted(id_col).eqNullSafe(F.col(kept_id)) & (F.xxhash64(quoted(text_col)) == F.col(kept_hash)))
+    one = Window.partitionBy(quoted(id_col), kept_hash).orderBy(kept_hash)
     return joined.withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1).select(*(quoted(c) for c in docs.columns))

@@ -293,6 +293,13 @@ def test_fingerprints_and_components(odd, docs, nothing):
     assert simhash.groups(odd).count() == odd.count()
 
 
+def test_repeated_and_missing_ids_keep_one_row_a_group(spark):
+    texts = ["a b c d e", "a b c d e", "v w x y z", "one two three four", None]
+    rows = [(1, texts[0], 0), (1, texts[1], 0), (1, texts[2], 0), (None, texts[3], 0), (None, texts[3], 1), (None, texts[4], 0), (5, texts[4], 0)]
+    stay = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, nth int"))
+    assert rows_of(stay, "doc_id", "text") == Counter([(1, texts[0]), (1, texts[2]), (None, texts[3]), (5, None)])
+
+
 def test_anchors_cover_all_near_pairs():
     rng = np.random.default_rng(5)
     a = rng.integers(0, 1 << 64, 3_000, dtype=np.uint64)
