@@ -35,6 +35,8 @@ PARTS = 4
 #: A group of up to SMALL is compared by shifts, one of up to LARGE by search in
 #: one task, and larger ones in tiles of TILE that go to different tasks.
 SMALL, LARGE, TILE = 64, 32_768, 8_192
+#: Edges in each file of a round of the components; fewer edges make fewer files and tasks.
+EDGES_A_FILE = 250_000
 
 
 def fingerprint(text: str, shingle: int = SHINGLE, seed: int = SEED) -> int:
@@ -275,7 +277,7 @@ def components(edges: DataFrame) -> DataFrame:
         down = large.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
         lowest = down.groupBy("a").agg(F.min("b").alias("m"))
         small = down.join(lowest, "a").select("b", "m").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(lowest.select("a", F.col("m").alias("b"))).distinct()
-        now = materialize(small, "stars")
+        now = materialize(small.coalesce(-(-before[0] // EDGES_A_FILE)), "stars")
         after = state(now)
         if after == before:
             break
