@@ -12,7 +12,7 @@ from docsieve.functions import geometry as G
 from docsieve.functions import predicates as P
 from docsieve.functions import text as T
 from docsieve.functions import units as U
-from docsieve.operators import changes, graph, matching, retrieval, sequences
+from docsieve.operators import alignment, changes, graph, matching, planning, retrieval, sequences
 from docsieve.sources import markup, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -425,3 +425,95 @@ def error_rates(spark, sf_dir):
 def layer_status(spark, sf_dir):
     results = _table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus")
     return matching.status_table(_table(spark, sf_dir, "orders"), results, case="o_orderkey", layer="o_orderpriority", status="l_linestatus", values=["O", "F"])
+
+
+# aligned concepts
+
+
+@query(f"""WITH w AS (SELECT 0 AS side, item_id AS ref, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark
+  UNION ALL SELECT 1, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM documents),
+t AS (SELECT DISTINCT * FROM w WHERE length(term) > 1 AND term NOT IN ({STOP})), n AS (SELECT side, ref, count(*) AS n FROM t GROUP BY ALL),
+p AS (SELECT l.ref AS left_ref, r.ref AS right_ref, count(*) AS shared FROM t l JOIN t r ON l.side = 0 AND r.side = 1 AND l.term = r.term GROUP BY ALL)
+SELECT left_ref, right_ref, shared::INT AS shared, round(shared / (a.n + b.n - shared)::DOUBLE, 6) AS score, 'related_candidate' AS relation
+FROM p JOIN n a ON a.side = 0 AND a.ref = left_ref JOIN n b ON b.side = 1 AND b.ref = right_ref WHERE round(shared / (a.n + b.n - shared)::DOUBLE, 6) >= 0.3""")
+def aligned_concepts(spark, sf_dir):
+    side = lambda t, key: _table(spark, sf_dir, t).select(F.col(key).alias("ref"), T.term_set(F.col("text")).alias("terms"), F.array().cast("array<string>").alias("groups"))
+    pairs = alignment.candidates(side("benchmark", "item_id"), side("documents", "doc_id"), least=0.3)
+    return pairs.select("left_ref", "right_ref", F.size("shared_terms").alias("shared"), "score", "relation")
+
+
+def _concepts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Customers and suppliers of the same number, each with a unit of money for its nation."""
+    unit = "array(struct(CASE nation % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'CENT' ELSE 'KG' END AS name, IF(nation % 3 = 2, 'mass', 'money') AS dimension, IF(nation % 3 = 1, 0.01D, 1D) AS scale)) AS units"
+    side = lambda t, c: _table(spark, sf_dir, t).selectExpr(f"{c}_{'custkey' if c == 'c' else 'suppkey'} AS ref", f"{c}_nationkey AS nation", f"{c}_acctbal > 0 AS solvent").selectExpr("*", unit)
+    left, right = side("customer", "c"), side("supplier", "s")
+    pairs = left.select(F.col("ref").alias("left_ref")).join(right.select(F.col("ref").alias("right_ref")), F.col("left_ref") == F.col("right_ref"))
+    return pairs, left, right
+
+
+@query("""SELECT c_custkey AS left_ref, s_suppkey AS right_ref, kind, kind = 'applicability' AS conflict FROM customer JOIN supplier ON c_custkey = s_suppkey,
+(VALUES ('definition'), ('applicability')) k(kind) WHERE CASE kind WHEN 'definition' THEN c_nationkey <> s_nationkey ELSE (c_acctbal > 0) <> (s_acctbal > 0) END""")
+def concept_differences(spark, sf_dir):
+    return alignment.differences(*_concepts(spark, sf_dir), {"definition": "nation", "applicability": "solvent"}).select("left_ref", "right_ref", "kind", "conflict")
+
+
+_UNIT = "CASE {0}_nationkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'CENT' ELSE 'KG' END AS {1}"
+
+
+@query(f"""SELECT left_ref, right_ref, left_unit, right_unit, CASE WHEN left_unit = right_unit THEN 'same' WHEN 'KG' IN (left_unit, right_unit) THEN 'dimension' ELSE 'unit' END AS kind,
+CASE WHEN left_unit = right_unit THEN 1.0::DOUBLE WHEN 'KG' IN (left_unit, right_unit) THEN NULL WHEN left_unit = 'CENT' THEN 0.01::DOUBLE ELSE 100.0::DOUBLE END AS factor
+FROM (SELECT c_custkey AS left_ref, s_suppkey AS right_ref, {_UNIT.format('c', 'left_unit')}, {_UNIT.format('s', 'right_unit')} FROM customer JOIN supplier ON c_custkey = s_suppkey)""")
+def unit_maps(spark, sf_dir):
+    return alignment.unit_maps(*_concepts(spark, sf_dir))
+
+
+# plans of books: a conversation is a book, a turn a page, and the user's turns open segments
+
+
+def _book(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    turns = _table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("book"), (F.col("turn") + 1).cast("int").alias("page"), "role", "text")
+    w = Window.partitionBy("book").orderBy("page")
+    ends = turns.select("book", "page", "role", "text", F.max("page").over(Window.partitionBy("book")).alias("end")).filter("role = 'user'")
+    last = F.coalesce(F.lead("page").over(w) - 1, F.least(F.col("page") + 1, F.col("end")))
+    nth = F.row_number().over(w)
+    parent = F.when(nth % 2 == 0, F.lag("page").over(w))
+    title = F.array_join(F.slice(F.split(T.collapse_space(F.col("text")), " "), 1, 3), " ")
+    segments = ends.select("book", F.col("page").alias("segment"), parent.alias("parent"), title.alias("title"), F.col("page").alias("first_page"), last.alias("last_page"))
+    return turns, segments
+
+
+_BOOK = """WITH p AS (SELECT conv_id AS book, (turn + 1)::INT AS page, role, text, max(turn + 1) OVER (PARTITION BY conv_id) AS ending FROM conversations),
+s AS (SELECT book, page AS segment, CASE WHEN row_number() OVER w % 2 = 0 THEN lag(page) OVER w END AS parent, page AS first_page, coalesce(lead(page) OVER w - 1, least(page + 1, ending)) AS last_page, text
+  FROM p WHERE role = 'user' WINDOW w AS (PARTITION BY book ORDER BY page)),
+held AS (SELECT s.book, s.segment, p.page, p.text, coalesce(s.parent, s.segment) AS root FROM s JOIN p ON p.book = s.book AND p.page BETWEEN s.first_page AND s.last_page)"""
+
+
+@query()
+def heading_locations(spark, sf_dir):
+    """The best places of titles; tests hold the operator against a plain search."""
+    pages, segments = _book(spark, sf_dir)
+    return planning.resolve_headings(segments, planning.heading_candidates(pages, segments))
+
+
+@query(f"""{_BOOK} SELECT book, page, CASE WHEN length(trim(coalesce(text, ''))) < 40 THEN 'ocr-candidate' WHEN contains(text, 'http') THEN 'visual-review'
+WHEN EXISTS (SELECT 1 FROM held h WHERE h.book = p.book AND h.page = p.page) THEN 'compile'
+WHEN (SELECT min(first_page) FROM s WHERE s.book = p.book) IS NULL OR page < (SELECT min(first_page) FROM s WHERE s.book = p.book) THEN 'context-only' ELSE 'gap' END AS status FROM p""")
+def page_plan(spark, sf_dir):
+    pages, segments = _book(spark, sf_dir)
+    return planning.page_plan(pages, segments, least_chars=40, visual=F.contains("text", F.lit("http")))
+
+
+@query(f"""{_BOOK}, f AS (SELECT book, segment, bool_or(length(trim(coalesce(text, ''))) < 40) AS short, bool_or(contains(text, 'http')) AS look FROM held GROUP BY ALL),
+d AS (SELECT book, segment, CASE WHEN short THEN 'ocr-candidate' WHEN length(text) < 80 THEN 'gap' WHEN look THEN 'visual-review' ELSE 'compile' END AS status FROM s JOIN f USING (book, segment))
+SELECT *, CASE WHEN status IN ('ocr-candidate', 'visual-review') THEN 'candidate-only' WHEN status = 'gap' THEN 'blocked' ELSE 'not-started' END AS promotion FROM d""")
+def segment_plan(spark, sf_dir):
+    pages, segments = _book(spark, sf_dir)
+    resolved = pages.filter("length(text) >= 80").select("book", F.col("page").alias("segment"), F.lit("resolved").alias("status"))
+    return planning.segment_plan(pages, segments, resolved, least_chars=40, visual=F.contains("text", F.lit("http")))
+
+
+@query(f"""{_BOOK}, u AS (SELECT book, page, row_number() OVER (PARTITION BY book ORDER BY page) - 1 AS nth FROM p ANTI JOIN held USING (book, page))
+SELECT book, root::VARCHAR AS module, min(page) AS first_page, max(page) AS last_page, count(DISTINCT page) AS n_pages, count(DISTINCT segment) AS n_segments FROM held GROUP BY ALL
+UNION ALL SELECT book, format('context-{{:04d}}', nth // 2 + 1), min(page), max(page), count(*), 0 FROM u GROUP BY ALL""")
+def book_modules(spark, sf_dir):
+    return planning.modules(*_book(spark, sf_dir), chunk=2)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsieve.functions import predicates, text, units
-from docsieve.operators import changes, graph, matching, retrieval, sequences
+from docsieve.operators import alignment, changes, graph, matching, planning, retrieval, sequences
 from docsieve.sources import records
 from docsieve.streaming import incremental
 
@@ -167,3 +167,84 @@ def test_resume(spark):
     assert values(incremental.stale(state, regions, "region", "binding"), "region") == [(2,)]
     actions = spark.createDataFrame([("j", 1, "scan", "complete"), ("j", 3, "seal", "open"), ("j", 2, "review", "open"), ("k", 1, "scan", "complete")], "job string, action_order int, action string, status string")
     assert values(incremental.next_action(actions, "job")) == [("j", "review"), ("k", None)]
+
+
+def test_candidates_by_terms_groups_and_statement(spark):
+    kind = "ref int, terms array<string>, groups array<string>"
+    left = spark.createDataFrame([(1, ["a", "b", "c"], None), (2, ["x"], ["g"]), (3, None, None), (4, [], [])], kind)
+    right = spark.createDataFrame([(1, ["a", "b", "d"], None), (2, ["c"], []), (3, ["y"], ["g"]), (4, ["z"], None)], kind)
+    explicit = spark.createDataFrame([(4, 4, "equivalent")], "left_ref int, right_ref int, relation string")
+    found = alignment.candidates(left, right, least=0.5, explicit=explicit)
+    assert values(found) == [(1, 1, ["a", "b"], [], 0.5, "related_candidate"), (2, 3, [], ["g"], 0.0, "related_candidate"), (4, 4, [], [], 0.0, "equivalent_candidate")]
+    assert values(alignment.candidates(left, right), "left_ref", "right_ref") == [(1, 1), (1, 2), (2, 3)]
+    assert values(alignment.candidates(left.limit(0), right)) == []
+
+
+@pytest.mark.parametrize("least", [0.0, 0.2, 0.5, 1.0])
+def test_candidates_equal_all_pairs(spark, least):
+    rng = np.random.default_rng(5)
+    sides = [[(i, sorted({f"t{int(x)}" for x in rng.integers(0, 12, rng.integers(1, 7))})) for i in range(40)] for _ in "lr"]
+    left, right = (spark.createDataFrame([(i, t, []) for i, t in s], "ref int, terms array<string>, groups array<string>") for s in sides)
+    score = lambda a, b: round(len(set(a) & set(b)) / len(set(a) | set(b)), 6)
+    want = sorted((i, j) for i, a in sides[0] for j, b in sides[1] if score(a, b) > 0 and score(a, b) >= least)
+    assert sorted(values(alignment.candidates(left, right, least=least), "left_ref", "right_ref")) == want
+
+
+def test_differences_and_unit_maps(spark):
+    kind = "ref int, d string, s array<string>, units array<struct<name:string,dimension:string,scale:double>>"
+    left = spark.createDataFrame([(1, "x", ["p", "q"], [("m", "length", 1.0), ("kg", "mass", 1.0)]), (2, None, None, None)], kind)
+    right = spark.createDataFrame([(1, "y", ["q", "p"], [("km", "length", 1000.0)]), (2, "z", None, [])], kind)
+    pairs = spark.createDataFrame([(1, 1), (2, 2)], "left_ref int, right_ref int")
+    found = alignment.differences(pairs, left, right, {"definition": "d", "symbol": "s"})
+    assert values(found, "left_ref", "kind", "conflict") == [(1, "definition", False), (2, "definition", False)]
+    assert values(alignment.unit_maps(pairs, left, right)) == [(1, 1, "kg", "km", "dimension", None), (1, 1, "m", "km", "unit", 0.001)]
+
+
+def test_headings_are_located(spark):
+    pages = [
+        (1, 1, "Contents\nHeat Flux 2\nMass 9"), (1, 2, "2 Heat Flux\nplain words on heat\nmore"), (1, 3, "HEAT-\nFLUX\nand a line on heat flux here"),
+        (1, 4, None), (1, 5, "one\nsteady  state\nmiddle\nsteady state\nlast"), (2, 1, "a\nb\nthe ﬂow rate\nin it\nx\ny"),
+    ]
+    pages = spark.createDataFrame(pages, "book int, page int, text string")
+    segments = spark.createDataFrame([(1, 1, "Heat Flux", 2), (1, 2, "Steady state", 5), (1, 3, "nowhere", 3), (2, 1, "flow rate", 1), (2, 2, None, 1), (2, 3, "- ", 1)], "book int, segment int, title string, first_page int")
+    found = planning.heading_candidates(pages, segments)
+    assert values(found.filter("book = 1 AND segment = 1"), "page", "line", "boundary", "role", "method", "score") == [
+        (1, 1, "exact-line", "body-heading", "normalized-exact", 161),
+        (2, 0, "exact-line", "body-heading", "normalized-exact", 169),
+        (3, 0, "exact-line", "body-heading", "dehyphenated-line-match", 153),
+        (3, 2, "substring", "body-text", "unicode-ligature-equivalent", 56),
+    ]
+    assert values(found.filter("book = 2"), "line", "at", "boundary", "method") == [(2, 5, "line-boundary", "unicode-ligature-equivalent")]
+    assert values(planning.resolve_headings(segments, found)) == [
+        (1, 1, "resolution-required", "ambiguous", None, None, 8), (1, 2, "resolution-required", "ambiguous", None, None, 4), (1, 3, "resolution-required", "missing", None, None, None),
+        (2, 1, "resolved", "unique", 1, 2, None), (2, 2, "resolution-required", "missing", None, None, None), (2, 3, "resolution-required", "missing", None, None, None),
+    ]
+    assert values(planning.heading_candidates(pages.limit(0), segments)) == []
+
+
+def test_heading_places_equal_a_plain_search(spark, sf):
+    from docsieve.plans import queries as plans
+
+    pages, segments = plans._book(spark, sf)
+    dense = lambda t: "".join(c for c in (t or "").casefold() if not c.isspace() and c != "-")
+    texts = {(r.book, r.page): dense(r.text) for r in pages.collect()}
+    want = []
+    for s in segments.collect():
+        for page in range(s.first_page - 1, s.first_page + 3):
+            whole, title, at = texts.get((s.book, page), ""), dense(s.title), -1
+            while title and (at := whole.find(title, at + len(title) if at >= 0 else 0)) >= 0:
+                want.append((s.book, s.segment, page, at))
+    assert sorted(want) == sorted(values(planning.heading_candidates(pages, segments), "book", "segment", "page", "at"))
+
+
+def test_book_plan(spark):
+    pages = spark.createDataFrame([(1, p, t) for p, t in enumerate(["cover page", "long enough text", "", "see figure below", "after all text", "preface of more"], 1)] + [(2, 1, "no segments at all")], "book int, page int, text string")
+    kind = "book int, segment string, parent string, title string, first_page int, last_page int"
+    segments = spark.createDataFrame([(1, "a", None, "Heat", 2, 3), (1, "b", "a", "Index", 2, 2), (1, "c", "lost", "Flow", 4, 4)], kind)
+    figure = F.contains("text", F.lit("figure"))
+    plan = planning.page_plan(pages, segments, least_chars=5, visual=figure)
+    assert [r[2] for r in values(plan)] == ["context-only", "compile", "ocr-candidate", "visual-review", "gap", "context-only", "context-only"]
+    resolved = spark.createDataFrame([(1, s, "resolved") for s in "abc"], "book int, segment string, status string")
+    assert [r[2:] for r in values(planning.segment_plan(pages, segments, resolved, least_chars=5, visual=figure))] == [("ocr-candidate", "candidate-only"), ("non-knowledge", "not-started"), ("visual-review", "candidate-only")]
+    assert {r[2] for r in values(planning.segment_plan(pages, segments, resolved.limit(0), least_chars=5, visual=figure))} == {"ocr-candidate", "gap"}
+    assert values(planning.modules(pages, segments, chunk=2)) == [(1, "a", 2, 3, 2, 2), (1, "c", 4, 4, 1, 1), (1, "context-0001", 1, 5, 2, 0), (1, "context-0002", 6, 6, 1, 0), (2, "context-0001", 1, 1, 1, 0)]
