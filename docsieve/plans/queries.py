@@ -12,7 +12,7 @@ from docsieve.functions import geometry as G
 from docsieve.functions import predicates as P
 from docsieve.functions import text as T
 from docsieve.functions import units as U
-from docsieve.operators import alignment, changes, graph, matching, planning, retrieval, sequences
+from docsieve.operators import alignment, changes, composition, graph, matching, planning, retrieval, sequences
 from docsieve.sources import markup, records
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -517,3 +517,24 @@ SELECT book, root::VARCHAR AS module, min(page) AS first_page, max(page) AS last
 UNION ALL SELECT book, format('context-{{:04d}}', nth // 2 + 1), min(page), max(page), count(*), 0 FROM u GROUP BY ALL""")
 def book_modules(spark, sf_dir):
     return planning.modules(*_book(spark, sf_dir), chunk=2)
+
+
+# composed packages
+
+
+@query("""WITH m AS (SELECT p_partkey AS k, p_type, (p_size % 4) * 10000 + (p_size % 7) * 100 + p_partkey % 10 AS v FROM part),
+d AS (SELECT a.k, CASE WHEN a.k % 50 = 7 THEN -a.k ELSE a.k // 2 END AS dep, a.p_type FROM m a),
+i AS (SELECT d.k, d.dep, CASE WHEN m.k IS NULL THEN 'unresolved' WHEN NOT CASE d.p_type WHEN 'ECONOMY' THEN v >= 10200 AND v < 20000 WHEN 'STANDARD' THEN v >= 20100 AND v < 20200 WHEN 'PROMO' THEN true ELSE v >= 10000 AND v < 30000 END THEN 'mismatch' END AS issue
+  FROM d LEFT JOIN m ON m.k = d.dep)
+SELECT k::VARCHAR AS module, dep::VARCHAR AS dependency, issue FROM i WHERE issue IS NOT NULL UNION ALL SELECT '0', NULL, 'cycle'""")
+def dependency_issues(spark, sf_dir):
+    key, dependency = F.col("p_partkey"), F.when(F.col("p_partkey") % 50 == 7, -F.col("p_partkey")).otherwise(F.floor(F.col("p_partkey") / 2))
+    rows = version_ranges(spark, sf_dir).withColumn("module", key.cast("string")).withColumn("dependency", dependency.cast("string"))
+    return composition.dependency_issues(rows.select("module", "version"), rows.select("module", "dependency", "wanted"))
+
+
+@query("""WITH s AS (SELECT l_partkey AS source, l_suppkey AS package, l_quantity AS first_page, l_quantity + 2 AS last_page FROM lineitem)
+SELECT DISTINCT a.source, a.package FROM s a JOIN s b ON a.source = b.source AND a.package <> b.package AND a.first_page <= b.last_page AND b.first_page <= a.last_page""")
+def contested_sources(spark, sf_dir):
+    rows = _table(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("source"), F.col("l_suppkey").alias("package"), F.col("l_quantity").alias("first_page"), (F.col("l_quantity") + 2).alias("last_page"))
+    return composition.contested_sources(rows).select("source", "package").distinct()

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsieve.functions import predicates, text, units
-from docsieve.operators import alignment, changes, graph, matching, planning, retrieval, sequences
+from docsieve.operators import alignment, changes, composition, graph, matching, planning, retrieval, sequences
 from docsieve.sources import records
 from docsieve.streaming import incremental
 
@@ -248,3 +248,18 @@ def test_book_plan(spark):
     assert [r[2:] for r in values(planning.segment_plan(pages, segments, resolved, least_chars=5, visual=figure))] == [("ocr-candidate", "candidate-only"), ("non-knowledge", "not-started"), ("visual-review", "candidate-only")]
     assert {r[2] for r in values(planning.segment_plan(pages, segments, resolved.limit(0), least_chars=5, visual=figure))} == {"ocr-candidate", "gap"}
     assert values(planning.modules(pages, segments, chunk=2)) == [(1, "a", 2, 3, 2, 2), (1, "c", 4, 4, 1, 1), (1, "context-0001", 1, 5, 2, 0), (1, "context-0002", 6, 6, 1, 0), (2, "context-0001", 1, 1, 1, 0)]
+
+
+def test_dependency_issues(spark):
+    modules = spark.createDataFrame([("a", "1.2.3"), ("b", "2.0.0"), ("c", "bad"), ("d", None)], "module string, version string")
+    wants = [("a", "b", "^2.0.0"), ("b", "a", "~1.3.0"), ("c", "a", "*"), ("a", "lost", "*"), ("a", "d", "*"), ("ghost", "a", "*"), ("c", "b", None)]
+    found = composition.dependency_issues(modules, spark.createDataFrame(wants, "module string, dependency string, wanted string"))
+    assert values(found) == sorted([("a", "d", "mismatch"), ("a", "lost", "unresolved"), ("a", None, "cycle"), ("b", "a", "mismatch"), ("b", None, "cycle"), ("c", "b", "mismatch"), ("c", None, "invalid-version"), ("d", None, "invalid-version")], key=repr)
+
+
+def test_contested_sources(spark):
+    kind = "source string, package string, first_page int, last_page int"
+    claims = [("s", "p", 1, 5), ("s", "p", 4, 9), ("s", "q", 9, 12), ("s", "r", 13, 20), ("t", "p", 1, 2), ("t", "p", 1, 2), ("u", "p", None, None), ("u", "q", 3, 3), (None, "p", 1, 1), ("s", None, 1, 99)]
+    found = composition.contested_sources(spark.createDataFrame(claims, kind))
+    assert values(found) == [("s", "p", 1, 9), ("s", "q", 9, 12), ("u", "p", None, None), ("u", "q", 3, 3)]
+    assert values(composition.contested_sources(spark.createDataFrame([], kind))) == []
