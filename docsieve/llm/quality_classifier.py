@@ -27,8 +27,8 @@ BUCKETS, DIM = 1 << 17, 16
 #: Lengths of the character n-grams of a word between its marks.
 NGRAMS = (3,)
 EPOCHS, RATE = 6, 2.0
-#: Words that a worker remembers at most.
-MEMORY = 300_000
+#: Words that a worker remembers at most, and bytes beyond which a word isn't remembered but taken in slices.
+MEMORY, LONG, SLICE = 300_000, 256, 1 << 16
 #: Pseudo-words: a word said twice running, and a text without words.
 TWICE, NOTHING = b"\x00twice", b"\x00nothing"
 
@@ -37,11 +37,35 @@ def features(word: bytes) -> list[int]:
     """Buckets of a word and its character n-grams (n-grams of its UTF-8 bytes)."""
     out = [zlib.crc32(word) % BUCKETS]
     if word[:1] != b"\x00":
-        marked = b"<" + word[:64] + b">"  # the n-grams of a longer word say no more
+        marked = b"<" + word + b">"
         out += [zlib.crc32(marked[i : i + n], n) % BUCKETS for n in NGRAMS for i in range(len(marked) - n + 1)]
     return out
 
 
+def _crc_table() -> np.ndarray:
+    c = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
+    return c
+
+
+_CRC = _crc_table()
+
+
+def long_features(word: bytes, step: int | None = None) -> Iterator[np.ndarray]:
+    """The buckets of :func:`features` in arrays of bounded size; slices overlap by the bytes that an n-gram needs."""
+    step = step or SLICE
+    yield np.array([zlib.crc32(word) % BUCKETS])
+    marked = b"".join((b"<", word, b">"))
+    for n in NGRAMS:
+        for at in range(0, len(marked) - n + 1, step):
+            part = np.frombuffer(marked, dtype=np.uint8, count=min(step + n - 1, len(marked) - at), offset=at)
+            crc = np.full(len(part) - n + 1, ~np.uint32(n), dtype=np.uint32)
+            for k in range(n):
+                crc = _CRC[(crc ^ part[k : k + len(crc)]) & 0xFF] ^ (crc >> np.uint32(8))
+            yield (~crc % np.uint32(BUCKETS)).astype(np.int64)
+
+
 def words_of(text: str) -> tuple[list[bytes], int]:
     """Words of a whole text, and how often one follows itself."""
     words = text.encode().split()
@@ -57,7 +81,11 @@ def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     if not words:
         counted[NOTHING] = 1
     for word, n in counted.items():
-        if n:
+        if n and len(word) > LONG:
+            for part in long_features(word):
+                for f, k in zip(*(x.tolist() for x in np.unique(part, return_counts=True)), strict=True):
+                    total[f] += n * k
+        elif n:
             for f in features(word):
                 total[f] += n
     ids = np.fromiter(total.keys(), dtype=np.int32, count=len(total))
@@ -81,13 +109,17 @@ class _WordValues(dict):
         self.weights = weights
 
     def __missing__(self, word: bytes) -> float:
+        if len(word) > LONG:
+            return float(sum(self.weights[part].sum() for part in long_features(word)))
         self[word] = value = float(self.weights[features(word)].sum())
         return value
 
 
 class _WordSizes(dict):
     def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(features(word)) if word[:1] == b"\x00" else 1 + sum(max(0, min(len(word), 64) + 3 - k) for k in NGRAMS)
+        n = len(features(word)) if word[:1] == b"\x00" else 1 + sum(max(0, len(word) + 3 - k) for k in NGRAMS)
+        if len(word) <= LONG:
+            self[word] = n
         return n
 
 

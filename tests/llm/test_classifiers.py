@@ -1,3 +1,4 @@
+import random
 import zlib
 
 import pytest
@@ -36,6 +37,25 @@ def test_one_class_only():
     assert quality_classifier.fit([("a b", 1)] * 20).scorer()("a b") > 0.5
 
 
+def test_texts_without_spaces_count_beyond_their_start():
+    rng = random.Random(3)
+    text = lambda alphabet: "同" * 30 + "".join(rng.choices(alphabet, k=400))
+    good, junk = "山川草木花鳥風月", "買売金銭札束賭博"
+    model = quality_classifier.fit([(text(x), y) for _ in range(60) for x, y in ((junk, 0), (good, 1))])
+    one = model.scorer()
+    assert all(one(text(good)) > 0.9 and one(text(junk)) < 0.1 for _ in range(10))
+    assert max(map(len, one.values), default=0) <= quality_classifier.LONG >= max(map(len, one.sizes), default=0)
+
+
+@pytest.mark.parametrize("length", [1, 2, 63, 64, 65, 500])
+def test_slices_of_a_word_make_its_features(length):
+    word = bytes(random.Random(length).choices(range(33, 256), k=length))
+    whole = sorted(quality_classifier.features(word))
+    for step in (1, 7, 64, 1 << 16):
+        assert sorted(x for part in quality_classifier.long_features(word, step) for x in part.tolist()) == whole
+    assert quality_classifier._WordSizes()[word] == len(whole)
+
+
 def test_long_texts_score_alike_in_blocks(monkeypatch):
     model = toxicity.fit([("fine words all around", 0), ("you awful rotten thing", 1)] * 40)
     text = "some words " * 50 + "awful rotten " + "more words " * 50
