@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterator
 
@@ -79,6 +80,23 @@ def word_ngrams(words: Column, n: int) -> Column:
     return F.transform(starts, lambda i: F.array_join(F.slice(words, i, n), " "))
 
 
+def verbatim_forms(text: Column) -> Column:
+    """Struct of ``words``, the case-folded text, and ``cjk``, the CJK characters of its NFKC form.
+
+    ASCII texts, whose forms are the lower-case text and nothing, don't go through Python.
+    """
+
+    @F.pandas_udf("words string, cjk string")
+    def forms(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        other = re.compile(f"[^{CJK}\\uf900-\\ufaff]+")
+        for texts in batches:
+            rows = [(None, None) if t is None else (t.casefold(), other.sub("", unicodedata.normalize("NFKC", t))) for t in texts]
+            yield pd.DataFrame(rows, columns=["words", "cjk"], dtype="object")
+
+    made = forms(F.when(text.rlike(r"[^\x00-\x7F]"), text))
+    return F.struct(F.coalesce(made["words"], F.lower(text), F.lit("")).alias("words"), F.coalesce(made["cjk"], F.lit("")).alias("cjk"))
+
+
 def dual_tokens(text: Column) -> Column:
     """Terms, and bigrams and trigrams of the CJK characters."""
     stream = cjk_stream(text)

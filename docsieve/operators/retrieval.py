@@ -72,7 +72,9 @@ def abstain(queries: DataFrame, hits: DataFrame, *, query_id: str, prompt: str,
 
 
 def verbatim_windows(sources: DataFrame, outputs: DataFrame, *, source_id: str, output_id: str, text: str = "text", window: int = 21) -> DataFrame:
-    """(output_id, n_windows, first_source): outputs that share a run of ``window`` words with a source.
+    """(output_id, n_windows, first_source): outputs that share a run of ``window`` ASCII words with a source.
+
+    :func:`verbatim_copies` takes all scripts.
 
     Runs meet by two hashes (96 bits) rather than as texts, so that a run is 12
     bytes in the shuffle. The sources' distinct runs are broadcast only if Spark
@@ -89,6 +91,31 @@ def verbatim_windows(sources: DataFrame, outputs: DataFrame, *, source_id: str,
     return hit.groupBy("output_id").agg(F.count("*").alias("n_windows"), F.min("source_id").alias("first_source"))
 
 
+def verbatim_copies(sources: DataFrame, outputs: DataFrame, *, source_id: str, output_id: str, text: str = "text", window: int = 21, cjk_window: int = 24) -> DataFrame:
+    """(output_id, n_windows, first_source): outputs that share a run of ``window`` words, or of ``cjk_window``
+    CJK characters, with a source.
+
+    Words are runs of letters and digits of any script, with hyphens and
+    apostrophes inside; the characters are those of the NFKC form with all
+    others left out. Runs meet by two hashes (96 bits) of themselves and their
+    kind rather than as texts, so that a run is 12 bytes in the shuffle. The
+    sources' distinct runs are broadcast only if Spark sees that they are small.
+    """
+    words = F.regexp_extract_all(F.col("forms.words"), F.lit(r"[\p{L}\p{N}]+(?:[-'][\p{L}\p{N}]+)*"), F.lit(0))
+    characters = F.filter(F.split("forms.cjk", ""), lambda c: c != "")
+    kinds = (("words", words, window), ("cjk", characters, cjk_window))
+
+    def runs(df: DataFrame, key: str, name: str) -> DataFrame:
+        formed = df.select(F.col(key).alias(name), T.verbatim_forms(F.col(text)).alias("forms"))
+        parts = formed.select(name, F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), x.alias("x"), F.lit(n).alias("n")) for kind, x, n in kinds))).alias("part"))
+        cut = parts.select(name, F.col("part.kind").alias("kind"), F.explode(T.word_ngrams(F.col("part.x"), F.col("part.n"))).alias("run"))
+        return cut.select(name, F.xxhash64("kind", "run").alias("h"), F.hash("kind", "run").alias("g"))
+
+    known = runs(sources, source_id, "source_id").groupBy("h", "g").agg(F.min("source_id").alias("source_id"))
+    hit = runs(outputs, output_id, "output_id").join(known, ["h", "g"])
+    return hit.groupBy("output_id").agg(F.count("*").alias("n_windows"), F.min("source_id").alias("first_source"))
+
+
 def overlap_search(queries: DataFrame, entries: DataFrame, *, query_id: str, entry_id: str, tokens: Column, limit: int) -> DataFrame:
     """Entries by the number of distinct tokens shared with a query: postings of weight 1, no floors."""
     posted = entries.select(F.col(entry_id).alias("entry_id"), F.explode(F.array_distinct(tokens)).alias("term"))

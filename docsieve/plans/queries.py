@@ -98,6 +98,18 @@ def verbatim_windows(spark, sf_dir):
     return retrieval.verbatim_windows(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), source_id="item_id", output_id="doc_id")
 
 
+_FORMS = r"""regexp_extract_all(lower(text), '[\p{L}\p{N}]+(?:[-''][\p{L}\p{N}]+)*') AS w, string_split(regexp_replace(text, '[^぀-ヿ㐀-䶿一-鿿豈-﫿가-힯]', '', 'g'), '') AS c"""
+
+
+@query(f"""WITH t AS (SELECT 0 AS side, item_id AS id, {_FORMS} FROM benchmark UNION ALL SELECT 1, doc_id, {_FORMS} FROM documents),
+runs AS (SELECT side, id, 'words' AS kind, unnest(list_transform(range(1, len(w) - 19), lambda i: array_to_string(w[i:i + 20], ' '))) AS run FROM t
+  UNION ALL SELECT side, id, 'cjk', unnest(list_transform(range(1, len(c) - 22), lambda i: array_to_string(c[i:i + 23], ' '))) FROM t),
+known AS (SELECT kind, run, min(id) AS item_id FROM runs WHERE side = 0 GROUP BY ALL)
+SELECT id AS output_id, count(*) AS n_windows, min(item_id) AS first_source FROM runs JOIN known USING (kind, run) WHERE side = 1 GROUP BY 1""")
+def verbatim_copies(spark, sf_dir):
+    return retrieval.verbatim_copies(_table(spark, sf_dir, "benchmark"), _table(spark, sf_dir, "documents"), source_id="item_id", output_id="doc_id")
+
+
 # text and identity
 
 

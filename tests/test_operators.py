@@ -31,6 +31,17 @@ def test_stopwords_alone_find_nothing(spark):
     assert values(retrieval.weighted_terms(posted).select("entry_id", F.map_keys("weighted_terms").alias("k"))) == [(1, ["flux", "heat"])]
 
 
+def test_verbatim_copies_in_other_scripts(spark):
+    han = "".join(chr(0x4E00 + 7 * i) for i in range(40))
+    russian, accented = " ".join(f"слово{chr(0x430 + i)}" for i in range(25)), " ".join(f"Größe-{chr(97 + i)} l'été{chr(97 + i)}" for i in range(11))
+    sources = spark.createDataFrame([(1, han), (2, russian.upper()), (3, accented), (4, None)], "s int, text string")
+    spaced = "序" + "、\n".join(han[5:30]) + "。end"
+    texts = [(1, spaced), (2, han[:23]), (3, "так: " + russian[: russian.rindex(" ")]), (4, " ".join(russian.split()[:20])), (5, accented.upper()), (6, None), (7, "")]
+    outputs = spark.createDataFrame(texts, "o int, text string")
+    found = retrieval.verbatim_copies(sources, outputs, source_id="s", output_id="o")
+    assert values(found, "output_id", "n_windows", "first_source") == [(1, 2, 1), (3, 4, 2), (5, 2, 3)]
+
+
 def test_cycles_roots_and_reach(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("x", "y"), ("y", "z")], "src string, dst string")
     assert values(graph.cyclic_nodes(edges)) == [("a",), ("b",)]
