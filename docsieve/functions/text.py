@@ -28,10 +28,26 @@ def normalize_form(text: Column, form: str = "NFKC", *, fold: bool = False) -> C
     return normal(text)
 
 
+def fold(text: Column) -> Column:
+    """Case-folded text; ASCII texts don't go through Python."""
+
+    @F.pandas_udf("string")
+    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else t.casefold())
+
+    return F.coalesce(folded(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+
+
 def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def search_form(text: Column) -> Column:
+    """NFKC, case-folded, with the marks of formulas as white space and that collapsed: the form that titles are found in."""
+    return collapse_space(F.regexp_replace(fold(normalize_form(text)), r"[\\{}^]", " "))
+
+
 def canonical_text(text: Column) -> Column:
     """NFKC with white space collapsed and trimmed: the form that offsets refer to."""
     return collapse_space(normalize_form(text))
@@ -68,10 +84,11 @@ def cjk_stream(text: Column) -> Column:
     return F.regexp_replace(text, f"[^{CJK}]", "")
 
 
-def char_ngrams(text: Column, n: int) -> Column:
+def char_ngrams(text: Column, n: int | Column) -> Column:
     """All character n-grams of a text (none for shorter texts)."""
+    n = F.lit(n) if isinstance(n, int) else n
     starts = F.when(F.length(text) >= n, F.sequence(F.lit(1), F.length(text) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.substring(text, i, F.lit(n)))
+    return F.transform(starts, lambda i: F.substring(text, i, n))
 
 
 def word_ngrams(words: Column, n: int) -> Column:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -51,6 +53,31 @@ def scores(queries: DataFrame, posted: DataFrame, *, query_id: str, prompt: str,
     return with_both.select("query_id", "entry_id", (F.col("score") + bonus).alias("score"))
 
 
+def named(queries: DataFrame, names: DataFrame, form: Callable[[Column], Column], *, query_id: str, prompt: str) -> DataFrame:
+    """(query_id, entry_id): entries with a name of ``names`` (entry_id, name) that is in the prompt, both in ``form``.
+
+    Names meet the pieces of the prompts that are as long as some name; empty names are passed over.
+    """
+    known = names.select("entry_id", form(F.col("name")).alias("name")).filter("name <> ''").distinct()
+    prompts = queries.select(F.col(query_id).alias("query_id"), form(F.col(prompt)).alias("prompt"))
+    lengths = known.select(F.length("name").alias("n")).distinct()
+    sized = prompts.join(lengths, F.length("prompt") >= F.col("n"))
+    pieces = sized.select("query_id", F.explode(F.array_distinct(T.char_ngrams(F.col("prompt"), F.col("n")))).alias("name"))
+    return pieces.join(known, "name").select("query_id", "entry_id").distinct()
+
+
+def catalog_scores(queries: DataFrame, posted: DataFrame, *, ids: DataFrame, titles: DataFrame, query_id: str, prompt: str) -> DataFrame:
+    """(query_id, entry_id, score): the weights of shared terms, plus ID_BONUS and TITLE_BONUS where the prompt has
+    an entry's id (``ids``) or title (``titles``), given as rows (entry_id, name).
+
+    An entry that is named counts without a common term.
+    """
+    by_id = named(queries, ids, T.fold, query_id=query_id, prompt=prompt).withColumn("score", F.lit(ID_BONUS))
+    by_title = named(queries, titles, T.search_form, query_id=query_id, prompt=prompt).withColumn("score", F.lit(TITLE_BONUS))
+    parts = scores(queries, posted, query_id=query_id, prompt=prompt).unionByName(by_id).unionByName(by_title)
+    return parts.groupBy("query_id", "entry_id").agg(F.sum("score").alias("score"))
+
+
 def top_hits(scored: DataFrame, limit: int, *, least: int = LEAST_SCORE, share: float = SHARE_OF_BEST) -> DataFrame:
     """The best ``limit`` entries per query over both floors, with ``place`` from 1; ties go to the smaller id."""
     best = scored.groupBy("query_id").agg(F.max("score").alias("best"))

@@ -77,6 +77,27 @@ def abstention(spark, sf_dir):
     return retrieval.abstain(_table(spark, sf_dir, "benchmark"), _hits(spark, sf_dir), query_id="item_id", prompt="text", guard_terms=GUARD, scope_terms=SCOPE)
 
 
+@query(f"""WITH asked AS (SELECT o_orderkey AS query_id, 'Re ' || CASE WHEN o_orderkey % 2 = 0 THEN upper(c_name) ELSE 'no one' END || ', ' || CASE WHEN o_orderkey % 3 = 0 THEN lower(n_name) ELSE 'nowhere' END AS prompt
+  FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 50 = 0),
+terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(prompt), '[a-z0-9]+')) AS term FROM asked),
+posted AS (SELECT DISTINCT c_name AS entry_id, unnest(regexp_extract_all(lower(c_mktsegment || ' ' || n_name), '[a-z0-9]+')) AS term FROM customer JOIN nation ON n_nationkey = c_nationkey),
+scored AS (SELECT query_id, entry_id, sum(points) AS score FROM (
+  SELECT query_id, entry_id, 12 AS points FROM posted JOIN terms USING (term) WHERE length(term) > 1 AND term NOT IN ({STOP})
+  UNION ALL SELECT query_id, c_name, 1000 FROM asked, customer WHERE contains(lower(prompt), lower(c_name))
+  UNION ALL SELECT query_id, c_name, 80 FROM asked, customer JOIN nation ON n_nationkey = c_nationkey WHERE contains(lower(prompt), lower(n_name))) GROUP BY ALL)
+SELECT query_id, entry_id, score::BIGINT AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS place
+FROM scored JOIN (SELECT query_id, max(score) AS best FROM scored GROUP BY 1) USING (query_id) WHERE score >= greatest(12, ceil(best * 0.3::DECIMAL(4,2)))) WHERE place <= 10""")
+def named_entries(spark, sf_dir):
+    """Orders ask for customers by their names, which are the ids, and by their nations, which are the titles."""
+    customers = _table(spark, sf_dir, "customer").join(_table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    orders = _table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    who, place = F.when(F.col("o_orderkey") % 2 == 0, F.upper("c_name")).otherwise("no one"), F.when(F.col("o_orderkey") % 3 == 0, F.lower("n_name")).otherwise("nowhere")
+    asked = orders.select("o_orderkey", F.concat(F.lit("Re "), who, F.lit(", "), place).alias("prompt"))
+    names = lambda c: customers.select(F.col("c_name").alias("entry_id"), F.col(c).alias("name"))
+    posted = retrieval.postings(customers, "c_name", {"c_mktsegment": 12, "n_name": 12})
+    return retrieval.top_hits(retrieval.catalog_scores(asked, posted, ids=names("c_name"), titles=names("n_name"), query_id="o_orderkey", prompt="prompt"), 10)
+
+
 @query("""WITH q AS (SELECT DISTINCT n_nationkey AS query_id, unnest(regexp_extract_all(lower(r_name || ' ' || n_name), '[a-z0-9]+')) AS term FROM nation JOIN region ON r_regionkey = n_regionkey),
 c AS (SELECT DISTINCT c_custkey AS entry_id, unnest(regexp_extract_all(lower(r_name || ' ' || n_name), '[a-z0-9]+')) AS term FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey)
 SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id)::INT AS place

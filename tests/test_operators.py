@@ -31,6 +31,15 @@ def test_stopwords_alone_find_nothing(spark):
     assert values(retrieval.weighted_terms(posted).select("entry_id", F.map_keys("weighted_terms").alias("k"))) == [(1, ["flux", "heat"])]
 
 
+def test_named_entries_need_no_common_term(spark):
+    entries = spark.createDataFrame([("K-17", "heat flux"), ("K-18", "the is"), ("Ä9", None)], "id string, title string")
+    posted = retrieval.postings(entries, "id", {"title": 12})
+    names = lambda c: entries.selectExpr("id AS entry_id", f"{c} AS name")
+    asked = spark.createDataFrame([(1, "see k-17, please"), (2, "Heat flux of ä9"), (3, "what The\n{IS}"), (4, "no"), (5, None)], "q int, text string")
+    found = retrieval.catalog_scores(asked, posted, ids=names("id"), titles=names("title"), query_id="q", prompt="text")
+    assert values(found, "query_id", "entry_id", "score") == [(1, "K-17", 1000), (2, "K-17", 104), (2, "Ä9", 1000), (3, "K-18", 80)]
+
+
 def test_verbatim_copies_in_other_scripts(spark):
     han = "".join(chr(0x4E00 + 7 * i) for i in range(40))
     russian, accented = " ".join(f"слово{chr(0x430 + i)}" for i in range(25)), " ".join(f"Größe-{chr(97 + i)} l'été{chr(97 + i)}" for i in range(11))
