@@ -475,6 +475,24 @@ def aligned_concepts(spark, sf_dir):
     return pairs.select("left_ref", "right_ref", F.size("shared_terms").alias("shared"), "score", "relation")
 
 
+@query(f"""WITH w AS (SELECT 0 AS side, item_id AS ref, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark
+  UNION ALL SELECT 1, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM documents),
+t AS (SELECT DISTINCT * FROM w WHERE length(term) > 1 AND term NOT IN ({STOP})), n AS (SELECT side, ref, count(*) AS n FROM t GROUP BY ALL),
+p AS (SELECT l.ref AS left_ref, r.ref AS right_ref, count(*) AS shared FROM t l JOIN t r ON l.side = 0 AND r.side = 1 AND l.term = r.term GROUP BY ALL),
+x AS (SELECT item_id AS left_ref, doc_id AS right_ref, coalesce(shared, 0) AS shared, item_id % 97 = doc_id % 97 AS grouped, item_id = doc_id AS stated
+  FROM benchmark, documents LEFT JOIN p ON left_ref = item_id AND right_ref = doc_id WHERE shared > 0 OR item_id % 97 = doc_id % 97)
+SELECT x.left_ref, x.right_ref, shared::INT AS shared, grouped::INT AS n_groups, coalesce(round(shared / nullif(a.n + b.n - shared, 0)::DOUBLE, 6), 0) AS score,
+  CASE WHEN stated THEN 'equivalent' ELSE 'related' END || '_candidate' AS relation
+FROM x LEFT JOIN n a ON a.side = 0 AND a.ref = left_ref LEFT JOIN n b ON b.side = 1 AND b.ref = right_ref""")
+def shared_concepts(spark, sf_dir):
+    """The reference's rule: every pair with a common term or alias group, or that is stated; remainders of ids are the groups."""
+    side = lambda t, key: _table(spark, sf_dir, t).select(F.col(key).alias("ref"), T.term_set(F.col("text")).alias("terms"), F.array(F.concat(F.lit("g"), F.col(key) % 97)).alias("groups"))
+    left, right = side("benchmark", "item_id"), side("documents", "doc_id")
+    stated = left.select(F.col("ref").alias("left_ref")).join(right.select(F.col("ref").alias("right_ref")), F.col("left_ref") == F.col("right_ref")).withColumn("relation", F.lit("equivalent"))
+    pairs = alignment.candidates(left, right, explicit=stated)
+    return pairs.select("left_ref", "right_ref", F.size("shared_terms").alias("shared"), F.size("shared_groups").alias("n_groups"), "score", "relation")
+
+
 def _concepts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Customers and suppliers of the same number, each with a unit of money for its nation."""
     unit = "array(struct(CASE nation % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'CENT' ELSE 'KG' END AS name, IF(nation % 3 = 2, 'mass', 'money') AS dimension, IF(nation % 3 = 1, 0.01D, 1D) AS scale)) AS units"

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from docsieve.functions import predicates, text, units
 from docsieve.operators import alignment, changes, composition, graph, matching, planning, retrieval, sequences
+from docsieve.plans import queries
 from docsieve.sources import records
 from docsieve.streaming import incremental
 
@@ -210,6 +211,16 @@ def test_candidates_equal_all_pairs(spark, least):
     assert sorted(values(alignment.candidates(left, right, least=least), "left_ref", "right_ref")) == want
 
 
+def test_shared_concepts_keep_contained_groups_and_stated(spark, tmp_path):
+    long = "heat flux " + " ".join(f"word{i}" for i in range(60))
+    spark.createDataFrame([(1, "heat flux"), (2, "alone")], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(2, "other"), (5, long), (98, "none"), (3, "else")], "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert values(queries.aligned_concepts(spark, str(tmp_path))) == []
+    assert values(queries.shared_concepts(spark, str(tmp_path)), "left_ref", "right_ref", "shared", "n_groups", "relation") == [
+        (1, 5, 2, 0, "related_candidate"), (1, 98, 0, 1, "related_candidate"), (2, 2, 0, 1, "equivalent_candidate")
+    ]
+
+
 def test_differences_and_unit_maps(spark):
     kind = "ref int, d string, s array<string>, units array<struct<name:string,dimension:string,scale:double>>"
     left = spark.createDataFrame([(1, "x", ["p", "q"], [("m", "length", 1.0), ("kg", "mass", 1.0)]), (2, None, None, None)], kind)
