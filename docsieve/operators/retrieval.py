@@ -150,3 +150,12 @@ def overlap_search(queries: DataFrame, entries: DataFrame, *, query_id: str, ent
     counted = posted.join(wanted, "term").groupBy("query_id", "entry_id").agg(F.count("*").alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "entry_id")
     return counted.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
+
+
+def overlap_search_by_text(queries: DataFrame, entries: DataFrame, *, query_id: str, entry_id: str, text: str, tokens: Column, limit: int) -> DataFrame:
+    """:func:`overlap_search` for queries of which many have the same ``text``: each text is scored once and joined back."""
+    keyed = queries.select(F.col(query_id).alias("query_id"), F.col(text).alias("query_text"))
+    texts = keyed.groupBy("query_text").agg(F.min("query_id").alias("first_id"))
+    found = overlap_search(texts.withColumnRenamed("query_text", text), entries, query_id="first_id", entry_id=entry_id, tokens=tokens, limit=limit)
+    answers = found.select(F.col("query_id").alias("first_id"), "entry_id", "score", "place")
+    return keyed.join(texts, "query_text").join(answers, "first_id").select("query_id", "entry_id", "score", "place")

@@ -110,6 +110,18 @@ def token_search(spark, sf_dir):
     return retrieval.overlap_search(places, customers, query_id="n_nationkey", entry_id="c_custkey", tokens=words, limit=3)
 
 
+@query("""WITH c AS (SELECT DISTINCT c_custkey AS entry_id, unnest(regexp_extract_all(lower(r_name || ' ' || n_name), '[a-z0-9]+')) AS term FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON r_regionkey = n_regionkey),
+q AS (SELECT entry_id AS query_id, term FROM c WHERE entry_id % 50 = 0)
+SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id)::INT AS place
+FROM (SELECT query_id, entry_id, count(*) AS score FROM q JOIN c USING (term) GROUP BY 1, 2) QUALIFY place <= 3""")
+def customer_search(spark, sf_dir):
+    """Every 50th customer as a query against all customers, by the names of their places."""
+    places = _table(spark, sf_dir, "nation").join(_table(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", F.concat_ws(" ", "r_name", "n_name").alias("place_name"))
+    customers = _table(spark, sf_dir, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
+    words = F.regexp_extract_all(F.lower("place_name"), F.lit("[a-z0-9]+"), F.lit(0))
+    return retrieval.overlap_search_by_text(customers.filter("c_custkey % 50 = 0"), customers, query_id="c_custkey", entry_id="c_custkey", text="place_name", tokens=words, limit=3)
+
+
 @query("""WITH s AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark),
 o AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM documents),
 known AS (SELECT run, min(item_id) AS item_id FROM (SELECT item_id, unnest(list_transform(range(1, len(w) - 19), lambda i: array_to_string(w[i:i + 20], ' '))) AS run FROM s) GROUP BY 1),

@@ -52,6 +52,13 @@ def test_verbatim_copies_in_other_scripts(spark):
     assert values(found, "output_id", "n_windows", "first_source") == [(1, 2, 1), (3, 4, 2), (5, 2, 3)]
 
 
+def test_equal_query_texts_are_scored_once_and_all_answered(spark):
+    asked = spark.createDataFrame([(i, "asia china") for i in range(50)] + [(99, "asia japan"), (100, "mars")], "q int, place string")
+    entries = spark.createDataFrame([(1, "asia japan"), (2, "asia china"), (3, "asia china")], "e int, place string")
+    found = values(retrieval.overlap_search_by_text(asked, entries, query_id="q", entry_id="e", text="place", tokens=F.split("place", " "), limit=2))
+    assert found == sorted([(i, e, 2, e - 1) for i in range(50) for e in (2, 3)] + [(99, 1, 2, 1), (99, 2, 1, 2)], key=repr)
+
+
 def test_cycles_roots_and_reach(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c"), ("x", "y"), ("y", "z")], "src string, dst string")
     assert values(graph.cyclic_nodes(edges)) == [("a",), ("b",)]
