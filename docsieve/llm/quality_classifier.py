@@ -1,96 +1,80 @@
 """Quality classifier: supervised subword embeddings.
 
-A document is the average of learned vectors of its words and of their
-character n-grams, all hashed into buckets; a softmax over two classes follows.
-Fitted by stochastic gradient descent in numpy on a bounded labelled sample.
-For scoring, the output layer is folded into the buckets, so that a word is one
-number, remembered while a batch lasts.
+A document is the average of learned vectors: of its words, of its pairs of
+words and of the character n-grams of its words, all hashed into buckets; a
+softmax over two classes follows. Fitted by stochastic gradient descent in
+numpy on a bounded labelled sample. For scoring, the output layer is folded
+into the buckets, so that a feature is one number.
+
+Pairs of a word and itself share one bucket: a word said twice running is one
+feature whatever the word, which n-grams of known words can't tell.
 """
 
 from __future__ import annotations
 
-import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from operator import eq
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import labelled
+from . import hashed, labelled
 from .common import fresh, text_or_empty
 
-BUCKETS, DIM = 1 << 17, 16
+#: Buckets (a power of two) and numbers of a vector.
+BITS, DIM = 17, 16
+BUCKETS = 1 << BITS
 #: Lengths of the character n-grams of a word between its marks.
-NGRAMS = (3,)
-EPOCHS, RATE = 6, 2.0
-#: Words that a worker remembers at most, and bytes beyond which a word isn't remembered but taken in slices.
-MEMORY, LONG, SLICE = 300_000, 256, 1 << 16
-#: Pseudo-words: a word said twice running, and a text without words.
-TWICE, NOTHING = b"\x00twice", b"\x00nothing"
+NGRAMS = (3, 4, 5)
+EPOCHS, RATE = 4, 3.0
+_PAIR, _SAME, _SPREAD = np.uint32(0x27D4EB2F), np.uint32(1), np.uint32(0x2C1B3C6D)
 
 
-def features(word: bytes) -> list[int]:
-    """Buckets of a word and its character n-grams (n-grams of its UTF-8 bytes)."""
-    out = [zlib.crc32(word) % BUCKETS]
-    if word[:1] != b"\x00":
-        marked = b"<" + word + b">"
-        out += [zlib.crc32(marked[i : i + n], n) % BUCKETS for n in NGRAMS for i in range(len(marked) - n + 1)]
-    return out
+def _bucket(h: np.ndarray) -> np.ndarray:
+    return (h * _SPREAD) >> np.uint32(32 - BITS)
 
 
-def _crc_table() -> np.ndarray:
-    c = np.arange(256, dtype=np.uint32)
-    for _ in range(8):
-        c = np.where(c & 1, (c >> 1) ^ np.uint32(0xEDB88320), c >> 1)
-    return c
+def features(text: str, size: int | None = None) -> Iterator[np.ndarray]:
+    """Buckets of all features of a whole text, in arrays of bounded size.
 
-
-_CRC = _crc_table()
-
-
-def long_features(word: bytes, step: int | None = None) -> Iterator[np.ndarray]:
-    """The buckets of :func:`features` in arrays of bounded size; slices overlap by the bytes that an n-gram needs."""
-    step = step or SLICE
-    yield np.array([zlib.crc32(word) % BUCKETS])
-    marked = b"".join((b"<", word, b">"))
-    for n in NGRAMS:
-        for at in range(0, len(marked) - n + 1, step):
-            part = np.frombuffer(marked, dtype=np.uint8, count=min(step + n - 1, len(marked) - at), offset=at)
-            crc = np.full(len(part) - n + 1, ~np.uint32(n), dtype=np.uint32)
-            for k in range(n):
-                crc = _CRC[(crc ^ part[k : k + len(crc)]) & 0xFF] ^ (crc >> np.uint32(8))
-            yield (~crc % np.uint32(BUCKETS)).astype(np.int64)
-
-
-def words_of(text: str) -> tuple[list[bytes], int]:
-    """Words of a whole text, and how often one follows itself."""
-    words = text.encode().split()
-    return words, sum(map(eq, words, words[1:]))
+    The features don't depend on the slices. A text without words has one
+    feature, the word of no characters.
+    """
+    words, before, any_word = hashed.Words(), np.empty(0, np.uint32), False
+    tail = np.full(1, hashed.SPACE, dtype=np.uint32)
+
+    def of_words(new: np.ndarray) -> Iterator[np.ndarray]:
+        nonlocal before, any_word
+        if len(new):
+            any_word = True
+            run = np.concatenate([before, new])
+            first, second = run[:-1], run[1:]
+            yield _bucket(new)
+            yield _bucket(hashed.mixed(np.where(first == second, _SAME, first * _PAIR + second)))
+            before = run[-1:]
+
+    for codes in hashed.slices(text, size):
+        yield from of_words(words.feed(codes, hashed.white(codes)))
+        joined = np.concatenate([tail, codes])
+        yield from map(_bucket, hashed.ngrams(joined, len(tail), NGRAMS))
+        tail = joined[-(NGRAMS[-1] - 1) :]
+    yield from of_words(words.end())
+    if any_word:
+        yield from map(_bucket, hashed.ngrams(np.append(tail, np.uint32(hashed.SPACE)), len(tail), NGRAMS))
+    else:
+        yield _bucket(np.zeros(1, dtype=np.uint32))
 
 
 def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of a document and their shares of its features."""
-    words, twice = words_of(text)
-    total: Counter = Counter()
-    counted = Counter(words)
-    counted[TWICE] += 4 * twice  # weighs about as much as the n-grams of a word
-    if not words:
-        counted[NOTHING] = 1
-    for word, n in counted.items():
-        if n and len(word) > LONG:
-            for part in long_features(word):
-                for f, k in zip(*(x.tolist() for x in np.unique(part, return_counts=True)), strict=True):
-                    total[f] += n * k
-        elif n:
-            for f in features(word):
-                total[f] += n
-    ids = np.fromiter(total.keys(), dtype=np.int32, count=len(total))
-    share = np.fromiter(total.values(), dtype=np.float32, count=len(total))
-    return ids, share / share.sum()
+    counts = np.zeros(BUCKETS, dtype=np.int64)
+    for part in features(text):
+        ids, n = np.unique(part, return_counts=True)
+        counts[ids] += n
+    ids = np.flatnonzero(counts).astype(np.int32)
+    return ids, (counts[ids] / counts.sum()).astype(np.float32)
 
 
 @dataclass
@@ -100,43 +84,14 @@ class Model:
     weights: np.ndarray
     bias: float
 
-    def scorer(self) -> _Scorer:
-        return _Scorer(self)
-
-
-class _WordValues(dict):
-    def __init__(self, weights: np.ndarray):
-        self.weights = weights
-
-    def __missing__(self, word: bytes) -> float:
-        if len(word) > LONG:
-            return float(sum(self.weights[part].sum() for part in long_features(word)))
-        self[word] = value = float(self.weights[features(word)].sum())
-        return value
-
-
-class _WordSizes(dict):
-    def __missing__(self, word: bytes) -> int:
-        n = len(features(word)) if word[:1] == b"\x00" else 1 + sum(max(0, len(word) + 3 - k) for k in NGRAMS)
-        if len(word) <= LONG:
-            self[word] = n
-        return n
-
-
-class _Scorer:
-    def __init__(self, model: Model):
-        self.model, self.values, self.sizes = model, _WordValues(model.weights.astype(np.float64)), _WordSizes()
 
-    def __call__(self, text: str) -> float:
-        words, twice = words_of(text)
-        if len(self.values) > MEMORY:
-            self.values.clear()
-            self.sizes.clear()
-        if not words:
-            words = [NOTHING]
-        value = sum(map(self.values.__getitem__, words)) + 4 * twice * self.values[TWICE]
-        logit = value / (sum(map(self.sizes.__getitem__, words)) + 4 * twice) + self.model.bias
-        return float(1 / (1 + np.exp(-np.clip(logit, -60, 60))))
+def score_text(model: Model, text: str) -> float:
+    """Probability of class 1 of a whole text."""
+    total, n = 0.0, 0
+    for part in features(text):
+        total += float(model.weights[part].sum(dtype=np.float64))
+        n += len(part)
+    return float(1 / (1 + np.exp(-np.clip(total / n + model.bias, -60, 60))))
 
 
 def fit(rows: list[tuple[str, int]], *, epochs: int = EPOCHS, rate: float = RATE, dim: int = DIM, seed: int = 7, prior: float | None = None) -> Model:
@@ -170,8 +125,7 @@ def fit(rows: list[tuple[str, int]], *, epochs: int = EPOCHS, rate: float = RATE
     shift = 0.0
     if prior is not None and 0 < share_1 < 1:
         shift = float(np.log(prior / (1 - prior)) - np.log(share_1 / (1 - share_1)))
-    difference = out[:, 1] - out[:, 0]
-    return Model(table @ difference, float(bias[1] - bias[0]) + shift)
+    return Model(table @ (out[:, 1] - out[:, 0]), float(bias[1] - bias[0]) + shift)
 
 
 def score_column(text: Column, model: Model) -> Column:
@@ -179,9 +133,8 @@ def score_column(text: Column, model: Model) -> Column:
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        one = model.scorer()
         for texts in batches:
-            yield pd.Series([one(t) for t in texts], dtype="float64")
+            yield pd.Series([score_text(model, t) for t in texts], dtype="float64")
 
     return score(text)
 
