@@ -2,8 +2,9 @@
 
 A payload of bytes is kept as 8-bit mono PCM in a WAV container. Features are
 computed from the stored bytes: polyphase resampling, overlapped log-mel
-filterbanks and a segmentation by energy with hysteresis. Clips of a fixed
-number of frames are fixed-shape Arrow tensors with their time spans.
+filterbanks and a segmentation by energy with hysteresis. The log-mels are
+stored as fixed-shape Arrow tensors, clips of a fixed number of frames with
+their time spans, and features follow from the tensors read back.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fresh, quoted, utf8_bytes
+from .common import extended, fresh, quoted, utf8_bytes
 
 #: Payloads are padded with spaces to a positive multiple of this.
 BLOCK = 192
@@ -29,8 +30,10 @@ RATE = 8_000
 UP, DOWN = 2, 3
 TAPS = 24
 FRAME, HOP, MELS = 128, 64, 16
-#: Frames in one clip tensor; frames computed at once, so that memory stays bounded.
-CLIP_FRAMES, CHUNK_FRAMES = 32, 8_192
+#: Frames in one clip tensor, and the value of frames after the last.
+CLIP_FRAMES, FLOOR = 16, -8.0
+#: Samples turned over at once (a multiple of DOWN * HOP), so that memory stays bounded.
+CHUNK = 192 << 11
 #: A segment opens above the mean energy plus OPEN_DB and closes below the mean plus CLOSE_DB.
 OPEN_DB, CLOSE_DB = 0.3, -0.3
 
@@ -67,12 +70,18 @@ def _low_pass(up: int, down: int, taps: int) -> np.ndarray:
     return (up * h / h.sum()).reshape(taps, up).T.copy()
 
 
-def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS) -> np.ndarray:
-    """Polyphase resampling: only the samples that stay are computed, each from one phase of the filter."""
+def resample(x: np.ndarray, up: int = UP, down: int = DOWN, taps: int = TAPS, before: np.ndarray | None = None) -> np.ndarray:
+    """Polyphase resampling: only the samples that stay are computed, each from one phase of the filter.
+
+    ``before``: the samples ahead of ``x``, where it is not the start of the signal.
+    """
     phases = _low_pass(up, down, taps)
     n = len(x) * up // down
-    line = np.concatenate([np.zeros(taps - 1), x])
-    windows = np.lib.stride_tricks.sliding_window_view(line, taps)  # windows[i] ends at x[i]
+    ahead = np.zeros(taps - 1)
+    if before is not None and len(before):
+        last = before[-(taps - 1) :]
+        ahead[len(ahead) - len(last) :] = last
+    windows = np.lib.stride_tricks.sliding_window_view(np.concatenate([ahead, x]), taps)  # windows[i] ends at x[i]
     out = np.empty(n)
     for r in range(min(up, n)):
         count = (n - r + up - 1) // up
@@ -91,14 +100,11 @@ def _mel_bank(rate: float, frame: int, mels: int) -> np.ndarray:
     return np.maximum(0, np.minimum(rise, fall))
 
 
-def log_mel(x: np.ndarray, rate: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Chunks of (log-mel rows, energy in dB) of frames that overlap by half."""
+def log_mel(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
+    """Log-mel rows and energies in dB of frames that overlap by half."""
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    bank, window = _mel_bank(rate, FRAME, MELS), np.hanning(FRAME)
-    for i in range(0, len(frames), CHUNK_FRAMES):
-        part = frames[i : i + CHUNK_FRAMES]
-        power = np.abs(np.fft.rfft(part * window)) ** 2
-        yield np.log10(power @ bank + 1e-8), 10 * np.log10((part * part).mean(axis=1) + 1e-8)
+    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME))) ** 2
+    return np.log10(power @ _mel_bank(rate, FRAME, MELS) + 1e-8), 10 * np.log10((frames * frames).mean(axis=1) + 1e-8)
 
 
 def segments(energy: np.ndarray, opens: float, closes: float) -> tuple[np.ndarray, np.ndarray]:
@@ -110,23 +116,76 @@ def segments(energy: np.ndarray, opens: float, closes: float) -> tuple[np.ndarra
     return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
 
 
-def analyse(samples: bytes, rate: int) -> dict:
-    """Everything known of one recording; sums run over whole recordings, in chunks."""
-    x = (np.frombuffer(samples, dtype=np.uint8).astype(np.float64) - 128) / 128
-    y = resample(x)
+def analyse(samples: bytes, rate: int, chunk: int = CHUNK) -> tuple[np.ndarray, np.ndarray, float]:
+    """Log-mel rows (float16), energies in dB and the new rate of a whole recording, worked out chunk by chunk."""
     own_rate = rate * UP / DOWN
-    if len(y) < FRAME:
-        y = np.concatenate([y, np.zeros(FRAME - len(y))])
-    mels, energies = zip(*log_mel(y, own_rate), strict=True)
-    energy = np.concatenate(energies)
+    mels, energies, ahead, held = [], [], np.empty(0), np.empty(0)
+    for i in range(0, len(samples), chunk):
+        x = (np.frombuffer(samples, dtype=np.uint8, offset=i, count=min(chunk, len(samples) - i)).astype(np.float64) - 128) / 128
+        held = np.concatenate([held, resample(x, before=ahead)])
+        ahead = x
+        if i + chunk >= len(samples) and not mels and len(held) < FRAME:
+            held = np.concatenate([held, np.zeros(FRAME - len(held))])
+        if len(held) >= FRAME:
+            m, e = log_mel(held, own_rate)
+            mels.append(m.astype(np.float16))
+            energies.append(e)
+            held = held[len(e) * HOP :]
+    return np.concatenate(mels), np.concatenate(energies), own_rate
+
+
+def tensor_type():
+    import pyarrow as pa
+
+    return pa.fixed_shape_tensor(pa.float16(), (CLIP_FRAMES, MELS))
+
+
+def clip_schema():
+    """Columns of a recording's clips: frames in the clip, those inside segments, their energy (sum of dB), time span, log-mels."""
+    import pyarrow as pa
+
+    return pa.schema([("frames", pa.int32()), ("active_frames", pa.int32()), ("energy", pa.float64()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("log_mel", tensor_type())])
+
+
+def clips_of(samples: bytes, rate: int):
+    """(record batch of :func:`clip_schema`, (start_s, end_s) of each segment) of one recording."""
+    import pyarrow as pa
+
+    mels, energy, own_rate = analyse(samples, rate)
     starts, ends = segments(energy, energy.mean() + OPEN_DB, energy.mean() + CLOSE_DB)
-    return {"rate": own_rate, "mels": mels, "n_frames": len(energy), "mean": sum(m.sum(axis=0) for m in mels) / len(energy), "energy": energy, "starts": starts, "ends": ends}
+    n = -(-len(energy) // CLIP_FRAMES)
+    full = np.full((n * CLIP_FRAMES, MELS), FLOOR, dtype=np.float16)
+    full[: len(mels)] = mels
+    inside = np.zeros(len(energy) + 1, dtype=np.int64)
+    np.add.at(inside, starts, 1)
+    np.add.at(inside, ends, -1)
+    first = np.arange(n) * CLIP_FRAMES
+    last = np.minimum(first + CLIP_FRAMES, len(energy))
+    sums = [np.add.reduceat(v, first) for v in (np.cumsum(inside)[:-1], energy)]
+    time = lambda f, to: (f * HOP if to == 0 else (f - 1) * HOP + FRAME) / own_rate
+    columns = [pa.array((last - first).astype(np.int32)), pa.array(sums[0].astype(np.int32)), pa.array(sums[1]), pa.array(time(first, 0)), pa.array(time(last, 1))]
+    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, CLIP_FRAMES, MELS))
+    return pa.RecordBatch.from_arrays([*columns, tensor], schema=clip_schema()), (time(starts, 0), time(ends, 1))
+
+
+def read_clips(stored: bytes):
+    """The record batch that ``clips`` of :func:`clip_tensors` holds, tensors included."""
+    import pyarrow as pa
+
+    return pa.ipc.read_record_batch(pa.py_buffer(stored), clip_schema())
 
 
-def feature_text(a: dict) -> str:
-    """Frames, segments, frames inside them, mean energy and mean log-mels, rounded."""
-    numbers = [a["energy"].mean(), *a["mean"]]
-    return f"{a['n_frames']};{len(a['starts'])};{int((a['ends'] - a['starts']).sum())};" + ",".join(f"{v:.3f}" for v in numbers)
+def feature_text(clips, n_segments: int) -> str:
+    """Frames, segments, frames inside them, mean energy and mean log-mels of a record batch of clips, rounded."""
+    frames = clips["frames"].to_numpy()
+    total, mean = int(frames.sum()), np.zeros(MELS)
+    tensor, step = clips["log_mel"].to_numpy_ndarray(), CHUNK // (HOP * CLIP_FRAMES)
+    for i in range(0, len(frames), step):
+        part = tensor[i : i + step]
+        real = np.arange(CLIP_FRAMES) < frames[i : i + step, None]
+        mean += part[real].astype(np.float64).sum(axis=0)
+    numbers = [clips["energy"].to_numpy().sum() / total, *(mean / total)]
+    return f"{total};{n_segments};{int(clips['active_frames'].to_numpy().sum())};" + ",".join(f"{v:.3f}" for v in numbers)
 
 
 def store_media(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -146,69 +205,86 @@ def store_media(docs: DataFrame, *, text_col: str = "text") -> DataFrame:
     return docs.select(*rest, F.octet_length(utf8_bytes(text_col)).cast("long").alias(n), wav(utf8_bytes(text_col)).alias(media))
 
 
-def features(recordings: DataFrame, *, media_col: str = "media") -> DataFrame:
-    """``recordings`` with a struct ``audio`` of digests and features in place of the media.
+AUDIO = "struct<payload_bytes:bigint,payload_sha256:string,tail_crc32:bigint,media_bytes:bigint,media_sha256:string>"
+SEGMENTS = "array<struct<start_s:double,end_s:double>>"
 
-    Fields: payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes),
-    media_bytes, media_sha256, feature. All of them follow from the stored
-    bytes alone, so equal media have equal values.
+
+def clip_tensors(recordings: DataFrame, *, media_col: str = "media") -> DataFrame:
+    """``recordings`` with ``audio``, ``segments`` and ``clips`` in place of the media.
+
+    ``audio``: payload_bytes, payload_sha256, tail_crc32 (of the last 16 bytes),
+    media_bytes, media_sha256, all of the stored bytes. ``segments``: the time
+    spans of energy segments. ``clips`` (binary): an Arrow record batch of
+    :func:`clip_schema`, whose log-mels are fixed-shape tensors of CLIP_FRAMES x
+    MELS with their time spans (the last clip is filled up with FLOOR);
+    :func:`read_clips` opens it. Equal media have equal values. A null
+    recording has nulls for all three; repeated rows are rows of their own; new
+    names that clash get a leading underscore; an empty table gives an empty
+    result. Recordings go through whole, worked on in chunks of samples.
     """
-    (name,) = fresh(recordings.drop(media_col), "audio")
-    kind = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    names = fresh(recordings.drop(media_col), "audio", "segments", "clips")
+
+    def start():
+        import pyarrow as pa
+
+        digest = pa.struct([("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string())])
+        span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 
-    @F.pandas_udf(kind)
-    def audio(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for media in batches:
-            rows = []
+        def work(media):
+            audio, cuts, stored = [], [], []
             for m in media:
+                if not m.is_valid:
+                    audio.append(None), cuts.append(None), stored.append(None)
+                    continue
+                m = m.as_py()
                 samples, rate = from_wav(m)
-                rows.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature_text(analyse(samples, rate))))
-            yield pd.DataFrame(rows, columns=["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"])
+                clips, spans = clips_of(samples, rate)
+                audio.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(m), hashlib.sha256(m).hexdigest()))
+                cuts.append([{"start_s": a, "end_s": b} for a, b in zip(*(x.tolist() for x in spans), strict=True)])
+                stored.append(clips.serialize().to_pybytes())
+            rows = [None if a is None else dict(zip((f.name for f in digest), a, strict=True)) for a in audio]
+            return [pa.array(rows, digest), pa.array(cuts, pa.list_(span)), pa.array(stored, pa.binary())]
 
-    return recordings.select(*(quoted(c) for c in recordings.columns if c != media_col), audio(quoted(media_col)).alias(name))
+        return work
 
+    return extended(recordings, media_col, start, keep=False, **dict(zip(names, (AUDIO, SEGMENTS, "binary"), strict=True)))
 
-def clips(recordings: DataFrame, *, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """One row per clip: id, clip, start_s, end_s, active and ``log_mel``.
 
-    ``log_mel`` comes from a fixed-shape Arrow tensor of CLIP_FRAMES x MELS
-    (row-major array<float>; the last clip is padded with the floor value);
-    :func:`tensors` gives the tensor array of a collected or reread batch.
-    ``active`` says whether half of the clip's frames lie in segments.
+def features(clipped: DataFrame, *, clips_col: str = "clips", segments_col: str = "segments") -> DataFrame:
+    """``clipped`` (of :func:`clip_tensors`) with a string ``feature`` in place of the clips and segments.
+
+    It follows from the stored tensors and spans alone. Rows without clips have
+    a null; a name that clashes gets a leading underscore.
+    """
+    rest = [c for c in clipped.columns if c not in (clips_col, segments_col)]
+    (name,) = fresh(clipped.select(*(quoted(c) for c in rest)), "feature")
+
+    @F.pandas_udf("string")
+    def feature(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for clips, n in batches:
+            yield pd.Series([None if c is None else feature_text(read_clips(c), int(k)) for c, k in zip(clips, n, strict=True)], dtype=object)
+
+    return clipped.select(*(quoted(c) for c in rest), feature(quoted(clips_col), F.size(quoted(segments_col))).alias(name))
+
+
+def clip_rows(clipped: DataFrame, *, id_col: str = "doc_id", clips_col: str = "clips") -> DataFrame:
+    """One row per stored clip: id, clip, frames, active_frames, start_s, end_s and ``log_mel`` (array<float>, row by row).
+
+    Rows without clips give none; ids are passed on as they are.
     """
     import pyarrow as pa
 
-    id_type = recordings.schema[id_col].dataType.simpleString()
+    id_type = clipped.schema[id_col].dataType.simpleString()
 
     def cut(batches):
         for batch in batches:
-            for key, media in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
-                a = analyse(*from_wav(media))
-                inside = np.zeros(a["n_frames"] + 1)
-                np.add.at(inside, a["starts"], 1)
-                np.add.at(inside, a["ends"], -1)
-                inside = np.cumsum(inside)[:-1]
-                at = 0
-                for mels in a["mels"]:  # chunks are whole multiples of a clip, but for the last
-                    n = -(-len(mels) // CLIP_FRAMES)
-                    full = np.full((n * CLIP_FRAMES, MELS), -8.0, dtype=np.float32)
-                    full[: len(mels)] = mels
-                    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, CLIP_FRAMES, MELS))
-                    first = at + np.arange(n) * CLIP_FRAMES
-                    last = np.minimum(first + CLIP_FRAMES, a["n_frames"])
-                    share = np.array([inside[i:j].mean() for i, j in zip(first, last, strict=True)])
-                    spans = [pa.array(first * HOP / a["rate"]), pa.array(((last - 1) * HOP + FRAME) / a["rate"])]
-                    rows = [pa.array([key.as_py()] * n, type=batch.column(0).type), pa.array((first // CLIP_FRAMES).astype(np.int32)), *spans, pa.array(share >= 0.5), tensor.storage.cast(pa.list_(pa.float32()))]
-                    yield pa.RecordBatch.from_arrays(rows, names=["id", "clip", "start_s", "end_s", "active", "log_mel"])
-                    at += len(mels)
-
-    return recordings.select(quoted(id_col), quoted(media_col)).mapInArrow(cut, f"id {id_type}, clip int, start_s double, end_s double, active boolean, log_mel array<float>")
-
-
-def tensors(log_mel):
-    """A fixed-shape tensor array from an Arrow list column of clips."""
-    import pyarrow as pa
-
-    kind = pa.fixed_shape_tensor(pa.float32(), (CLIP_FRAMES, MELS))
-    flat = pa.FixedSizeListArray.from_arrays(log_mel.flatten(), CLIP_FRAMES * MELS)
-    return pa.ExtensionArray.from_storage(kind, flat)
+            for key, stored in zip(batch.column(0), batch.column(1), strict=True):
+                if stored.is_valid:
+                    own = read_clips(stored.as_py())
+                    n = own.num_rows
+                    flat = own["log_mel"].to_numpy_ndarray().astype(np.float32).ravel()
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * CLIP_FRAMES * MELS), pa.array(flat))
+                    names = ["frames", "active_frames", "start_s", "end_s"]
+                    yield pa.RecordBatch.from_arrays([pa.array([key.as_py()] * n, type=batch.column(0).type), pa.array(np.arange(n, dtype=np.int32)), *(own[c] for c in names), lists], names=["id", "clip", *names, "log_mel"])
+
+    return clipped.select(quoted(id_col), quoted(clips_col)).mapInArrow(cut, f"id {id_type}, clip int, frames int, active_frames int, start_s double, end_s double, log_mel array<float>")

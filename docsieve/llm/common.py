@@ -4,20 +4,28 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 
+#: Bytes of a column that a worker turns over before it hands rows on.
+SLICE = 2 << 20
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``; where that is unset
-    (a plain local session) a temporary folder is made and set.
+    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
+    session in one process (tests) gets a temporary folder; a cluster, whose
+    machines would not share it, gets an error.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="docsieve-")
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -77,3 +85,37 @@ def with_fields(schema: StructType, **types: str) -> StructType:
 
 def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
+
+
+def extended(docs: DataFrame, column: str, start: Callable, *, keep: bool = True, **types: str) -> DataFrame:
+    """``docs`` plus new columns. ``start()`` gives, once per task, the function from the
+    values of ``column`` to the Arrow arrays of the new columns. ``keep``: whether
+    ``column`` itself stays.
+
+    Rows go through in slices of about SLICE bytes (a longer value is a slice of
+    its own), so that memory follows neither the batch size nor the table.
+    """
+    place = docs.columns.index(column)
+    stay = [i for i in range(len(docs.columns)) if keep or i != place]
+    schema = with_fields(StructType([docs.schema[i] for i in stay]), **types)
+    names = schema.names
+
+    def run(batches) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        work = start()
+        for batch in batches:
+            values = batch.column(place)
+            length = pc.list_value_length if pa.types.is_list(values.type) else pc.binary_length
+            sizes = np.cumsum(length(values).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
+            first = 0
+            while first < len(values):
+                done = sizes[first - 1] if first else 0
+                end = max(first + 1, int(np.searchsorted(sizes, done + SLICE, side="right")))
+                part = batch.slice(first, end - first)
+                yield pa.RecordBatch.from_arrays([*(part.column(i) for i in stay), *work(part.column(place))], names=names)
+                first = end
+
+    return docs.mapInArrow(run, schema)

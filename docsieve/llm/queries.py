@@ -30,7 +30,8 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = materialize(audio.store_media(_table(spark, sf_dir, "documents").select("doc_id", "text")), "media", "zstd")
-    return audio.features(stored).select("doc_id", "n_bytes", "audio.*")
+    clips = materialize(audio.clip_tensors(stored), "clips", "zstd")
+    return audio.features(clips).select("doc_id", "n_bytes", "audio.*", "feature")
 
 
 def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -45,6 +46,8 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size("token_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("token_ids").cast("array<string>")), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
+        F.coalesce(F.try_element_at("token_offsets", F.lit(-1))["end"], F.lit(0)).cast("long").alias("n_chars"),
+        F.xxhash64("token_offsets").alias("offsets_hash"),
     )
 
 
@@ -55,7 +58,8 @@ def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = warc.archive(_table(spark, sf_dir, "pages"))
-    return warc.records(warc.read_chunks(manifest, with_data=False))
+    records = warc.records(warc.read_chunks(manifest, with_data=False))
+    return records.withColumns({c: F.col(c).cast("long") for c in ("page_id", "refers_to")})
 
 
 def _scored(scored: DataFrame, least: float) -> DataFrame:
