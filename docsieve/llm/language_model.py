@@ -7,10 +7,11 @@ a held-out part of the training documents, whose own counts are deleted from
 the model for that.
 
 The corpus is cut into blocks of documents. A block knows its distinct words
-and word pairs as 64-bit hashes and asks for their counts: the requests are
-dealt by hash to the partitions that add up the counts of all blocks, and the
-answers go back to the blocks. A frequent word is one entry per block, however
-often it occurs, so no key is hot; entries are binary columns of sorted hashes.
+and word pairs as 64-bit hashes. They go, in array columns, to the partition
+that adds up the counts of their range of hashes over all blocks, and the sums
+come back to the block. A frequent word is one entry per block, however often
+it occurs, so no key is hot; a range without entries of a block makes no row,
+so that rows never outnumber the entries.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ from .common import id_remainder, materialize, quoted, text_or_empty
 #: Documents whose crc32 modulo FOLDS is 0 are never learned from; those with
 #: remainder DELETED are learned from, and held out while the weights are fitted.
 FOLDS, DELETED = 10, 1
-#: Tokens of a block, and entries that one counting partition gets about.
-BLOCK, ENTRIES = 1_000_000, 1_500_000
+#: Tokens of a block, and entries of a range of hashes, about.
+BLOCK, ENTRIES = 1_000_000, 1_000_000
 #: Tokens whose probabilities are worked out at once.
 SLICE = 1 << 17
 #: Buckets of context counts: bit lengths up to BUCKETS - 1.
@@ -38,11 +39,12 @@ STEPS = 8
 END = b"\n"
 ADD = 0.1
 ROUNDS, ENOUGH = 200, 1e-7
+#: Kinds of entries.
+WORD, PAIR = 0, 1
 
-BLOCKS = "block long, role int, ids binary, lengths binary, words binary, tokens binary"
-REQUESTS = "block long, role int, kind int, part int, keys binary, counts binary"
-ANSWERS = "block long, role int, kind int, part int, counts binary, deleted binary"
-SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
+BLOCKS = "block long, role int, ids array<{}>, lengths array<int>, words array<long>, tokens array<int>"
+REQUESTS = "part long, block long, role int, keys array<long>, counts array<int>"
+ANSWERS = "part long, block long, role int, counts array<long>, deleted array<long>, n long, v long, n_deleted long"
 
 
 def _hash_words(words: list[bytes]) -> np.ndarray:
@@ -58,11 +60,23 @@ def _hash_pairs(first: np.ndarray, second: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+def _list(values: np.ndarray, kind):
+    """One Arrow list from numbers."""
+    import pyarrow as pa
+
+    return pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), pa.array(values, kind))
+
+
+def _array(lists, i: int = 0) -> np.ndarray:
+    """The i-th list of an Arrow column as numbers."""
+    return lists[i].values.to_numpy(zero_copy_only=False)
+
+
 def blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Rows of BLOCKS: documents of one role (0 never learned from, 1 held out for the weights, 2 others).
 
-    ``tokens`` numbers the block's distinct words (int32), whose hashes are
-    ``words``. A document is never cut.
+    ``tokens`` numbers the block's distinct words, whose hashes are ``words``.
+    A document is never cut; ids keep their type.
     """
     remainder = id_remainder(id_col, FOLDS)
     role = F.when(remainder == 0, 0).when(remainder == DELETED, 1).otherwise(2).cast("int")
@@ -72,27 +86,27 @@ def blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
         from pyspark import TaskContext
 
         names = ["block", "role", "ids", "lengths", "words", "tokens"]
-        task, made = TaskContext.get().partitionId(), 0
+        task, made, id_type = TaskContext.get().partitionId(), 0, None
         held: dict[int, tuple] = {}
 
         def flush(r):
             nonlocal made
-            ids, nulls, lengths, index, tokens, _ = held.pop(r)
-            own = np.array([ids, nulls], dtype=np.int64)
+            ids, lengths, index, tokens, _ = held.pop(r)
             made += 1
-            cells = [(task << 24) + made, r, own.tobytes(), np.array(lengths, dtype=np.int64).tobytes(), _hash_words(list(index)).tobytes(), np.concatenate(tokens).tobytes()]
-            return pa.RecordBatch.from_arrays([pa.array([c], t) for c, t in zip(cells, [pa.int64(), pa.int32(), *[pa.binary()] * 4], strict=True)], names=names)
+            cells = [pa.array([(task << 24) + made]), pa.array([r], pa.int32()), pa.array([ids], pa.list_(id_type)), _list(np.array(lengths), pa.int32())]
+            cells += [_list(_hash_words(list(index)).view(np.int64), pa.int64()), _list(np.concatenate(tokens), pa.int32())]
+            return pa.RecordBatch.from_arrays(cells, names=names)
 
         for batch in batches:
-            for key, r, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+            id_type = batch.column(0).type
+            for key, r, text in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
                 if r not in held:
-                    held[r] = ([], [], [], {END: 0}, [], [0])
-                ids, nulls, lengths, index, tokens, n = held[r]
+                    held[r] = ([], [], {END: 0}, [], [0])
+                ids, lengths, index, tokens, n = held[r]
                 words = text.as_py().encode().lower().split()
                 words.append(END)
                 tokens.append(np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int32, count=len(words)))
-                ids.append(key or 0)
-                nulls.append(key is None)
+                ids.append(key.as_py())
                 lengths.append(len(words))
                 n[0] += len(words)
                 if n[0] >= block:
@@ -100,7 +114,8 @@ def blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
         for r in list(held):
             yield flush(r)
 
-    return docs.select(quoted(id_col).cast("long"), role, text_or_empty(text_col)).mapInArrow(build, BLOCKS)
+    id_type = docs.schema[id_col].dataType.simpleString()
+    return docs.select(quoted(id_col), role, text_or_empty(text_col)).mapInArrow(build, BLOCKS.format(id_type))
 
 
 def _pairs(tokens: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,10 +123,7 @@ def _pairs(tokens: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[
 
     A document's first token follows the end of another, so END is its context.
     """
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = 0
-    code, place, counts = np.unique(before.astype(np.int64) * len(words) + tokens, return_inverse=True, return_counts=True)
+    code, place, counts = np.unique(_before(tokens, lengths).astype(np.int64) * len(words) + tokens, return_inverse=True, return_counts=True)
     keys = _hash_pairs(words[code // len(words)], words[code % len(words)])
     order = np.argsort(keys)
     rank = np.empty_like(order)
@@ -119,105 +131,96 @@ def _pairs(tokens: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[
     return keys[order], rank[place], counts[order]
 
 
-def _read(row: dict) -> tuple[np.ndarray, ...]:
-    own = np.frombuffer(row["ids"], dtype=np.int64).reshape(2, -1)
-    return own[0], own[1], np.frombuffer(row["lengths"], dtype=np.int64), np.frombuffer(row["words"], dtype=np.uint64), np.frombuffer(row["tokens"], dtype=np.int32)
+def _before(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The context of each token; END is that of a document's first."""
+    before = np.empty_like(tokens)
+    before[1:] = tokens[:-1]
+    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = 0
+    return before
+
 
+def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, words and tokens of the only row of a table of BLOCKS."""
+    lengths, words, tokens = (_array(row[c]) for c in ("lengths", "words", "tokens"))
+    return lengths, words.view(np.uint64), tokens
 
-def _cuts(keys: np.ndarray, parts: int) -> np.ndarray:
-    """Where sorted keys go from one counting partition to the next."""
-    edges = (np.arange(1, parts, dtype=object) * (1 << 64)) // parts
-    return np.concatenate([[0], np.searchsorted(keys, np.array([int(e) for e in edges], dtype=np.uint64)), [len(keys)]])
 
+def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The ranges (first ``bits`` bits) of sorted keys, and where each starts, with the end."""
+    own = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), dtype=np.int64)
+    at = np.flatnonzero(np.diff(own, prepend=-1))
+    return own[at], np.append(at, len(keys))
 
-def requests(made: DataFrame, parts: int) -> DataFrame:
-    """What the blocks ask for: per kind (1 words, 2 pairs) and partition the sorted hashes and the block's own counts."""
+
+def requests(made: DataFrame, bits: int) -> DataFrame:
+    """Rows of REQUESTS: per kind and range of hashes what a block has, keys ascending, with its own counts.
+
+    ``part`` is twice the range plus the kind. There are 2 ** bits ranges.
+    """
 
     def ask(batches) -> Iterator:
         import pyarrow as pa
 
-        names = ["block", "role", "kind", "part", "keys", "counts"]
         for batch in batches:
-            for row in batch.to_pylist():
-                _, _, lengths, words, tokens = _read(row)
+            for i in range(batch.num_rows):
+                row = batch.slice(i, 1)
+                lengths, words, tokens = _read(row)
                 order = np.argsort(words)
                 single = (words[order], np.bincount(tokens, minlength=len(words))[order])
                 pair_keys, _, pair_counts = _pairs(tokens, lengths, words)
-                for kind, (keys, counts) in enumerate((single, (pair_keys, pair_counts)), 1):
-                    at = _cuts(keys, parts)
-                    cells = [(row["block"], row["role"], kind, p, keys[i:j].tobytes(), counts[i:j].astype(np.int32).tobytes()) for p, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i]
-                    kinds = [pa.int64(), *[pa.int32()] * 3, pa.binary(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*cells, strict=True), kinds, strict=True)], names=names)
+                for kind, (keys, counts) in ((WORD, single), (PAIR, (pair_keys, pair_counts))):
+                    own, at = _ranges(keys, bits)
+                    ends = pa.array(at, pa.int32())
+                    same = [pa.repeat(pa.scalar(row.column(c)[0].as_py(), t), len(own)) for c, t in (("block", pa.int64()), ("role", pa.int32()))]
+                    lists = [pa.ListArray.from_arrays(ends, pa.array(v, t)) for v, t in ((keys.view(np.int64), pa.int64()), (counts, pa.int32()))]
+                    yield pa.RecordBatch.from_arrays([pa.array(own * 2 + kind), *same, *lists], names=["part", "block", "role", "keys", "counts"])
 
     return made.mapInArrow(ask, REQUESTS)
 
 
-def _packed(counts: np.ndarray) -> bytes:
-    """Counts as bytes where they are under 255, the others apart."""
-    small = np.minimum(counts, 255).astype(np.uint8)
-    return small.tobytes() + counts[small == 255].astype(np.int64).tobytes()
-
-
-def _unpacked(packed: bytes, n: int) -> np.ndarray:
-    out = np.frombuffer(packed, dtype=np.uint8, count=n).astype(np.int64)
-    out[out == 255] = np.frombuffer(packed, dtype=np.int64, offset=n) if len(packed) > n else out[:0]
-    return out
-
-
-def answers(asked: DataFrame) -> DataFrame:
-    """The counts over all training documents, to each block in the order of its keys.
+def answers(asked: DataFrame, ranges: int) -> DataFrame:
+    """Rows of ANSWERS: the counts over all training documents, to each block in the order of its keys.
 
     ``deleted``: the part of them that comes from documents of role 1, for
-    blocks of role 1 only. A row with block -1 per partition and kind has the
-    number of training tokens and of distinct ones in place of the counts.
+    blocks of role 1 only. One row per part, without a block, has the number of
+    training tokens (n), of distinct ones (v) and of deleted ones in it.
     """
 
     def add(table):
         import pyarrow as pa
 
-        role, n = table["role"].to_numpy(), table.num_rows
-        keys = [np.frombuffer(k.as_buffer(), dtype=np.uint64) for k in table["keys"]]
-        counts = [np.frombuffer(c.as_buffer(), dtype=np.int32) for c in table["counts"]]
-        sizes = np.array([len(k) for k in keys])
-        all_keys, place = np.unique(np.concatenate(keys), return_inverse=True)
-        own = np.concatenate(counts).astype(np.float64)
-        whose = np.repeat(role, sizes)
-        deleted = np.bincount(place, own * (whose == 1), len(all_keys)).astype(np.int64)
-        total = np.bincount(place, own * (whose != 0), len(all_keys)).astype(np.int64)
-        ends = np.cumsum(sizes)
-        rows = []
-        for i in range(n):
-            at = place[ends[i] - sizes[i] : ends[i]]
-            rows.append((_packed(total[at]), _packed(deleted[at]) if role[i] == 1 else None))
-        kind, part = table["kind"][0].as_py(), table["part"][0].as_py()
-        sums = np.array([total.sum(), (total > 0).sum(), deleted.sum()], dtype=np.int64).tobytes()
-        arrays = [
-            pa.array([*table["block"].to_pylist(), -1], pa.int64()), pa.array([*role.tolist(), -1], pa.int32()),
-            pa.array([kind] * (n + 1), pa.int32()), pa.array([part] * (n + 1), pa.int32()),
-            pa.array([*(r[0] for r in rows), sums], pa.binary()), pa.array([*(r[1] for r in rows), None], pa.binary()),
-        ]
-        return pa.Table.from_arrays(arrays, names=["block", "role", "kind", "part", "counts", "deleted"])
-
-    return asked.groupBy("kind", "part").applyInArrow(add, ANSWERS)
-
-
-def _counts(row: dict, got: dict, which: str) -> tuple[np.ndarray, ...]:
+        table = table.combine_chunks()
+        role, keys = table["role"].to_numpy(), table["keys"].chunk(0)
+        ends = keys.offsets.to_numpy()
+        all_keys, place = np.unique(keys.values.to_numpy()[ends[0] : ends[-1]], return_inverse=True)
+        own, whose = table["counts"].chunk(0).flatten().to_numpy().astype(np.float64), np.repeat(role, np.diff(ends))
+        total, deleted = (np.bincount(place, own * of, len(all_keys)).astype(np.int64) for of in (whose != 0, whose == 1))
+        back = pa.array(ends - ends[0], pa.int32())
+        wanted, cut = whose == 1, np.concatenate([[0], np.cumsum(np.where(role == 1, np.diff(ends), 0))])
+        part, n = table["part"][0].as_py(), table.num_rows
+        answer = pa.table([
+            pa.array([part] * n), table["block"].chunk(0), table["role"].chunk(0),
+            pa.ListArray.from_arrays(back, pa.array(total[place])),
+            pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(deleted[place[wanted]])),
+            *[pa.nulls(n, pa.int64())] * 3,
+        ], names=[x.split()[0] for x in ANSWERS.split(", ")])
+        sums = {"part": [part], "n": [int(total.sum())], "v": [int((total > 0).sum())], "n_deleted": [int(deleted.sum())]}
+        return pa.concat_tables([answer, pa.table(sums)], promote_options="default")
+
+    return asked.repartition(2 * ranges, "part").groupBy("part").applyInArrow(add, ANSWERS)
+
+
+def _counts(row, got, which: str) -> list[np.ndarray]:
     """Counts per token of a block: of the token, of its context, of the pair. ``which``: counts or deleted."""
-    _, _, lengths, words, tokens = _read(row)
+    lengths, words, tokens = _read(row)
+    parts, lists = got["part"].to_numpy(), got[which]
     order = np.argsort(words)
+    # a block's rows in the order of their ranges have its keys in ascending order
+    word, pair = (np.concatenate([_array(lists, i) for i in sorted(np.flatnonzero(parts % 2 == kind).tolist(), key=parts.__getitem__)]) for kind in (WORD, PAIR))
     of_word = np.empty(len(words), dtype=np.int64)
-    of_word[order] = _gathered(got, 1, which, words[order])
-    keys, place, _ = _pairs(tokens, lengths, words)
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = 0
-    return of_word[tokens], of_word[before], _gathered(got, 2, which, keys)[place]
-
-
-def _gathered(got: dict, kind: int, which: str, keys: np.ndarray) -> np.ndarray:
-    parts = got["parts"]
-    at = _cuts(keys, parts)
-    return np.concatenate([_unpacked(got[kind, p][which], j - i) for p, (i, j) in enumerate(zip(at[:-1], at[1:], strict=True)) if j > i])
+    of_word[order] = word
+    _, place, _ = _pairs(tokens, lengths, words)
+    return [of_word[tokens], of_word[_before(tokens, lengths)], pair[place]]
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -265,15 +268,14 @@ def em(cells: list[tuple[int, int, int, int]], v: int) -> np.ndarray:
     return np.stack([fit(table[:, 0] == b, overall) if (table[:, 0] == b).any() else overall for b in range(BUCKETS)])
 
 
-def _together(made: DataFrame, answered: DataFrame, work, schema: str) -> DataFrame:
-    """``work(row of a block, its answers)`` for each block; its result is an Arrow table."""
+def _together(made: DataFrame, answered: DataFrame, n_blocks: int, work, schema: str) -> DataFrame:
+    """``work(row of a block, its answers)`` for each block, as Arrow tables; so is its result."""
 
     def both(left, right):
-        row = left.to_pylist()[0]
-        got = {(r["kind"], r["part"]): r for r in right.to_pylist()}
-        return work(row, got)
+        return work(left.combine_chunks(), right.combine_chunks())
 
-    return made.groupBy("block").cogroup(answered.filter("block >= 0").groupBy("block")).applyInArrow(both, schema)
+    left, right = made.repartition(n_blocks, "block"), answered.filter("block IS NOT NULL").repartition(n_blocks, "block")
+    return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(both, schema)
 
 
 def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK, entries: int = ENTRIES) -> DataFrame:
@@ -282,25 +284,25 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
     Tokens are the words of the whole text, A to Z lower-cased, and one end
     token. ``base_score`` adds log10 of the add-0.1 unigram estimate over the
     tokens, ``score`` log10 of the mixed estimate. Null texts are empty ones
-    (one token); null ids count as held out; repeated rows count each by
-    itself; without any training document all counts are 0 and the uniform
-    estimate is what is left. Counts are kept by 64-bit hashes of words and pairs.
+    (one token); null ids count as held out by the crc32 of an empty text, ids
+    keep their type; repeated rows count each by itself; other columns, whatever
+    their names, are not looked at; without any training document all counts
+    are 0 and the uniform estimate is what is left; an empty table gives an
+    empty result. Counts are kept by 64-bit hashes of words and pairs.
     """
     import pyarrow as pa
 
+    id_type = docs.schema[id_col].dataType.simpleString()
     made = materialize(blocks(docs, id_col=id_col, text_col=text_col, block=block), "lm-blocks")
-    tokens = made.agg(F.sum(F.length("tokens"))).first()[0] or 0
-    parts = max(1, -(-tokens // 4 // entries))
+    tokens, n_blocks = made.agg(F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)), F.count("*")).first()
+    bits = max(0, int(tokens // entries).bit_length())
+    n_blocks = max(1, n_blocks)
 
-    answered = materialize(answers(requests(made, parts)), "lm-answers")
-    totals = [(r["kind"], *np.frombuffer(r["counts"], dtype=np.int64).tolist()) for r in answered.filter("block = -1 AND kind = 1").select("kind", "counts").collect()]
-    n, v, n_deleted = (sum(t[k] for t in totals) for k in (1, 2, 3))
+    answered = materialize(answers(requests(made, bits), 1 << bits), "lm-answers")
+    n, v, n_deleted = answered.filter(F.col("block").isNull() & (F.col("part") % 2 == WORD)).agg(*(F.coalesce(F.sum(c), F.lit(0)) for c in ("n", "v", "n_deleted"))).first()
 
     def cells(row, got):
-        got["parts"] = parts
-        rest = _counts(row, got, "counts")
-        for whole, part in zip(rest, _counts(row, got, "deleted"), strict=True):
-            whole -= part
+        rest = [whole - part for whole, part in zip(_counts(row, got, "counts"), _counts(row, got, "deleted"), strict=True)]
         code = np.empty(len(rest[0]), dtype=np.int64)
         for i in range(0, len(code), SLICE):
             c, context, pair = (x[i : i + SLICE] for x in rest)
@@ -309,13 +311,12 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
         code, times = np.unique(code, return_counts=True)
         return pa.table({"bucket": pa.array((code >> 32).astype(np.int32)), "p2": pa.array(((code >> 16 & 0xFFFF) - 1).astype(np.int32)), "p1": pa.array(((code & 0xFFFF) - 1).astype(np.int32)), "n": pa.array(times)})
 
-    counted = _together(made.filter("role = 1"), answered.filter("role = 1"), cells, "bucket int, p2 int, p1 int, n long")
+    counted = _together(made.filter("role = 1"), answered.filter("role = 1"), n_blocks, cells, "bucket int, p2 int, p1 int, n long")
     # at most BUCKETS times the squared number of steps, whatever the input: at most a few thousand in practice
     weights = em([tuple(r) for r in counted.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).orderBy("bucket", "p2", "p1").collect()], v)
 
     def scores(row, got):
-        got["parts"] = parts
-        ids, nulls, lengths, _, _ = _read(row)
+        lengths, _, _ = _read(row)
         every = _counts(row, got, "counts")
         base, mixed, known = np.empty(len(every[0])), np.empty(len(every[0])), np.empty(len(every[0]), dtype=np.int64)
         for i in range(0, len(base), SLICE):
@@ -327,11 +328,9 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
             base[part] = np.log10((c + ADD) / (n + ADD * (v + 1)))
             known[part] = c > 0
         at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
-        add = lambda x: np.add.reduceat(x, at)
-        return pa.table({
-            "doc_id": pa.array(ids, mask=nulls.astype(bool)), "held_out": pa.array([row["role"] == 0] * len(ids)), "n_tokens": pa.array(lengths),
-            "n_known": pa.array(add(known)), "base_score": pa.array(add(base)), "score": pa.array(add(mixed)),
-        })
+        sums = [pa.array(np.add.reduceat(x, at)) for x in (known, base, mixed)]
+        ids = row["ids"].chunk(0).flatten()
+        return pa.table([ids, pa.array([row["role"][0].as_py() == 0] * len(ids)), pa.array(lengths.astype(np.int64)), *sums], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
 
-    out = _together(made, answered, scores, SCORES)
+    out = _together(made, answered, n_blocks, scores, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
