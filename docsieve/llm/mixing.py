@@ -33,7 +33,8 @@ def source_targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
     and the excess goes to the others by weight. The final shares are the
     level L at which the sum of least(cap, L * weight) is the total: sorted by
     cap / weight, the capped sources are a prefix, found with running sums.
-    The table has one row per source.
+    One task sorts the table of sources, one narrow row each: meant for up to
+    some millions of sources.
     """
     by_source = sizes.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n_docs"))
     everything = Window.partitionBy(F.lit(0))
@@ -60,23 +61,24 @@ def _uniform(*parts: Column) -> Column:
 
 
 #: What a document carries through the tree, and a row of it with its open mass in words.
-DOC = "struct<doc_id:bigint,source:string,size:bigint,nth:bigint,source_size:bigint,target:double,base:int>"
-ROW = f"struct<size:bigint,tie:bigint,mass:double,doc:{DOC}>"
-DONE = f"array<struct<doc:{DOC},extra:int>>"
+DOC = "struct<doc_id:{},source:string,size:bigint,h:bigint,nth:bigint,source_size:bigint,target:double,base:int>"
+ROW = "struct<size:bigint,tie:bigint,mass:double,doc:{}>"
 
 
 #: Words below which a mass counts as none.
 EPS = 1e-6
 
 
-def _fold(level: int) -> Column:
+def _fold(level: int, doc: str) -> Column:
     """Fold of a chunk's array ``docs`` of ROW: the rows settled so far as ``done``
     and the one that still holds a fraction as ``open``.
 
     ``mass`` and ``size`` are the sums over the rows still to come. What the
     pool has given or got changes the share p of each of its rows to
-    scale * p + shift, so two numbers stand for all its transfers.
+    scale * p + shift, so two numbers stand for all its transfers. ``doc`` is
+    the type of a document.
     """
+    done_type, row_type = f"array<struct<doc:{doc},extra:int>>", ROW.format(doc)
 
     def step(state: Column, a: Column) -> Column:
         size = a["size"].cast("double")
@@ -92,7 +94,7 @@ def _fold(level: int) -> Column:
             open_row = state["open"] if left is None else F.struct(a["size"].alias("size"), a["tie"].alias("tie"), left.alias("mass"), a["doc"].alias("doc"))
             return F.struct(
                 scale.alias("scale"), shift.alias("shift"), (pool_mass + moved).alias("mass"), pool_size.alias("size"),
-                F.concat(state["done"], F.array(*done).cast(DONE)).alias("done"), open_row.alias("open"),
+                F.concat(state["done"], F.array(*done).cast(done_type)).alias("done"), open_row.alias("open"),
             )
 
         nothing = F.lit(0.0)
@@ -112,7 +114,7 @@ def _fold(level: int) -> Column:
     total = lambda what: F.aggregate("docs", F.lit(0.0), lambda s, x: s + x[what])
     start = F.struct(
         F.lit(1.0).alias("scale"), F.lit(0.0).alias("shift"), total("mass").alias("mass"), total("size").alias("size"),
-        F.array().cast(DONE).alias("done"), F.lit(None).cast(ROW).alias("open"),
+        F.array().cast(done_type).alias("done"), F.lit(None).cast(row_type).alias("open"),
     )
     return F.aggregate("docs", start, step)
 
@@ -120,24 +122,27 @@ def _fold(level: int) -> Column:
 def copies(sized: DataFrame, *, fan_in: int = FAN_IN, max_copies: int = MAX_COPIES) -> DataFrame:
     """How often the mix takes each document.
 
-    ``sized`` has doc_id, source and size (long). Returns doc_id, source, size,
-    nth, source_size, target and copies, one row per row of ``sized``: a source's words
+    ``sized`` is what :func:`sized_documents` gives; it is written out once, and
+    everything follows from that. Returns its columns, source_size, target and
+    copies, one row per row of ``sized``; ids keep their type. A source's words
     taken differ from its target by less than the document left at the root of
     its tree, as a rule its smallest. Documents of size 0 get no copies. Repeated
     rows count each by itself. An empty table gives an empty result.
     """
+    sized = materialize(sized, "mix-sized")
+    doc = DOC.format(sized.schema["doc_id"].dataType.simpleString())
     targets = source_targets(sized, max_copies)
     f = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))).otherwise(F.lit(0.0))
     # source_size and n_docs follow the number of sources; Spark broadcasts them if they are small
-    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "d.nth", "source_size", "n_docs", "target", f.alias("f"))
+    rows = sized.alias("d").join(targets.alias("t"), F.col("d.source").eqNullSafe(F.col("t.source"))).select("d.doc_id", "d.source", "d.size", "d.h", "d.nth", "source_size", "n_docs", "target", f.alias("f"))
     rows = rows.withColumn("base", F.floor("f").cast("int")).withColumn("mass", F.when(F.col("f") >= max_copies, F.lit(0.0)).otherwise((F.col("f") - F.floor("f")) * F.col("size")))
-    final = ["doc_id", "source", "size", "nth", "source_size", "target"]
+    final = ["doc_id", "source", "size", "h", "nth", "source_size", "target"]
 
     whole = rows.filter((F.col("mass") <= 0) | (F.col("size") <= 0)).select(*final, F.when(F.col("size") > 0, F.col("base")).otherwise(0).cast("int").alias("copies"))
     open_rows = rows.filter((F.col("mass") > 0) & (F.col("size") > 0)).select(
         "source",
         F.ceil(F.col("n_docs") / fan_in).alias("chunks"),
-        F.struct("size", F.xxhash64(F.lit(SEED), "doc_id", "nth").alias("tie"), "mass", F.struct(*final, "base").alias("doc")).cast(ROW).alias("row"),
+        F.struct("size", F.xxhash64(F.lit(SEED), "doc_id", "h", "nth").alias("tie"), "mass", F.struct(*final, "base").alias("doc")).cast(ROW.format(doc)).alias("row"),
     )
     most = sized.groupBy("source").count().agg(F.max("count")).first()[0] or 0  # one number: it fixes the depth of the tree
     done, level = [whole], 0
@@ -147,7 +152,7 @@ def copies(sized: DataFrame, *, fan_in: int = FAN_IN, max_copies: int = MAX_COPI
             open_rows.withColumn("chunk", chunk)
             .groupBy("source", "chunk", "chunks")
             .agg(F.sort_array(F.collect_list("row"), asc=False).alias("docs"))
-            .select("source", "chunks", _fold(level).alias("state"))
+            .select("source", "chunks", _fold(level, doc).alias("state"))
         )
         folded = materialize(folded, f"mix-level{level}")
         done.append(folded.select(F.inline("state.done")).select(*(F.col(f"doc.{c}").alias(c) for c in final), (F.col("doc.base") + F.col("extra")).alias("copies")))
@@ -166,21 +171,31 @@ def copies(sized: DataFrame, *, fan_in: int = FAN_IN, max_copies: int = MAX_COPI
 
 
 def sized_documents(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
-    """doc_id, source, size (words; null text: 0), nth (1, 2, ... among rows that share an id)."""
-    rows = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(quoted(text_col)).alias("h"))
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id").orderBy("source", "size", "h")).cast("long")).drop("h")
+    """doc_id (of its own type), source, size (words; null text: 0), h (hash of the text) and nth (1, 2, ... among rows that share all of these)."""
+    rows = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).cast("string").alias("source"), word_count(text_col).alias("size"), F.xxhash64(quoted(text_col)).alias("h"))
+    return rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "source", "h").orderBy("size")).cast("long"))
 
 
 def mix(docs: DataFrame, *, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", max_copies: int = MAX_COPIES, fan_in: int = FAN_IN) -> DataFrame:
     """The mixed corpus: every row of ``docs`` as often as :func:`copies` says, all columns kept.
 
-    Rows that share an id are told apart by source, size and text; a null id,
-    source or text is a value like any other.
+    Rows that share id, source and text take each other's copies in any order; a
+    null id, source or text is a value like any other. Only such repeated rows
+    are numbered, all others meet their copies in one join.
     """
-    size, h, nth, left, times, n = fresh(docs, "size", "h", "nth", "left_id", "copies", "copy_no")
+    h, nth, times, n, k_id, k_source, k_h, k_nth = fresh(docs, "h", "nth", "copies", "copy_no", "k_id", "k_source", "k_h", "k_nth")
     plan = copies(sized_documents(docs, id_col=id_col, source_col=source_col, text_col=text_col), fan_in=fan_in, max_copies=max_copies)
-    plan = plan.filter(F.col("copies") > 0).select(F.col("doc_id").alias(left), F.col("nth").alias("_" + nth), F.col("copies").alias(times))
-    same = Window.partitionBy(quoted(id_col)).orderBy(quoted(source_col), size, h)
-    numbered = docs.withColumn(size, word_count(text_col)).withColumn(h, F.xxhash64(quoted(text_col))).withColumn(nth, F.row_number().over(same).cast("long")).drop(size, h)
-    both = numbered.join(plan, quoted(id_col).cast("long").eqNullSafe(F.col(left)) & (F.col(nth) == F.col("_" + nth)))
+    plan = plan.groupBy(F.col("doc_id").alias(k_id), F.col("source").alias(k_source), F.col("h").alias(k_h)).agg(F.collect_list(F.struct(F.col("nth").alias(k_nth), F.col("copies").alias(times))).alias("each"))
+    plan = materialize(plan, "mix-copies")
+    hashed = docs.withColumn(h, F.xxhash64(quoted(text_col)))
+    same = quoted(id_col).eqNullSafe(F.col(k_id)) & quoted(source_col).cast("string").eqNullSafe(F.col(k_source)) & (F.col(h) == F.col(k_h))
+
+    alone = plan.filter((F.size("each") == 1) & (F.col("each")[0][times] > 0)).select(k_id, k_source, k_h, F.col("each")[0][times].alias(times))
+    out = hashed.join(alone, same)
+    repeated = plan.filter(F.size("each") > 1)
+    rows = hashed.join(repeated.select(k_id, k_source, k_h), same, "left_semi")
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(quoted(id_col), quoted(source_col), h).orderBy(h)))
+    again = rows.join(repeated.select(k_id, k_source, k_h, F.inline("each")), same & (F.col(nth) == F.col(k_nth))).filter(F.col(times) > 0)
+    wanted = [*(quoted(c) for c in docs.columns), F.col(times)]
+    both = out.select(*wanted).unionByName(again.select(*wanted))
     return both.withColumn(n, F.explode(F.sequence(F.lit(1), F.col(times)))).select(*(quoted(c) for c in docs.columns))

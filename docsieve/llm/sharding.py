@@ -15,10 +15,13 @@ from .common import fresh, materialize, quoted, shared_dir, text_or_empty, with_
 
 #: Seed of production runs.
 SEED = 20_011
-#: Cells of the seeded hash; buckets are runs of neighbouring cells, so the
-#: table that maps cells to buckets never has more rows than this. Where a cell
-#: would be larger than a bucket, there are more cells, up to MOST_CELLS.
-CELLS, MOST_CELLS = 1 << 16, 1 << 20
+#: Cells of the seeded hash; buckets are runs of neighbouring cells. Where a
+#: cell would be larger than a bucket, there are more cells, a power of two.
+CELLS = 1 << 16
+#: Cells up to which the table that maps cells to buckets is broadcast (some 40 bytes each); a larger one is joined.
+MOST_BROADCAST = 1 << 20
+#: Cells whose sums are worked out together.
+RUN_BITS = 10
 #: Bytes of text that one bucket holds (a task shuffles one bucket at a time).
 BUCKET_BYTES = 16 << 20
 
@@ -32,28 +35,31 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_
     other rows alone, so reruns and retried tasks agree.
 
     Null ids and texts hash like other values. Copies with ids of their own
-    scatter over all buckets, whatever their number; rows equal in id and text
-    share a bucket and are interchangeable. A bucket always holds whole
-    records, however long. An empty table gives an empty result.
+    scatter over all buckets, whatever their number, and so do rows that differ
+    in any other column (but maps); only rows equal in all of them share a
+    bucket and are interchangeable. A bucket always holds whole records, however
+    long. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     cell, h, bucket, start, total, shard, slot = fresh(docs, "cell", "hash", "bucket", "start", "total", "shard", "slot")
-    hashed = docs.withColumn(h, F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col))).withColumn(cell, F.pmod(quoted(h), F.lit(cells)).cast("int"))
+    rest = [quoted(f.name) for f in docs.schema if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()]
+    hashed = docs.withColumn(h, F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col), *rest)).withColumn(cell, F.pmod(quoted(h), F.lit(cells)).cast("int"))
 
     per_cell = materialize(hashed.groupBy(cell).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_or_empty(text_col)) + 64).alias("bytes")), "cells")
     wanted = (per_cell.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes
-    if cells < min(wanted, MOST_CELLS):
-        more = min(MOST_CELLS, 1 << int(wanted).bit_length())
-        return shuffle_to_shards(docs, n_shards, id_col=id_col, text_col=text_col, seed=seed, bucket_bytes=bucket_bytes, cells=more, path=path)
-    so_far = Window.orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    # One row per cell: at most `cells` rows, the bound that the broadcast rests on.
-    places = per_cell.select(
-        cell,
-        F.floor(F.coalesce(F.sum("bytes").over(so_far), F.lit(0)) / bucket_bytes).alias(bucket),
-        F.coalesce(F.sum("n").over(so_far), F.lit(0)).alias("before"),
-        F.sum("n").over(Window.partitionBy(F.lit(0))).alias(total),
-    ).withColumn(start, F.min("before").over(Window.partitionBy(bucket))).drop("before")
-    dealt = hashed.join(F.broadcast(places), cell).drop(cell)
+    if cells < wanted:
+        return shuffle_to_shards(docs, n_shards, id_col=id_col, text_col=text_col, seed=seed, bucket_bytes=bucket_bytes, cells=1 << int(wanted).bit_length(), path=path)
+    # running sums in two levels: over runs of cells, then over the cells of a run
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    per_cell = per_cell.withColumn("run", F.shiftright(cell, RUN_BITS))
+    runs = per_cell.groupBy("run").agg(F.sum("n").alias("run_n"), F.sum("bytes").alias("run_bytes"))
+    along, inside = Window.orderBy("run"), Window.partitionBy("run").orderBy(cell)
+    runs = runs.select("run", before("run_n", along).alias("n0"), before("run_bytes", along).alias("bytes0"), F.sum("run_n").over(Window.partitionBy(F.lit(0))).alias(total))
+    places = per_cell.join(runs, "run").select(
+        cell, F.floor((F.col("bytes0") + before("bytes", inside)) / bucket_bytes).alias(bucket), (F.col("n0") + before("n", inside)).alias("before"), total
+    )
+    places = places.withColumn(start, F.min("before").over(Window.partitionBy(bucket))).drop("before")
+    dealt = hashed.join(F.broadcast(places) if cells <= MOST_BROADCAST else places, cell).drop(cell)
 
     names, keep = docs.columns, [h, bucket, start, total]
 

@@ -18,6 +18,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,8 +29,8 @@ from .common import materialize, quoted, shared_dir, utf8_bytes
 CHUNK = 256 << 10
 #: Bytes read at once from an archive.
 READ = 1 << 20
-RECORDS = "page_id long, url string, sha1 binary, size long, refers_to long, chunk int, data binary"
-CHUNKS = "record_id string, page_id long, record_type string, refers_to long, payload_digest string, payload_size long, chunk int, n_bytes long, digest_so_far string, data binary"
+RECORDS = "page_id {0}, url string, sha1 binary, size long, refers_to {0}, chunk int, data binary"
+CHUNKS = "record_id string, page_id string, record_type string, refers_to string, payload_digest string, payload_size long, chunk int, n_bytes long, digest_so_far string, data binary"
 
 
 def base32_sha1(digest: bytes) -> str:
@@ -41,12 +42,15 @@ def chunk_rows(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url
 
     The response of a group of equal payloads is the row with the largest id
     (each such row, if ids repeat; a null id counts as the smallest). A null
-    payload is an empty one.
+    payload is an empty one; ids keep their type. What is a copy is decided on
+    ids, digests and sizes alone, and the table of copied payloads is written
+    out, so that Spark broadcasts it if it is small.
     """
-    rows = pages.select(quoted(id_col).cast("long").alias("page_id"), quoted(url_col).cast("string").alias("url"), utf8_bytes(payload_col).alias("payload"))
+    rows = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).cast("string").alias("url"), utf8_bytes(payload_col).alias("payload"))
     rows = rows.withColumn("sha1", F.unhex(F.sha1("payload"))).withColumn("size", F.octet_length("payload").cast("long"))
-    # a row per group of copies, and only those groups; a hot group is one row here and the left side may be split
+    # a row per group of copies, and only those groups; a hot group is one row here
     first = rows.groupBy("sha1", "size").agg(F.max("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    first = materialize(first, "warc-copies")
     known = rows.join(first, ["sha1", "size"], "left")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     body = F.when(refers.isNull(), F.col("payload"))
@@ -92,16 +96,19 @@ def write_archives(records: DataFrame, path: str) -> DataFrame:
                         ("WARC-Target-URI", _one_line(url)),
                         ("WARC-Payload-Digest", f"sha1:{base32_sha1(sha1)}"),
                         ("WARC-Profile", None if refers is None else "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"),
-                        ("X-Page-Id", page),
+                        ("X-Page-Id", None if page is None else quote(str(page))),
                         ("X-Payload-Length", size),
-                        ("X-Refers-To-Page-Id", refers),
+                        ("X-Refers-To-Page-Id", None if refers is None else quote(str(refers))),
                     ]
-                    packer, n, left = zlib.compressobj(1, wbits=31), n + 1, size if refers is None else 0
+                    packer, n, left, so_far = zlib.compressobj(1, wbits=31), n + 1, size if refers is None else 0, hashlib.sha1()
                     out.write(packer.compress(header(fields, left)))
                 if left:
                     view = data.as_buffer()
                     out.write(packer.compress(view))
+                    so_far.update(view)
                     left -= view.size
+                    if not left and so_far.digest() != sha1:
+                        raise ValueError(f"page {page}: the chunks do not have the payload's digest")
                 if not left:
                     out.write(packer.compress(b"\r\n\r\n") + packer.flush())
         if out is not None:
@@ -155,10 +162,10 @@ def records_of(raw, chunk: int = CHUNK) -> Iterator[tuple]:
         if not lines[0].startswith("WARC/"):
             raise ValueError("no WARC record here")
         field = dict(x.split(": ", 1) for x in lines[1:])
-        number = lambda k: int(field[k]) if k in field else None  # noqa: E731, B023
         left, i, sha1 = int(field["Content-Length"]), 0, hashlib.sha1()
-        digest, size, kind = field["WARC-Payload-Digest"].removeprefix("sha1:"), number("X-Payload-Length"), field["WARC-Type"]
-        same = (field["WARC-Record-ID"], number("X-Page-Id"), kind, number("X-Refers-To-Page-Id"), digest, size)
+        digest, size, kind = field["WARC-Payload-Digest"].removeprefix("sha1:"), int(field["X-Payload-Length"]), field["WARC-Type"]
+        page, refers = (unquote(field[k]) if k in field else None for k in ("X-Page-Id", "X-Refers-To-Page-Id"))
+        same = (field["WARC-Record-ID"], page, kind, refers, digest, size)
         while True:
             data = stream.take(min(chunk, left))
             sha1.update(data)
@@ -177,14 +184,15 @@ def read_chunks(manifest: DataFrame, *, with_data: bool = True) -> DataFrame:
     """The chunk table (CHUNKS) of all archives that ``manifest`` names.
 
     ``digest_so_far`` is the base32 SHA-1 of the record's payload up to and
-    with the chunk; ``data`` is left null where only digests are wanted.
+    with the chunk; ``data`` is left null where only digests are wanted. Ids are
+    text, as in the archive.
     """
 
     def read(batches) -> Iterator:
         import pyarrow as pa
         from pyarrow import fs as pafs
 
-        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.int64()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload_digest", pa.string()), ("payload_size", pa.int64()), ("chunk", pa.int32()), ("n_bytes", pa.int64()), ("digest_so_far", pa.string()), ("data", pa.binary())])
+        schema = pa.schema([("record_id", pa.string()), ("page_id", pa.string()), ("record_type", pa.string()), ("refers_to", pa.string()), ("payload_digest", pa.string()), ("payload_size", pa.int64()), ("chunk", pa.int32()), ("n_bytes", pa.int64()), ("digest_so_far", pa.string()), ("data", pa.binary())])
         held: list[tuple] = []
 
         def batch():
@@ -228,8 +236,19 @@ def records(chunks: DataFrame) -> DataFrame:
     )
 
 
+def _uri(spark: SparkSession, path: str) -> str:
+    """``path`` as a URI of the file system that Spark takes it to be on, in the form pyarrow knows."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+    scheme, _, rest = full.partition(":")
+    if scheme == "file":
+        return "file:///" + rest.lstrip("/")
+    return full.replace("s3a://", "s3://", 1) if scheme == "s3a" else full
+
+
 def archive(pages: DataFrame, path: str | None = None, **columns: str) -> DataFrame:
-    """Write ``pages`` as WARC archives (into the shared folder by default); returns the manifest."""
-    spark: SparkSession = pages.sparkSession
-    path = path or shared_dir(spark, "warc")
-    return write_archives(chunk_rows(pages, **columns), path if "://" in path or path.startswith("file:") else f"file://{path}")
+    """Write ``pages`` as WARC archives (into the shared folder by default); returns the manifest.
+
+    A file system that pyarrow can't open is an error, never another place.
+    """
+    return write_archives(chunk_rows(pages, **columns), _uri(pages.sparkSession, path or shared_dir(pages.sparkSession, "warc")))
