@@ -4,9 +4,12 @@ Signals of each document are integers. Their distribution per language and
 source is kept in a mergeable quantile sketch: counts of exponentially growing
 bins (128 to each power of two, so a quantile is at most 1/128 too low). Merging
 is adding counts, whatever the order, so the thresholds are the same on every
-cluster. A document is rejected where a signal lies beyond a fence around the
-quartiles of its group; small groups take the fence of their language, and
-rare languages that of the whole corpus, from the merged sketches.
+cluster. A document is rejected where a signal lies beyond its group's cut:
+outside the quartiles by a multiple of their range, or beyond the first gap in
+the values above the third quartile, which is what tells the odd ones of a
+signal that is zero nearly everywhere. The cuts of a group are drawn to those
+of its language, and these to those of the whole corpus, the more the fewer
+rows it has. No cut is fixed.
 """
 
 from __future__ import annotations
@@ -26,16 +29,16 @@ LEAST_WORDS, MOST_REPEATED_PERCENT, WINDOW = 20, 30, 8
 SYMBOLS = b"#*$%&|<>"
 #: Bins to each power of two.
 BIN_BITS = 7
-#: Rows that a group needs to have a fence of its own.
-LEAST_ROWS = 50
-#: A fence lies so many quartile ranges outside the quartiles ...
-RANGES = 3
-#: ... and at least so far out. Signals per word: name, counted field, scale, slack, whether low values count too.
+#: Rows of its own at which a group's cut counts as much as that of the level above.
+HALF_ROWS = 50
+#: A cut lies so many quartile ranges outside the quartiles, or in a gap of this ratio.
+RANGES, GAP = 3, 32
+#: Signals per word: name, counted field, scale, whether low values count too.
 SIGNALS = (
-    ("word_length", "word_chars", 100, 250, True),
-    ("symbols", "n_symbols", 1000, 60, False),
-    ("dup_lines", "n_dup_lines", 1000, 30, False),
-    ("repeats", "n_repeat_words", 1000, 100, False),
+    ("word_length", "word_chars", 100, True),
+    ("symbols", "n_symbols", 1000, False),
+    ("dup_lines", "n_dup_lines", 1000, False),
+    ("repeats", "n_repeat_words", 1000, False),
 )
 FIELDS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -115,7 +118,7 @@ def bin_of(value: Column) -> Column:
 def sketch(rows: DataFrame, keys: list[str], signals_col: str = "signals") -> DataFrame:
     """Sketches as rows (keys, signal, bin, n)."""
     s = quoted(signals_col)
-    values = F.array(*(F.struct(F.lit(name).alias("signal"), bin_of(per_word(s, field, scale)).alias("bin")) for name, field, scale, _, _ in SIGNALS))
+    values = F.array(*(F.struct(F.lit(name).alias("signal"), bin_of(per_word(s, field, scale)).alias("bin")) for name, field, scale, _ in SIGNALS))
     return rows.select(*keys, F.explode(values).alias("x")).groupBy(*keys, "x.signal", "x.bin").agg(F.count("*").alias("n"))
 
 
@@ -123,20 +126,33 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
     return sketches.groupBy(*keys, "signal", "bin").agg(F.sum("n").alias("n"))
 
 
-def fences(sketches: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows (keys, rows, fence): ``fence`` maps a signal to its struct (low, high)."""
+def cuts(sketches: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows (keys, signal, rows, low, high); a cut that the values don't show is null.
+
+    A gap from a value a to the next value b counts where b is at least GAP
+    times a + 1; its cut is the geometric middle.
+    """
     group = Window.partitionBy(*keys, "signal")
-    upto = group.orderBy("bin").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    ranked = sketches.withColumn("upto", F.sum("n").over(upto)).withColumn("rows", F.sum("n").over(group))
+    order = group.orderBy("bin")
+    upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = sketches.withColumn("upto", upto).withColumn("next", F.lead("bin").over(order)).withColumn("rows", F.sum("n").over(group))
     quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("rows"), F.col("bin")))
-    found = ranked.groupBy(*keys, "signal").agg(F.max("rows").alias("rows"), quartile(1).alias("q1"), quartile(3).alias("q3"))
-    slack, low = F.lit(None), F.lit(None)
-    for name, _, _, least, both in SIGNALS:
-        slack = F.when(F.col("signal") == name, F.lit(least)).otherwise(slack)
-        low = F.when(F.col("signal") == name, F.lit(both)).otherwise(low)
-    wide = F.greatest(RANGES * (F.col("q3") - F.col("q1")), slack)
-    fence = F.struct(F.when(low, F.col("q1") - wide).alias("low"), (F.col("q3") + wide).alias("high"))
-    return found.groupBy(*keys).agg(F.max("rows").alias("rows"), F.map_from_entries(F.collect_list(F.struct("signal", fence.alias("fence")))).alias("fence"))
+    gap = F.when((4 * F.col("upto") >= 3 * F.col("rows")) & (F.col("next") >= GAP * (F.col("bin") + 1)), F.sqrt((F.col("bin") + 1) * F.col("next")))
+    found = ranked.groupBy(*keys, "signal").agg(F.max("rows").alias("rows"), quartile(1).alias("q1"), quartile(3).alias("q3"), F.min(gap).alias("gap"))
+    wide = F.when(F.col("q3") > F.col("q1"), RANGES * (F.col("q3") - F.col("q1")))
+    both = F.col("signal").isin([name for name, _, _, low in SIGNALS if low])
+    return found.select(*keys, "signal", "rows", F.when(both, F.col("q1") - wide).cast("double").alias("low"), F.least((F.col("q3") + wide).cast("double"), "gap").alias("high"))
+
+
+def drawn(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:
+    """``own`` cuts drawn to those of the level ``above``, which has the columns ``keys``; a null cut gives way."""
+    same = F.col("o.signal") == F.col("a.signal")
+    for k in keys:
+        same &= F.col(f"o.{k}").eqNullSafe(F.col(f"a.{k}"))
+    weight = F.col("o.rows") / (F.col("o.rows") + HALF_ROWS)
+    to = lambda c: F.coalesce(weight * F.col(f"o.{c}") + (1 - weight) * F.col(f"a.{c}"), F.col(f"o.{c}"), F.col(f"a.{c}")).alias(c)
+    rest = [F.col(f"o.{c}") for c in own.columns if c not in ("low", "high")]
+    return own.alias("o").join(above.alias("a"), same, "left").select(*rest, to("low"), to("high"))
 
 
 def judge(measured: DataFrame, *, signals_col: str = "signals", lang_col: str = "lang", source_col: str = "source") -> DataFrame:
@@ -146,7 +162,8 @@ def judge(measured: DataFrame, *, signals_col: str = "signals", lang_col: str =
     8-word windows. The sketches cover every document that passes the base
     rules. Null languages and sources are groups like any other; null and empty
     texts fail the base rules; new names that clash get a leading underscore;
-    an empty table gives an empty result. ``measured`` is read twice, so write
+    an empty table gives an empty result. A text of any length is measured whole,
+    and repeated rows count each by itself. ``measured`` is read twice, so write
     it out first (``materialize``) where measuring is dear.
     """
     rest = [c for c in measured.columns if c != signals_col]
@@ -158,16 +175,15 @@ def judge(measured: DataFrame, *, signals_col: str = "signals", lang_col: str =
     passed = measured.filter(~failed).select(quoted(lang_col).alias("lang"), quoted(source_col).alias("source"), s.alias("signals"))
     by_source = sketch(passed, ["lang", "source"])
     by_lang = merge(by_source, ["lang"])
-    whole = fences(merge(by_lang, []), []).select(F.col("fence").alias("f0"))
-    per_lang = fences(by_lang, ["lang"]).select("lang", F.when(F.col("rows") >= LEAST_ROWS, F.col("fence")).alias("f1"))
-    per_source = fences(by_source, ["lang", "source"]).select("lang", "source", F.when(F.col("rows") >= LEAST_ROWS, F.col("fence")).alias("f2"))
-    rules = per_source.alias("p").join(per_lang.alias("l"), F.col("p.lang").eqNullSafe(F.col("l.lang")), "left").join(F.broadcast(whole), how="left")  # one row
-    rules = rules.select(F.col("p.lang").alias(lang), F.col("p.source").alias(source), F.coalesce("f2", "f1", "f0").alias(rule))
+    per_lang = drawn(cuts(by_lang, ["lang"]), cuts(merge(by_lang, []), []), [])
+    per_source = drawn(cuts(by_source, ["lang", "source"]), per_lang, ["lang"])
+    rules = per_source.groupBy("lang", "source").agg(F.map_from_entries(F.collect_list(F.struct("signal", F.struct("low", "high")))).alias(rule))
+    rules = rules.select(F.col("lang").alias(lang), F.col("source").alias(source), rule)
 
     judged = measured.join(rules, quoted(lang_col).eqNullSafe(F.col(lang)) & quoted(source_col).eqNullSafe(F.col(source)), "left")
     good = F.lit(True)
-    for name, field, scale, _, _ in SIGNALS:
-        fence, value = F.element_at(F.col(rule), name), per_word(s, field, scale)
-        good = good & (value <= fence["high"]) & (fence["low"].isNull() | (value >= fence["low"]))
+    for name, field, scale, _ in SIGNALS:
+        cut, value = F.element_at(F.col(rule), name), per_word(s, field, scale)
+        good = good & F.coalesce(value <= cut["high"], F.lit(True)) & F.coalesce(value >= cut["low"], F.lit(True))
     fields = [s[f].alias(n) for f, n in zip(FIELDS, names, strict=False)]
-    return judged.select(*(quoted(c) for c in rest), *fields, failed.alias(names[5]), (~failed & F.coalesce(good, F.lit(False))).alias(names[6]))
+    return judged.select(*(quoted(c) for c in rest), *fields, failed.alias(names[5]), (~failed & good).alias(names[6]))

@@ -50,9 +50,26 @@ def test_more_bytes_get_more_cells(odd):
 # audio
 
 
+def plain_feature(payload):
+    """The feature string by the book: whole signal, direct filtering, no chunks; numbers as the tensors keep them."""
+    x = np.zeros(audio.UP * len(payload))
+    x[:: audio.UP] = (np.frombuffer(payload, dtype=np.uint8) - 128.0) / 128
+    y = np.convolve(x, audio._low_pass(audio.UP, audio.DOWN, audio.TAPS).T.ravel())[: len(x) : audio.DOWN]
+    rate = audio.RATE * audio.UP / audio.DOWN
+    frames = [y[i : i + audio.FRAME] for i in range(0, len(y) - audio.FRAME + 1, audio.HOP)]
+    bank = audio._mel_bank(rate, audio.FRAME, audio.MELS)
+    mels = np.array([np.log10(np.abs(np.fft.rfft(f * np.hanning(audio.FRAME))) ** 2 @ bank + 1e-8) for f in frames]).astype(np.float16).astype(float)
+    energy = np.array([10 * np.log10((f * f).mean() + 1e-8) for f in frames])
+    on, inside, runs = False, 0, 0
+    for e in energy:
+        was, on = on, e >= energy.mean() + audio.OPEN_DB or on and e >= energy.mean() + audio.CLOSE_DB
+        inside, runs = inside + on, runs + (on and not was)
+    return (len(frames), runs, inside), [energy.mean(), *mels.mean(axis=0)]
+
+
 def test_media_round_trip(spark, odd, nothing):
-    stored = audio.store_media(odd)
-    got = audio.features(stored).select("doc_id", "n_bytes", "_audio.*").collect()
+    clipped = audio.clip_tensors(audio.store_media(odd), media_col="media").persist()
+    got = audio.features(clipped).select("doc_id", "n_bytes", "_audio.*", "feature").collect()
     text = {r["doc_id"]: r["text"] for r in odd.collect()}
     assert len(got) == odd.count()
     by_text = defaultdict(set)
@@ -64,8 +81,26 @@ def test_media_round_trip(spark, odd, nothing):
         assert (r["n_bytes"], r["payload_bytes"], r["payload_sha256"]) == (len(plain), len(payload), hashlib.sha256(payload).hexdigest())
         assert r["tail_crc32"] == zlib.crc32(payload[-16:]) and r["media_bytes"] == len(payload) + 44
         by_text[text[r["doc_id"]]].add((r["media_sha256"], r["feature"]))
+        counts, numbers = plain_feature(payload)
+        *whole, rest = r["feature"].split(";")
+        assert tuple(map(int, whole)) == counts and np.allclose([float(v) for v in rest.split(",")], numbers, atol=2e-3)
     assert all(len(v) == 1 for v in by_text.values())
-    assert audio.features(audio.store_media(nothing)).count() == 0
+    assert audio.features(audio.clip_tensors(audio.store_media(nothing))).count() == 0
+
+
+def test_null_recordings_have_nulls(spark):
+    rows = spark.createDataFrame([("a", None), ("b", audio.to_wav(b" " * 192))], "doc_id string, media binary")
+    got = {r["doc_id"]: r for r in audio.features(audio.clip_tensors(rows)).collect()}
+    assert got["a"]["audio"] is None and got["a"]["feature"] is None and got["b"]["feature"].startswith("1;")
+    assert [r["id"] for r in audio.clip_rows(audio.clip_tensors(rows)).collect()] == ["b"]
+
+
+def test_chunks_of_samples_change_nothing():
+    samples = np.random.default_rng(2).integers(0, 256, 192 * 40, dtype=np.uint8).tobytes()
+    whole = audio.analyse(samples, 8_000)
+    for chunk in (192, 192 * 3, 192 * 7):
+        part = audio.analyse(samples, 8_000, chunk)
+        assert np.allclose(whole[1], part[1]) and np.allclose(whole[0], part[0], atol=2e-3)
 
 
 def test_resampling_is_filtering_of_the_upsampled_signal():
@@ -87,10 +122,18 @@ def test_segments_have_hysteresis():
 
 
 def test_clips_are_tensors_with_spans(odd):
-    table = audio.clips(audio.store_media(odd.filter("doc_id = 9"))).toArrow()
-    assert audio.tensors(table["log_mel"].combine_chunks()).type.shape == [audio.CLIP_FRAMES, audio.MELS]
-    starts = sorted(table["start_s"].to_pylist())
-    assert np.allclose(np.diff(starts), audio.CLIP_FRAMES * audio.HOP / (audio.RATE * audio.UP / audio.DOWN))
+    clipped = audio.clip_tensors(audio.store_media(odd.filter("doc_id = 9")))
+    row = clipped.collect()[0]
+    own = audio.read_clips(bytes(row["clips"]))
+    assert own.schema.field("log_mel").type == audio.tensor_type() and own["log_mel"].to_numpy_ndarray().shape[1:] == (audio.CLIP_FRAMES, audio.MELS)
+    rate = audio.RATE * audio.UP / audio.DOWN
+    assert np.allclose(np.diff(own["start_s"].to_numpy()), audio.CLIP_FRAMES * audio.HOP / rate)
+    frames = own["frames"].to_numpy()
+    assert np.allclose(own["end_s"].to_numpy() - own["start_s"].to_numpy(), ((frames - 1) * audio.HOP + audio.FRAME) / rate)
+    assert all(0 <= x["start_s"] < x["end_s"] for x in row["segments"])
+    rows = audio.clip_rows(clipped).orderBy("clip").collect()
+    assert [r["clip"] for r in rows] == list(range(own.num_rows))
+    assert np.allclose(rows[0]["log_mel"], own["log_mel"].to_numpy_ndarray()[0].ravel(), atol=1e-3)
 
 
 # quality rules
@@ -106,16 +149,60 @@ def plain_signals(text):
     return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(inside)
 
 
-def test_signals_and_base_rules(odd, docs, nothing):
-    for table in (odd.select("doc_id", "text", "lang", "source"), docs):
-        got = quality_rules.judge(quality_rules.signals(table)).collect()
-        assert len(got) == table.count()
+def plain_cuts(values):
+    """{signal: (rows, low, high)} of lists of values of one group, by sorting."""
+    out = {}
+    for name, own in values.items():
+        bins = sorted((v >> max(0, v.bit_length() - 8)) << max(0, v.bit_length() - 8) for v in own)
+        n = len(bins)
+        q1, q3 = bins[-(-n // 4) - 1], bins[-(-3 * n // 4) - 1]
+        distinct = sorted(set(bins))
+        gaps = [((a + 1) * b) ** 0.5 for a, b in zip(distinct, distinct[1:], strict=False) if a >= q3 and b >= 32 * (a + 1)]
+        high = [*([q3 + 3 * (q3 - q1)] if q3 > q1 else []), *gaps[:1]]
+        out[name] = n, q1 - 3 * (q3 - q1) if name == "word_length" and q3 > q1 else None, min(high, default=None)
+    return out
+
+
+def plain_verdicts(rows):
+    """kept of (lang, source, five counts) rows, by dictionaries."""
+    rate = lambda n: {"word_length": 100 * n[1] // max(n[0], 1), "symbols": 1000 * n[2] // max(n[0], 1), "dup_lines": 1000 * n[3] // max(n[0], 1), "repeats": 1000 * n[4] // max(n[0], 1)}
+    fine = lambda n: n[0] >= 20 and 100 * n[4] <= 30 * n[0]
+
+    def cuts(key):
+        groups = defaultdict(lambda: defaultdict(list))
+        for lang, source, n in rows:
+            if fine(n):
+                for name, v in rate(n).items():
+                    groups[key(lang, source)][name].append(v)
+        return {k: plain_cuts(v) for k, v in groups.items()}
+
+    def drawn(own, above):
+        w = own[0] / (own[0] + 50)
+        return own[0], *(a if o is None else o if a is None else w * o + (1 - w) * a for o, a in zip(own[1:], above[1:], strict=True))
+
+    whole, langs, groups = cuts(lambda *_: 0), cuts(lambda lang, _: lang), cuts(lambda *k: k)
+    kept = []
+    for lang, source, n in rows:
+        good = fine(n)
+        for name, v in rate(n).items() if good else ():
+            _, low, high = drawn(groups[lang, source][name], drawn(langs[lang][name], whole[0][name]))
+            good &= (low is None or v >= low - 1e-9) and (high is None or v <= high + 1e-9)
+        kept.append(good)
+    return kept
+
+
+def test_signals_base_rules_and_verdicts(odd, docs, nothing):
+    for table, names in ((odd, ("_signals", quality_rules.FIELDS)), (docs, ("signals", quality_rules.FIELDS))):
+        got = quality_rules.judge(quality_rules.signals(table), signals_col=names[0]).collect()
+        assert len(got) == table.count() and all(c in got[0].asDict() for c in table.columns)
+        seen = []
         for r in got:
-            n = plain_signals(r["text"] or "") if len(r["text"] or "") < 100_000 else None
-            if n:
-                assert tuple(r[f] for f in quality_rules.FIELDS) == n
-                assert r["base_failed"] == (n[0] < 20 or 100 * n[4] > 30 * n[0])
-            assert not (r["base_failed"] and r["kept"])
+            n = plain_signals(r["text"] or "")
+            assert tuple(r[f] for f in quality_rules.FIELDS) == n
+            assert r["base_failed"] == (n[0] < 20 or 100 * n[4] > 30 * n[0])
+            seen.append((r["lang"], r["source"], n))
+        assert [r["kept"] for r in got] == plain_verdicts(seen)
+    assert 0 < sum(r["kept"] for r in got) < sum(not r["base_failed"] for r in got)
     assert quality_rules.judge(quality_rules.signals(nothing), signals_col="_signals").count() == 0
 
 
@@ -162,8 +249,43 @@ def test_random_strings(tiktoken_coder):
         ids = coder.encode(text)
         assert ids == tiktoken_coder.encode_ordinary(text)
         assert coder.decode(ids) == text.encode() and "".join(coder.characters(ids)) == text
-        spans = coder.offsets(text)
-        assert all(a <= b for a, b in spans) and (not spans or spans[-1][1] == len(text))
+        assert [tuple(x) for x in zip(*(v.tolist() for v in coder.spans(ids)), strict=True)] == plain_spans(coder, ids)
+
+
+def plain_spans(coder, ids):
+    """Spans from the bytes that each token adds: the characters it touches."""
+    out, done = [], 0
+    text = coder.decode(ids)
+    of_byte = [i for i, c in enumerate(text.decode()) for _ in c.encode()]
+    for i in ids:
+        n = len(coder.decode([i]))
+        out.append((of_byte[done], of_byte[done + n - 1] + 1))
+        done += n
+    return out
+
+
+def test_split_characters_and_cut_lists(spark, tiktoken_coder):
+    import public_tokenizers as p
+
+    coder = bpe.ByteBpe(p.path(queries.VOCABULARY), p.PATTERN)
+    ids = coder.encode("🙂𓀀x")
+    assert len(ids) > 3 and coder.characters(ids)[-1] == "x" and "" in coder.characters(ids)
+    assert sorted(set(coder.byte_of[[ord(c) for c in bpe.byte_characters()]].tolist())) == list(range(256))
+    docs = spark.createDataFrame([(1, ids), (2, ids[:1]), (3, None), (4, [])], "doc_id int, token_ids array<int>")
+    got = {r["doc_id"]: (bytes(r["decoded"]), r["decoded_text"]) for r in bpe.decode(docs, queries.VOCABULARY).collect()}
+    assert got[1] == ("🙂𓀀x".encode(), "🙂𓀀x") and got[2][1] == "\ufffd" and got[3] == got[4] == (b"", "")
+
+
+def test_other_patterns_take_no_shortcut():
+    import public_tokenizers as p
+    import tiktoken
+
+    with open(p.path(queries.VOCABULARY), "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    pattern = r"[a-z]+ [a-z]+|\s|\S"
+    own, other = bpe.ByteBpe(p.path(queries.VOCABULARY), pattern), tiktoken.Encoding("other", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    for text in ("of the same kind", "a b c", "x  y z"):
+        assert own.encode(text) == other.encode_ordinary(text)
 
 
 # mixing
@@ -232,7 +354,8 @@ def test_archives_round_trip(spark, nothing):
     rows = [(1, "u", None), (2, "u", ""), (3, None, "page"), (9, "a b", "page"), (5, "u", "page"), (6, "u", big), (7, "u", "WARC/1.1\r\n\r\n"), (None, "n", "page"), (None, "n", "alone")]
     pages = spark.createDataFrame([(*r, "extra") for r in rows], "page_id long, url string, html string, record_id string").repartition(3)
     chunks = warc.read_chunks(warc.archive(pages))
-    got = {(r["page_id"], r["payload_digest"]): r for r in warc.records(chunks).collect()}
+    number = lambda x: None if x is None else int(x)
+    got = {(number(r["page_id"]), r["payload_digest"]): r for r in warc.records(chunks).collect()}
     assert len(got) == len(rows)
     groups = defaultdict(list)
     for page, _, html in rows:
@@ -243,7 +366,7 @@ def test_archives_round_trip(spark, nothing):
         for i in ids:
             r = got[i, digest]
             assert r["payload_bytes"] == len(html.encode())
-            assert (r["record_type"], r["refers_to"]) == (("response", None) if i == first else ("revisit", first))
+            assert (r["record_type"], number(r["refers_to"])) == (("response", None) if i == first else ("revisit", first))
     whole = b"".join(bytes(r["data"]) for r in chunks.filter("page_id = 6").orderBy("chunk").collect())
     assert whole == big.encode() and chunks.filter("page_id = 6").count() == 4
     assert warc.records(warc.read_chunks(warc.archive(spark.createDataFrame([], "page_id long, url string, html string")))).count() == 0
