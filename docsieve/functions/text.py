@@ -12,7 +12,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Words that lexical search passes over (fixed values).
-STOPWORDS = "a an and are as at be by for from in is it of on or that the this to was with".split()
+STOPWORDS = "a an and are as at be by can does for from give how in is it of on or that the their this to use what when which why with".split()
+#: What counts as a term: ASCII words with underscores inside, or a run of Han characters (fixed value).
+TERM = "[a-z0-9]+(?:_[a-z0-9]+)*|[\u3400-\u4dbf\u4e00-\u9fff]+"
 #: Runs of these scripts are tokenized by character n-grams.
 CJK = r"぀-ヿ㐀-䶿一-鿿가-힯"
 
@@ -43,9 +45,20 @@ def collapse_space(text: Column) -> Column:
     return F.trim(F.regexp_replace(text, r"(?U)\s+", " "))
 
 
+def wide_fold(text: Column) -> Column:
+    """NFKC, case-folded; ASCII texts don't go through Python."""
+
+    @F.pandas_udf("string")
+    def folded(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t).casefold())
+
+    return F.coalesce(folded(F.when(text.rlike(r"[^\x00-\x7F]"), text)), F.lower(text))
+
+
 def search_form(text: Column) -> Column:
     """NFKC, case-folded, with the marks of formulas as white space and that collapsed: the form that titles are found in."""
-    return collapse_space(F.regexp_replace(fold(normalize_form(text)), r"[\\{}^]", " "))
+    return collapse_space(F.regexp_replace(wide_fold(text), r"[\\{}^]", " "))
 
 
 def canonical_text(text: Column) -> Column:
@@ -53,9 +66,14 @@ def canonical_text(text: Column) -> Column:
     return collapse_space(normalize_form(text))
 
 
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+
+
 def metric_text(text: Column) -> Column:
-    """NFC with newlines unified and trimmed; case and width stay."""
-    return F.trim(F.regexp_replace(normalize_form(text, "NFC"), r"\r\n?", "\n"))
+    """NFC with newlines unified and white space stripped; case and width stay."""
+    return normalize_form(strip(F.regexp_replace(text, r"\r\n?", "\n")), "NFC")
 
 
 def heading_form(text: Column) -> Column:
@@ -70,9 +88,9 @@ def compact(text: Column) -> Column:
 
 
 def terms(text: Column, stopwords: list[str] | None = None) -> Column:
-    """Lower-case ASCII terms of two letters or more without stopwords, repeats kept."""
+    """Terms of two characters or more without stopwords, repeats kept: words, words joined by underscores, runs of Han characters."""
     stop = F.array(*(F.lit(w) for w in (STOPWORDS if stopwords is None else stopwords)))
-    found = F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0))
+    found = F.regexp_extract_all(wide_fold(text), F.lit(TERM), F.lit(0))
     return F.filter(found, lambda t: (F.length(t) > 1) & ~F.array_contains(stop, t))
 
 
@@ -114,10 +132,52 @@ def verbatim_forms(text: Column) -> Column:
     return F.struct(F.coalesce(made["words"], F.lower(text), F.lit("")).alias("words"), F.coalesce(made["cjk"], F.lit("")).alias("cjk"))
 
 
-def dual_tokens(text: Column) -> Column:
-    """Terms, and bigrams and trigrams of the CJK characters."""
-    stream = cjk_stream(text)
-    return F.array_distinct(F.concat(terms(text), char_ngrams(stream, 2), char_ngrams(stream, 3)))
+def natural_tokens(text: Column) -> Column:
+    """Distinct words that start with a letter, and the bigrams and trigrams of each run of Han characters."""
+    words = F.regexp_extract_all(F.lower(text), F.lit("[a-z][a-z0-9-]+"), F.lit(0))
+    runs = F.regexp_extract_all(text, F.lit("[\u3400-\u9fff]+"), F.lit(0))
+    grams = F.flatten(F.transform(runs, lambda r: F.concat(char_ngrams(r, 2), char_ngrams(r, 3))))
+    return F.array_sort(F.array_distinct(F.concat(words, grams)))
+
+
+def math_tokens(text: Column) -> Column:
+    """Distinct glyphs of formulas, case and primes kept: TeX commands, and single Latin, Greek or mathematical letters with their marks and indices."""
+    letter = "[A-Za-z]|[\u0370-\u03ff]|[\U0001d400-\U0001d7ff]"
+    marks = r"(?:_\{[A-Za-z0-9,+-]{1,64}\}|_[A-Za-z0-9]+|[\u2080-\u2089]|[\u0300-\u036f\u20d0-\u20ff])*['\u2032\u2033]*"
+    pattern = r"\\(?:mathbf|boldsymbol|vec)\{[^{}\s]{1,64}\}|\\[A-Za-z]+|(?U:(?<!\w)(?:" + letter + ")" + marks + r"(?!\w))"
+    return F.array_sort(F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))))
+
+
+def composite_tokens(folded: Column) -> Column:
+    """Distinct words of a text (underscores inside), and the bigrams of all its Han characters in a row.
+
+    ``folded`` is a column that has been through :func:`wide_fold`.
+    """
+    stream = F.regexp_replace(folded, "[^\u3400-\u9fff]", "")
+    return F.array_distinct(F.concat(F.regexp_extract_all(folded, F.lit("[a-z0-9_]+"), F.lit(0)), char_ngrams(stream, 2)))
+
+
+#: Words that a surface phrase is built without, and words that no part of one may have (fixed values).
+SURFACE_STOPWORDS = "a an and are as at be by can for from in is it of on or the to with within".split()
+SURFACE_GENERIC = "field magnetic device concept system operation problem discussion source section context candidate current".split()
+
+
+def surface_forms(folded: Column) -> Column:
+    """Phrases that name a concept: a whole form with Han characters, or the Latin words together and by twos and threes.
+
+    A phrase of several words isn't broken into single words; a single word counts from four letters on.
+    ``folded`` is a column that has been through :func:`wide_fold`.
+    """
+    folded = collapse_space(F.regexp_replace(folded, "[\u2013\u2014]", "-"))
+    has_han = folded.rlike("[\u3400-\u9fff]")
+    han = F.when(F.length(F.regexp_replace(folded, "[^\u3400-\u9fff]", "")) >= 2, F.array(F.regexp_replace(folded, "[^0-9a-z\u3400-\u9fff_+\\-./%\u03bc\u03a9]", "")))
+    lit = lambda words: F.array(*map(F.lit, words))
+    words = F.filter(F.regexp_extract_all(folded, F.lit(r"[a-z][a-z0-9_+\-]*"), F.lit(0)), lambda w: (F.length(w) >= 3) & ~F.array_contains(lit(SURFACE_STOPWORDS), w))
+    own = lambda n: F.filter(word_ngrams(words, n), lambda p: ~F.arrays_overlap(F.split(p, " "), lit(SURFACE_GENERIC)))
+    one = F.filter(words, lambda w: (F.size(words) == 1) & (F.length(w) >= 4) & ~F.array_contains(lit(SURFACE_GENERIC), w))
+    latin = F.when(F.size(words) > 0, F.concat(F.array(F.array_join(words, " ")), own(2), own(3), one))
+    none = F.array().cast("array<string>")
+    return F.array_sort(F.array_distinct(F.coalesce(F.when(has_han, F.coalesce(han, none)).otherwise(latin), none)))
 
 
 def jaccard(a: Column, b: Column) -> Column:
@@ -142,25 +202,48 @@ def join_fragments(fragments: Column) -> Column:
 
 
 def is_caption_prefix(text: Column) -> Column:
-    return text.rlike(r"^\s*(?i:figure|fig\.?|table|图|表)\s*[0-9]*\s*[.:]?\s*$")
+    return text.rlike(r"(?i)^\s*(?:figure|fig(?:ure)?\.?|图|table|tab(?:le)?\.?|表|equation|eq(?:uation)?\.?|式)\s*$")
+
+
+def text_lines(text: Column) -> Column:
+    """Lines without white space at their ends; empty ones are left out."""
+    return F.filter(F.transform(F.split(text, "\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"), strip), lambda x: x != "")
 
 
 def table_like_lines(text: Column) -> Column:
-    """Lines that fall into three cells or more at pipes, tabs or runs of spaces."""
-    return F.size(F.filter(F.split(text, "\n"), lambda x: F.size(F.split(x, r" {2,}|\t|\|")) >= 3))
+    """Lines that fall into three cells or more at pipes, tabs or runs of white space."""
+    return F.size(F.filter(text_lines(text), lambda x: F.size(F.split(x, r"(?U)\s{2,}|\t|\|")) >= 3))
 
 
 def printed_page_label(text: Column) -> Column:
-    """A page number printed alone in the first or last five lines, the last ones first."""
-    lines = F.filter(F.transform(F.split(text, "\n"), F.trim), lambda x: x != "")
-    ends = F.concat(F.reverse(F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5)), F.slice(lines, 1, 5))
-    label = F.transform(ends, lambda x: F.regexp_extract(x, r"^(?:[Pp]age\s+|-\s*)?([0-9]{1,4}|[ivxlc]{1,7})(?:\s*-)?$", 1))
-    return F.get(F.filter(label, lambda x: x != ""), 0)
+    """A page number of up to three digits in the first or last five lines (null: none).
+
+    In this order: alone in one of the last lines, from the end; before other
+    text in one of the first; after other text in one of the first; after other
+    text in one of the last.
+    """
+    lines = text_lines(text)
+    first, last = F.slice(lines, 1, 5), F.slice(lines, F.greatest(F.size(lines) - 4, F.lit(1)), 5)
+    found = lambda part, pattern: F.get(F.filter(F.transform(part, lambda x: F.regexp_extract(x, pattern, 1)), lambda x: x != ""), 0)
+    after = r"(?U)\D\s+(\d{1,3})$"
+    return F.coalesce(found(F.reverse(last), r"(?U)^(\d{1,3})$"), found(first, r"(?U)^(\d{1,3})\s+\D"), found(first, after), found(last, after))
 
 
 def stable_id(prefix: str, *parts: Column, length: int = 20) -> Column:
-    """``prefix-`` and the first hex digits of the SHA-256 of the parts, set apart by U+001F."""
-    return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(F.concat_ws("\x1f", *(F.coalesce(p.cast("string"), F.lit("")) for p in parts)), 256), 1, length))
+    """``prefix-`` and the first hex digits of the SHA-256 of the parts in search case and form, set apart by U+001F."""
+    form = lambda p: fold(collapse_space(wide_form(F.coalesce(p.cast("string"), F.lit("")))))
+    return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(F.concat_ws("\x1f", *map(form, parts)), 256), 1, length))
+
+
+def wide_form(text: Column) -> Column:
+    """NFKC; ASCII texts don't go through Python."""
+    return F.coalesce(normalize_form(F.when(text.rlike(r"[^\x00-\x7F]"), text)), text)
+
+
+def keyed_id(prefix: str, **parts: Column) -> Column:
+    """``prefix-`` and 24 hex digits of the SHA-256 of the parts as JSON with sorted keys, nulls kept."""
+    body = F.to_json(F.struct(*(parts[k].alias(k) for k in sorted(parts))), {"ignoreNullFields": "false"})
+    return F.concat(F.lit(prefix + "-"), F.substring(F.sha2(body, 256), 1, 24))
 
 
 def canonical_json(value: Column) -> Column:

@@ -100,7 +100,7 @@ def _covered(segments: DataFrame) -> DataFrame:
 
 
 def _short(least_chars: int) -> Column:
-    return F.length(F.trim(F.coalesce("text", F.lit("")))) < least_chars
+    return F.length(T.strip(F.coalesce("text", F.lit("")))) < least_chars
 
 
 def page_plan(pages: DataFrame, segments: DataFrame, *, least_chars: int, visual: Column) -> DataFrame:

@@ -159,3 +159,84 @@ def overlap_search_by_text(queries: DataFrame, entries: DataFrame, *, query_id:
     found = overlap_search(texts.withColumnRenamed("query_text", text), entries, query_id="first_id", entry_id=entry_id, tokens=tokens, limit=limit)
     answers = found.select(F.col("query_id").alias("first_id"), "entry_id", "score", "place")
     return keyed.join(texts, "query_text").join(answers, "first_id").select("query_id", "entry_id", "score", "place")
+
+
+#: Weights of the fields of an object, a conflict and a gap in a catalog (fixed values).
+OBJECT_WEIGHTS = {"title": 12, "formula": 8, "statement": 6, "fails_when": 4, "assumptions": 3, "valid_when": 3, "applicability": 2}
+CONFLICT_WEIGHTS, GAP_WEIGHTS = {"topic": 12}, {"statement": 10}
+#: Scores from which a conflict, a claim of it and a gap are reported (fixed values).
+CONFLICT_SCORE, CLAIM_SCORE, GAP_SCORE = 48, 80, 30
+#: Points for an id in the prompt of a composite catalog; points of a formula's glyph and of the exact id in a science search (fixed values).
+COMPOSITE_ID, GLYPH, EXACT = 200, 4, 100
+
+
+def nested_text(field: str, kind: str) -> Column:
+    """All strings of a field that is a text or an array of texts, as one."""
+    return F.array_join(F.col(field), " ") if kind.startswith("array") else F.col(field)
+
+
+def object_postings(entries: DataFrame, entry_id: str, weights: dict[str, int]) -> DataFrame:
+    """:func:`postings` of the fields that ``entries`` has; arrays of texts count like texts."""
+    kinds = dict(entries.dtypes)
+    flat = entries.select(entry_id, *(nested_text(f, kinds[f]).alias(f) for f in weights if f in kinds))
+    return postings(flat, entry_id, {f: w for f, w in weights.items() if f in kinds})
+
+
+def triggered(queries: DataFrame, scored: DataFrame, conflicts: DataFrame, claims: DataFrame, *, query_id: str, prompt: str) -> DataFrame:
+    """(query_id, conflict_id): conflicts that answer a query.
+
+    ``scored`` are the scores of objects, ``conflicts`` those of conflicts
+    (query_id, entry_id, score), ``claims`` rows (conflict_id, claim_id). A
+    conflict counts if it scores CONFLICT_SCORE, if a claim scores CLAIM_SCORE
+    as an object, or if the prompt names a claim's id.
+    """
+    own = conflicts.filter(F.col("score") >= CONFLICT_SCORE).select("query_id", F.col("entry_id").alias("conflict_id"))
+    strong = scored.filter(F.col("score") >= CLAIM_SCORE).join(claims, F.col("entry_id") == F.col("claim_id")).select("query_id", "conflict_id")
+    by_name = named(queries, claims.select(F.col("conflict_id").alias("entry_id"), F.col("claim_id").cast("string").alias("name")), T.fold, query_id=query_id, prompt=prompt)
+    return own.unionByName(strong).unionByName(by_name.withColumnRenamed("entry_id", "conflict_id")).distinct()
+
+
+def composite_scores(queries: DataFrame, posted: DataFrame, ids: DataFrame, *, query_id: str, prompt: str) -> DataFrame:
+    """(query_id, entry_id, score): weights of the terms that lie in the prompt as they are, or share a token with it, plus COMPOSITE_ID for its id."""
+    words = posted.select(F.col("term").alias("entry_id"), F.col("term").alias("name")).distinct()
+    inside = named(queries, words, T.wide_fold, query_id=query_id, prompt=prompt)
+    asked = queries.select(F.col(query_id).alias("query_id"), T.wide_fold(F.col(prompt)).alias("x")).select("query_id", F.explode(T.composite_tokens(F.col("x"))).alias("token"))
+    tokens = words.select("entry_id", T.wide_fold(F.col("name")).alias("x")).select("entry_id", F.explode(T.composite_tokens(F.col("x"))).alias("token"))
+    met = inside.unionByName(asked.join(tokens, "token").select("query_id", "entry_id")).distinct()
+    by_term = met.withColumnRenamed("entry_id", "term").join(posted, "term").select("query_id", "entry_id", F.col("weight").alias("score"))
+    by_id = named(queries, ids, T.wide_fold, query_id=query_id, prompt=prompt).withColumn("score", F.lit(COMPOSITE_ID))
+    return by_term.unionByName(by_id).groupBy("query_id", "entry_id").agg(F.sum("score").alias("score"))
+
+
+def science_search(queries: DataFrame, entries: DataFrame, *, query_id: str, prompt: str, entry_id: str, text: str, limit: int) -> DataFrame:
+    """(query_id, entry_id, score, n_natural, n_math, place): words count 1, glyphs GLYPH, the exact id EXACT.
+
+    Ties go to the smaller SHA-256 of the id. Scope, domains and kinds are
+    filters on ``entries`` before the call.
+    """
+    kinds = lambda c: F.array(F.struct(F.lit("natural").alias("kind"), T.natural_tokens(c).alias("tokens")), F.struct(F.lit("math").alias("kind"), T.math_tokens(c).alias("tokens")))
+    rows = lambda df, key, name, c: df.select(F.col(key).alias(name), F.explode(kinds(F.col(c))).alias("x")).select(name, "x.kind", F.explode("x.tokens").alias("token"))
+    count = lambda kind: F.count_if(F.col("kind") == kind)
+    met = rows(queries, query_id, "query_id", prompt).join(rows(entries, entry_id, "entry_id", text), ["kind", "token"])
+    counted = met.groupBy("query_id", "entry_id").agg(count("natural").alias("n_natural"), count("math").alias("n_math"))
+    exact = queries.join(entries.select(F.col(entry_id).alias("entry_id")), F.col(prompt) == F.col("entry_id").cast("string")).select(F.col(query_id).alias("query_id"), "entry_id", F.lit(0).cast("long").alias("n_natural"), F.lit(0).cast("long").alias("n_math"), F.lit(EXACT).alias("exact"))
+    both = counted.withColumn("exact", F.lit(0)).unionByName(exact).groupBy("query_id", "entry_id").agg(*(F.sum(c).alias(c) for c in ("n_natural", "n_math", "exact")))
+    scored = both.withColumn("score", F.col("n_natural") + GLYPH * F.col("n_math") + F.col("exact"))
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.sha2(F.col("entry_id").cast("string"), 256))
+    return scored.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit).drop("exact")
+
+
+def self_check(entries: DataFrame, hits: DataFrame, *, entry_id: str) -> DataFrame:
+    """(entry_id, place): where each entry comes among the hits of its own title; null where it is missing."""
+    own = hits.filter(F.col("query_id") == F.col("entry_id")).select(F.col("entry_id").alias(entry_id), "place")
+    return entries.select(entry_id).join(own, entry_id, "left")
+
+
+def guarded(prompt: Column, guards: list[str], guard_terms: list[str], scope_terms: list[str]) -> Column:
+    """Struct of ``blocked`` (a guard phrase lies in the folded prompt) and ``collision_free`` (no term of the prompt is a guard's or out of scope)."""
+    folded = T.wide_fold(prompt)
+    blocked = F.lit(False)
+    for g in guards:
+        blocked = blocked | F.contains(folded, F.lit(g))
+    lit = F.array(*map(F.lit, [*guard_terms, *scope_terms]))
+    return F.struct(blocked.alias("blocked"), (~F.arrays_overlap(T.terms(prompt), lit)).alias("collision_free"))

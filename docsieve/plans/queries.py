@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -13,35 +11,17 @@ from docsieve.functions import predicates as P
 from docsieve.functions import text as T
 from docsieve.functions import units as U
 from docsieve.operators import alignment, changes, composition, graph, matching, planning, retrieval, sequences
+from docsieve.plans import assessment, catalog, layout, provenance  # noqa: F401  (they register queries of their own)
+from docsieve.plans.registry import ORACLES, QUERIES, TERMS, query  # noqa: F401
+from docsieve.plans.registry import table as _table
 from docsieve.sources import markup, records
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-STOP = ", ".join(f"'{w}'" for w in T.STOPWORDS)
-
-
-def query(sql: str | None = None) -> Callable[[Query], Query]:
-    def register(f: Query) -> Query:
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLES[f.__name__] = sql
-        return f
-
-    return register
-
-
-def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
 # retrieval
 
 _POSTINGS = f"""postings AS (SELECT entry_id, term, max(weight) AS weight FROM (
-  SELECT doc_id AS entry_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term, 6 AS weight FROM documents
-  UNION ALL SELECT doc_id, unnest(regexp_extract_all(lower(source), '[a-z0-9]+')), 12 FROM documents)
-  WHERE length(term) > 1 AND term NOT IN ({STOP}) GROUP BY ALL),
-asked AS (SELECT DISTINCT item_id AS query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark),
+  SELECT doc_id AS entry_id, unnest({TERMS.format('text')}) AS term, 6 AS weight FROM documents
+  UNION ALL SELECT doc_id, unnest({TERMS.format('source')}), 12 FROM documents) GROUP BY ALL),
+asked AS (SELECT DISTINCT item_id AS query_id, unnest({TERMS.format('text')}) AS term FROM benchmark),
 scored AS (SELECT query_id, entry_id, sum(weight) AS score FROM postings JOIN asked USING (term) GROUP BY ALL),
 hits AS (SELECT query_id, entry_id, score::BIGINT AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id)::INT AS place
   FROM (SELECT *, max(score) OVER (PARTITION BY query_id) AS best FROM scored) WHERE score >= greatest(12, ceil(best * 0.30)) QUALIFY place <= 10)"""
@@ -58,10 +38,9 @@ def catalog_query(spark, sf_dir):
 
 
 @query(f"""SELECT entry_id, term, max(weight)::INT AS weight FROM (
-  SELECT p_partkey AS entry_id, unnest(regexp_extract_all(lower(p_name), '[a-z0-9]+')) AS term, 12 AS weight FROM part
-  UNION ALL SELECT p_partkey, unnest(regexp_extract_all(lower(p_brand), '[a-z0-9]+')), 8 FROM part
-  UNION ALL SELECT p_partkey, unnest(regexp_extract_all(lower(p_type), '[a-z0-9]+')), 6 FROM part)
-  WHERE length(term) > 1 AND term NOT IN ({STOP}) GROUP BY ALL""")
+  SELECT p_partkey AS entry_id, unnest({TERMS.format('p_name')}) AS term, 12 AS weight FROM part
+  UNION ALL SELECT p_partkey, unnest({TERMS.format('p_brand')}), 8 FROM part
+  UNION ALL SELECT p_partkey, unnest({TERMS.format('p_type')}), 6 FROM part) GROUP BY ALL""")
 def catalog_terms(spark, sf_dir):
     return retrieval.postings(_table(spark, sf_dir, "part"), "p_partkey", {"p_name": 12, "p_brand": 8, "p_type": 6})
 
@@ -69,7 +48,7 @@ def catalog_terms(spark, sf_dir):
 GUARD, SCOPE = ["wast", "hean"], ["thou", "nder"]
 
 
-@query(f"""WITH {_POSTINGS}, words AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM benchmark)
+@query(f"""WITH {_POSTINGS}, words AS (SELECT item_id, {TERMS.format('text')} AS w FROM benchmark)
 SELECT item_id AS query_id, CASE WHEN list_has_any(w, {GUARD}) THEN 'refuse_decision' WHEN list_has_any(w, {SCOPE}) THEN 'out_of_scope'
   WHEN coalesce(n, 0) > 0 THEN 'answer' ELSE 'no_match' END AS behavior, coalesce(n, 0) AS n_hits
 FROM words LEFT JOIN (SELECT query_id, count(*) AS n FROM hits GROUP BY 1) h ON h.query_id = item_id""")
@@ -79,10 +58,10 @@ def abstention(spark, sf_dir):
 
 @query(f"""WITH asked AS (SELECT o_orderkey AS query_id, 'Re ' || CASE WHEN o_orderkey % 2 = 0 THEN upper(c_name) ELSE 'no one' END || ', ' || CASE WHEN o_orderkey % 3 = 0 THEN lower(n_name) ELSE 'nowhere' END AS prompt
   FROM orders JOIN customer ON c_custkey = o_custkey JOIN nation ON n_nationkey = c_nationkey WHERE o_orderkey % 50 = 0),
-terms AS (SELECT DISTINCT query_id, unnest(regexp_extract_all(lower(prompt), '[a-z0-9]+')) AS term FROM asked),
-posted AS (SELECT DISTINCT c_name AS entry_id, unnest(regexp_extract_all(lower(c_mktsegment || ' ' || n_name), '[a-z0-9]+')) AS term FROM customer JOIN nation ON n_nationkey = c_nationkey),
+terms AS (SELECT DISTINCT query_id, unnest({TERMS.format('prompt')}) AS term FROM asked),
+posted AS (SELECT DISTINCT c_name AS entry_id, unnest({TERMS.format("c_mktsegment || ' ' || n_name")}) AS term FROM customer JOIN nation ON n_nationkey = c_nationkey),
 scored AS (SELECT query_id, entry_id, sum(points) AS score FROM (
-  SELECT query_id, entry_id, 12 AS points FROM posted JOIN terms USING (term) WHERE length(term) > 1 AND term NOT IN ({STOP})
+  SELECT query_id, entry_id, 12 AS points FROM posted JOIN terms USING (term)
   UNION ALL SELECT query_id, c_name, 1000 FROM asked, customer WHERE contains(lower(prompt), lower(c_name))
   UNION ALL SELECT query_id, c_name, 80 FROM asked, customer JOIN nation ON n_nationkey = c_nationkey WHERE contains(lower(prompt), lower(n_name))) GROUP BY ALL)
 SELECT query_id, entry_id, score::BIGINT AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS place
@@ -147,8 +126,8 @@ def verbatim_copies(spark, sf_dir):
 
 
 @query(f"""SELECT doc_id, len(w)::INT AS n_terms, len(list_distinct(w))::INT AS n_distinct, nullif(regexp_extract(text, '[0-9]+(?:\\.[0-9]+)?'), '') AS first_number,
-  len(list_filter(string_split(text, chr(10)), lambda x: len(string_split_regex(x, ' {{2,}}|\\t|\\|')) >= 3))::INT AS table_like
-FROM (SELECT doc_id, text, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1 AND x NOT IN ({STOP})) AS w FROM documents)""")
+  len(list_filter(string_split(text, chr(10)), lambda x: len(string_split_regex(regexp_replace(x, '^\\s+|\\s+$', '', 'g'), '\\s{{2,}}|\\t|\\|')) >= 3))::INT AS table_like
+FROM (SELECT doc_id, text, {TERMS.format('text')} AS w FROM documents)""")
 def text_profile(spark, sf_dir):
     words = T.terms(F.col("text"))
     return _table(spark, sf_dir, "documents").select(
@@ -156,12 +135,12 @@ def text_profile(spark, sf_dir):
     )
 
 
-@query("SELECT c_custkey, 'obj-' || left(sha256(concat_ws(chr(31), lower(c_name), c_mktsegment)), 20) AS object_id FROM customer")
+@query("SELECT c_custkey, 'obj-' || left(sha256(concat_ws(chr(31), lower(c_name), lower(c_mktsegment))), 20) AS object_id FROM customer")
 def stable_ids(spark, sf_dir):
-    return _table(spark, sf_dir, "customer").select("c_custkey", T.stable_id("obj", F.lower("c_name"), F.col("c_mktsegment")).alias("object_id"))
+    return _table(spark, sf_dir, "customer").select("c_custkey", T.stable_id("obj", F.col("c_name"), F.col("c_mktsegment")).alias("object_id"))
 
 
-@query("SELECT doc_id, length(x)::INT AS n_chars, sha256(x) AS text_sha256 FROM (SELECT doc_id, trim(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g')) AS x FROM documents)")
+@query("SELECT doc_id, length(x)::INT AS n_chars, sha256(x) AS text_sha256 FROM (SELECT doc_id, regexp_replace(regexp_replace(nfc_normalize(text), '\\r\\n?', chr(10), 'g'), '^\\s+|\\s+$', '', 'g') AS x FROM documents)")
 def metric_texts(spark, sf_dir):
     rows = _table(spark, sf_dir, "documents").select("doc_id", T.metric_text(F.col("text")).alias("x"))
     return rows.select("doc_id", F.length("x").alias("n_chars"), F.sha2("x", 256).alias("text_sha256"))
@@ -293,9 +272,13 @@ def dangling_references(spark, sf_dir):
     return graph.dangling(orders, known.unionByName(orders.select(F.col("src").alias("node"))))
 
 
-@query("SELECT NULL::VARCHAR AS node WHERE false")
+@query("""WITH n AS (SELECT n_nationkey, n_regionkey FROM nation JOIN region ON r_regionkey = n_regionkey WHERE r_name < 'C')
+SELECT 'n:' || n_nationkey AS node FROM n UNION SELECT 'r:' || n_regionkey FROM n""")
 def cycles(spark, sf_dir):
-    return graph.cyclic_nodes(_place_edges(spark, sf_dir))
+    """The edges of places, where regions with names before C point back at their nations; customers and suppliers lie on no cycle."""
+    back = _table(spark, sf_dir, "region").filter("r_name < 'C'").join(_table(spark, sf_dir, "nation"), F.col("r_regionkey") == F.col("n_regionkey"))
+    back = back.select(F.concat(F.lit("r:"), "r_regionkey").alias("src"), F.concat(F.lit("n:"), "n_nationkey").alias("dst"))
+    return graph.cyclic_nodes(_place_edges(spark, sf_dir).unionByName(back))
 
 
 # versions and merges
@@ -466,18 +449,17 @@ def error_rates(spark, sf_dir):
 
 
 @query("""SELECT o_orderpriority, count(*) FILTER (s = 'O') AS "O", count(*) FILTER (s = 'F') AS "F", count(*) FILTER (s = 'not_run') AS not_run FROM (
-  SELECT o_orderpriority, coalesce(l_linestatus, 'not_run') AS s FROM orders LEFT JOIN (SELECT l_orderkey, l_linestatus FROM lineitem WHERE l_linenumber = 1) ON l_orderkey = o_orderkey) GROUP BY 1""")
+  SELECT o_orderpriority, coalesce(l_linestatus, 'not_run') AS s FROM orders LEFT JOIN (SELECT l_orderkey, min(l_linestatus) AS l_linestatus FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey) GROUP BY 1""")
 def layer_status(spark, sf_dir):
-    results = _table(spark, sf_dir, "lineitem").filter("l_linenumber = 1").select(F.col("l_orderkey").alias("o_orderkey"), "l_linestatus")
+    results = _table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.min("l_linestatus").alias("l_linestatus"))
     return matching.status_table(_table(spark, sf_dir, "orders"), results, case="o_orderkey", layer="o_orderpriority", status="l_linestatus", values=["O", "F"])
 
 
 # aligned concepts
 
 
-@query(f"""WITH w AS (SELECT 0 AS side, item_id AS ref, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark
-  UNION ALL SELECT 1, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM documents),
-t AS (SELECT DISTINCT * FROM w WHERE length(term) > 1 AND term NOT IN ({STOP})), n AS (SELECT side, ref, count(*) AS n FROM t GROUP BY ALL),
+@query(f"""WITH t AS (SELECT DISTINCT 0 AS side, item_id AS ref, unnest({TERMS.format('text')}) AS term FROM benchmark
+  UNION SELECT 1, doc_id, unnest({TERMS.format('text')}) FROM documents), n AS (SELECT side, ref, count(*) AS n FROM t GROUP BY ALL),
 p AS (SELECT l.ref AS left_ref, r.ref AS right_ref, count(*) AS shared FROM t l JOIN t r ON l.side = 0 AND r.side = 1 AND l.term = r.term GROUP BY ALL)
 SELECT left_ref, right_ref, shared::INT AS shared, round(shared / (a.n + b.n - shared)::DOUBLE, 6) AS score, 'related_candidate' AS relation
 FROM p JOIN n a ON a.side = 0 AND a.ref = left_ref JOIN n b ON b.side = 1 AND b.ref = right_ref WHERE round(shared / (a.n + b.n - shared)::DOUBLE, 6) >= 0.3""")
@@ -487,9 +469,8 @@ def aligned_concepts(spark, sf_dir):
     return pairs.select("left_ref", "right_ref", F.size("shared_terms").alias("shared"), "score", "relation")
 
 
-@query(f"""WITH w AS (SELECT 0 AS side, item_id AS ref, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark
-  UNION ALL SELECT 1, doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) FROM documents),
-t AS (SELECT DISTINCT * FROM w WHERE length(term) > 1 AND term NOT IN ({STOP})), n AS (SELECT side, ref, count(*) AS n FROM t GROUP BY ALL),
+@query(f"""WITH t AS (SELECT DISTINCT 0 AS side, item_id AS ref, unnest({TERMS.format('text')}) AS term FROM benchmark
+  UNION SELECT 1, doc_id, unnest({TERMS.format('text')}) FROM documents), n AS (SELECT side, ref, count(*) AS n FROM t GROUP BY ALL),
 p AS (SELECT l.ref AS left_ref, r.ref AS right_ref, count(*) AS shared FROM t l JOIN t r ON l.side = 0 AND r.side = 1 AND l.term = r.term GROUP BY ALL),
 x AS (SELECT item_id AS left_ref, doc_id AS right_ref, coalesce(shared, 0) AS shared, item_id % 97 = doc_id % 97 AS grouped, item_id = doc_id AS stated
   FROM benchmark, documents LEFT JOIN p ON left_ref = item_id AND right_ref = doc_id WHERE shared > 0 OR item_id % 97 = doc_id % 97)
@@ -506,15 +487,15 @@ def shared_concepts(spark, sf_dir):
 
 
 def _concepts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Customers and suppliers of the same number, each with a unit of money for its nation."""
+    """Every customer and the supplier whose number is its own modulo 100, each with a unit of money for its nation."""
     unit = "array(struct(CASE nation % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'CENT' ELSE 'KG' END AS name, IF(nation % 3 = 2, 'mass', 'money') AS dimension, IF(nation % 3 = 1, 0.01D, 1D) AS scale)) AS units"
     side = lambda t, c: _table(spark, sf_dir, t).selectExpr(f"{c}_{'custkey' if c == 'c' else 'suppkey'} AS ref", f"{c}_nationkey AS nation", f"{c}_acctbal > 0 AS solvent").selectExpr("*", unit)
     left, right = side("customer", "c"), side("supplier", "s")
-    pairs = left.select(F.col("ref").alias("left_ref")).join(right.select(F.col("ref").alias("right_ref")), F.col("left_ref") == F.col("right_ref"))
+    pairs = left.select(F.col("ref").alias("left_ref")).join(right.select(F.col("ref").alias("right_ref")), F.col("left_ref") % 100 == F.col("right_ref"))
     return pairs, left, right
 
 
-@query("""SELECT c_custkey AS left_ref, s_suppkey AS right_ref, kind, kind = 'applicability' AS conflict FROM customer JOIN supplier ON c_custkey = s_suppkey,
+@query("""SELECT c_custkey AS left_ref, s_suppkey AS right_ref, kind, kind = 'applicability' AS conflict FROM customer JOIN supplier ON c_custkey % 100 = s_suppkey,
 (VALUES ('definition'), ('applicability')) k(kind) WHERE CASE kind WHEN 'definition' THEN c_nationkey <> s_nationkey ELSE (c_acctbal > 0) <> (s_acctbal > 0) END""")
 def concept_differences(spark, sf_dir):
     return alignment.differences(*_concepts(spark, sf_dir), {"definition": "nation", "applicability": "solvent"}).select("left_ref", "right_ref", "kind", "conflict")
@@ -525,7 +506,7 @@ _UNIT = "CASE {0}_nationkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'CENT' ELSE 'KG' E
 
 @query(f"""SELECT left_ref, right_ref, left_unit, right_unit, CASE WHEN left_unit = right_unit THEN 'same' WHEN 'KG' IN (left_unit, right_unit) THEN 'dimension' ELSE 'unit' END AS kind,
 CASE WHEN left_unit = right_unit THEN 1.0::DOUBLE WHEN 'KG' IN (left_unit, right_unit) THEN NULL WHEN left_unit = 'CENT' THEN 0.01::DOUBLE ELSE 100.0::DOUBLE END AS factor
-FROM (SELECT c_custkey AS left_ref, s_suppkey AS right_ref, {_UNIT.format('c', 'left_unit')}, {_UNIT.format('s', 'right_unit')} FROM customer JOIN supplier ON c_custkey = s_suppkey)""")
+FROM (SELECT c_custkey AS left_ref, s_suppkey AS right_ref, {_UNIT.format('c', 'left_unit')}, {_UNIT.format('s', 'right_unit')} FROM customer JOIN supplier ON c_custkey % 100 = s_suppkey)""")
 def unit_maps(spark, sf_dir):
     return alignment.unit_maps(*_concepts(spark, sf_dir))
 

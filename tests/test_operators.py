@@ -128,9 +128,14 @@ def test_greedy_matching(spark):
 
 
 def test_text_functions(spark):
-    df = spark.createDataFrame([("Ｆｌｕｘ  ﬁ x", "fig. 3", "热传导", "p\n\n- 12 -")], "a string, b string, c string, d string")
+    df = spark.createDataFrame([("Ｆｌｕｘ  ﬁ x", " Fig. ", "热传导", "p\n\n 12 \n")], "a string, b string, c string, d string")
     row = df.select(text.canonical_text(F.col("a")), text.is_caption_prefix(F.col("b")), text.char_ngrams(F.col("c"), 2), text.printed_page_label(F.col("d"))).first()
     assert tuple(row) == ("Flux fi x", True, ["热传", "传导"], "12")
+    other = spark.createDataFrame([("fig. 3", "- iv -", "\n\t a b \n")], "a string, b string, c string")
+    assert tuple(other.select(text.is_caption_prefix(F.col("a")), text.printed_page_label(F.col("b")), text.metric_text(F.col("c"))).first()) == (False, None, "a b")
+    math = spark.createDataFrame([(r"\vec{B} and B' = x_{ij} \times α₀, word", "ab_c of 磁场 the d", "café")], "a string, b string, c string")
+    got = math.select(text.math_tokens(F.col("a")), text.terms(F.col("b")), text.terms(F.col("c"))).first()
+    assert got[0] == sorted(["\\vec{B}", "B'", "x_{ij}", "\\times", "α₀"]) and got[1] == ["ab_c", "磁场"] and got[2] == ["caf"]
     words = spark.createDataFrame([(["a", "b", "c"], ["a", "x", "c", "d"])], "a array<string>, b array<string>")
     assert words.select(text.edit_distance_words(F.col("a"), F.col("b"))).first()[0] == 2
     js = spark.createDataFrame([('{"b":1,"a":null}',), ('{"a":NaN}',), (None,)], "j string").select(text.canonical_json(F.col("j"))).collect()
