@@ -279,10 +279,9 @@ def decimal_text(text: Column) -> Column:
     Numbers of up to 38 digits; longer ones are null as well.
     """
     good = (F.length(text) <= 128) & text.rlike(r"^[+-]?(?:\d+(?:\.\d*)?|\.\d+)(?:[eE][+-]?\d{1,3})?$")
-    number = F.when(good, F.expr("NULL").cast("decimal(38,18)"))
-    value = F.when(good, text.try_cast("decimal(38,18)")) if number is not None else None
-    plain = F.regexp_replace(F.regexp_replace(value.cast("decimal(38,18)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
-    return F.when(plain.rlike(r"^-?0$|^0E"), "0").otherwise(plain)
+    value = F.when(good, text).try_cast("decimal(38,18)")
+    plain = F.regexp_replace(F.regexp_replace(value.cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")
+    return F.when(value == 0, "0").otherwise(plain)
 
 
 def changes_by_kind(rows: DataFrame, reasons: dict[str, str]) -> DataFrame:
