@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docsieve.functions import text as T
+from docsieve.operators.graph import cut
 
 #: Differences of these kinds are conflicts as well (fixed values).
 CONFLICTS = ["numeric", "unit", "dimension", "symbol", "applicability", "assumption", "failure_condition"]
@@ -20,11 +21,11 @@ def _array(name: str) -> Column:
 
 
 def _prefixes(side: DataFrame, frequency: DataFrame, least: float) -> DataFrame:
-    """(ref, term): the rarest terms of each row; rows at least that similar share one of them."""
+    """(ref, n, term): the rarest terms of each row, which has n; rows at least that similar share one of them."""
     rows = side.select("ref", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(frequency, "term")
     rank = F.row_number().over(Window.partitionBy("ref").orderBy("frequency", "term"))
     needed = F.greatest(F.lit(1), F.ceil(F.lit(least - 1e-6) * F.col("n")))
-    return rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - needed + 1).select("ref", "term")
+    return rows.withColumn("rank", rank).filter(F.col("rank") <= F.col("n") - needed + 1).select("ref", "n", "term")
 
 
 def candidates(left: DataFrame, right: DataFrame, *, least: float = 0.0, explicit: DataFrame | None = None) -> DataFrame:
@@ -36,11 +37,14 @@ def candidates(left: DataFrame, right: DataFrame, *, least: float = 0.0, explici
     as ``least`` asks for: exact, and with a higher ``least`` common terms make no
     pairs. ``ref`` names a row of its side.
     """
-    a, b = (s.select("ref", _array("terms").alias("terms"), _array("groups").alias("groups")) for s in (left, right))
+    # read three times each: for the frequencies, the prefixes and the scores
+    a, b = (cut(s.select("ref", _array("terms").alias("terms"), _array("groups").alias("groups"))) for s in (left, right))
     words = a.select(F.explode("terms").alias("term")).unionByName(b.select(F.explode("terms").alias("term")))
     frequency = words.groupBy("term").agg(F.count("*").alias("frequency"))
     pair = [F.col("l.ref").alias("left_ref"), F.col("r.ref").alias("right_ref")]
-    by_term = _prefixes(a, frequency, least).alias("l").join(_prefixes(b, frequency, least).alias("r"), "term").select(*pair)
+    # sets whose sizes differ by more than ``least`` allows can't be that similar
+    sizes = F.least("l.n", "r.n") >= F.lit(least - 1e-6) * F.greatest("l.n", "r.n")
+    by_term = _prefixes(a, frequency, least).alias("l").join(_prefixes(b, frequency, least).alias("r"), "term").filter(sizes).select(*pair)
     grouped = [s.select("ref", F.explode("groups").alias("of")) for s in (a, b)]
     found = by_term.unionByName(grouped[0].alias("l").join(grouped[1].alias("r"), "of").select(*pair))
     stated = explicit if explicit is not None else found.limit(0).withColumn("relation", F.lit(None).cast("string"))

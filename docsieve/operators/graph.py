@@ -6,17 +6,26 @@ Loops run over joins; each round's small change is written to the shared folder
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def _cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder."""
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a checkpoint in the shared folder ``spark.checkpoint.dir``.
+
+    Where that is unset, a session in one process (tests) gets a temporary
+    folder; a cluster, whose machines would not share it, gets an error.
+    """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="docsieve-"))
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="docsieve-")
+        context.setCheckpointDir(folder)
     return df.checkpoint()
 
 
@@ -30,7 +39,7 @@ def reach(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
     last = found
     for hop in range(1, max_hops + 1):
         step = last.join(links, last["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
-        last = _cut(step.join(found, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        last = cut(step.join(found, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
         found = found.unionByName(last)
     return found
 
@@ -47,13 +56,13 @@ def roots(parents: DataFrame) -> DataFrame:
     Pointers are doubled, so a chain of n takes log2(n) joins. A node on or
     above a cycle has a null root.
     """
-    now = _cut(parents.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
+    now = cut(parents.select("node", F.coalesce("parent", "node").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).alias("depth")))
     top = parents.filter("parent IS NULL").select(F.col("node").alias("up"))
     limit = max(1, now.count()).bit_length() + 1
     for _ in range(limit):
         above = now.select(F.col("node").alias("up"), F.col("up").alias("further"), F.col("depth").alias("more"))
         new = now.join(above, "up", "left").select("node", F.coalesce("further", "up").alias("up"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), (F.coalesce("further", "up") != F.col("up")).alias("moved"))
-        new = _cut(new)
+        new = cut(new)
         moved = not new.filter("moved").isEmpty()
         now = new.drop("moved")
         if not moved:
@@ -64,11 +73,11 @@ def roots(parents: DataFrame) -> DataFrame:
 
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
     """(node): nodes that stay when nodes without incoming or outgoing edges are peeled off again and again."""
-    left = _cut(edges.select("src", "dst").distinct())
+    left = cut(edges.select("src", "dst").distinct())
     n = left.count()
     while n:
         both = left.join(left.select("dst").distinct().withColumnRenamed("dst", "src"), "src", "left_semi")
-        left = _cut(both.join(both.select("src").distinct().withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
+        left = cut(both.join(both.select("src").distinct().withColumnRenamed("src", "dst"), "dst", "left_semi").select("src", "dst"))
         fewer = left.count()
         if fewer == n:
             break

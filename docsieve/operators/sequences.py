@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
+
+from docsieve.operators import graph
 
 
 def lines(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
@@ -61,28 +66,49 @@ def interpolate(curves: DataFrame, wanted: DataFrame, key: str) -> DataFrame:
 def within_budget(rows: DataFrame, keys: list[str], order: list[str], cost: str, budget: int, item: str) -> DataFrame:
     """(keys, item, cost, spent, taken): in order, a row is taken if it still fits; later smaller rows may fit again.
 
-    A fold over the rows of a key, whose number is one document's or package's.
+    Each decision hangs on all before it, so a key's rows pass one after the
+    other through one task, which holds nothing of them but the sum spent.
     """
-    row = F.struct(*order, F.col(item).alias("item"), F.col(cost).cast("long").alias("cost"))
-    kind = "struct<spent:bigint,out:array<struct<item:bigint,cost:bigint,spent:bigint,taken:boolean>>>"
+    n = len(keys)
+    sorted_rows = rows.select(*keys, *order, F.col(item).cast("long").alias("__item"), F.col(cost).cast("long").alias("__cost")).repartition(*keys).sortWithinPartitions(*keys, *order, "__item")
+    schema = StructType([*(rows.schema[k] for k in keys), *StructType.fromDDL("item long, cost long, spent long, taken boolean")])
 
-    def step(s: Column, r: Column) -> Column:
-        fits = s["spent"] + r["cost"] <= budget
-        spent = F.when(fits, s["spent"] + r["cost"]).otherwise(s["spent"])
-        return F.struct(spent.alias("spent"), F.concat(s["out"], F.array(F.struct(r["item"].cast("long").alias("item"), r["cost"].alias("cost"), spent.alias("spent"), fits.alias("taken")))).alias("out"))
+    def run(batches) -> Iterator:
+        import pyarrow as pa
 
-    start = F.struct(F.lit(0).cast("long").alias("spent"), F.array().alias("out")).cast(kind)
-    folded = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(row)).alias("rows")).select(*keys, F.aggregate("rows", start, step)["out"].alias("out"))
-    return folded.select(*keys, F.inline("out"))
+        key, spent = None, 0
+        for batch in batches:
+            own = [c.to_pylist() for c in batch.columns]
+            sums, fits = [], []
+            for k, c in zip(zip(*own[:n], strict=True), own[-1], strict=True):
+                if k != key:
+                    key, spent = k, 0
+                fits.append(c is not None and spent + c <= budget)
+                spent += c if fits[-1] else 0
+                sums.append(spent)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], batch.columns[-2], batch.columns[-1], pa.array(sums, pa.int64()), pa.array(fits)], names=schema.names)
+
+    return sorted_rows.mapInArrow(run, schema)
 
 
 def even_sample(rows: DataFrame, keys: list[str], order: list[str], target: int) -> DataFrame:
     """``target`` rows per key, evenly spaced from the first to the last (all of smaller groups), with ``nth`` from 0.
 
     Position i of target is row floor(i * last / (target - 1) + 1/2).
+
+    Rows are sorted over the cluster by key and order and numbered piece by
+    piece; a key of any size is spread over as many pieces as it fills.
     """
+    pieces = graph.cut(rows.repartitionByRange(*keys, *order).withColumn("piece", F.spark_partition_id()))
+    sizes = pieces.groupBy(*keys, "piece").agg(F.count("*").alias("size"))  # a row per key and piece
     w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("nth", F.row_number().over(w.orderBy(*order)) - 1).withColumn("n", F.count("*").over(w))
+    offsets = sizes.select(*keys, "piece", F.coalesce(F.sum("size").over(w.orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("offset"), F.sum("size").over(w).alias("n"))
+    inside = Window.partitionBy(*keys, "piece").orderBy(*order)
+    same = F.col("o.piece") == F.col("p.piece")
+    for k in keys:
+        same &= F.col(f"o.{k}").eqNullSafe(F.col(f"p.{k}"))
+    numbered = pieces.withColumn("own", F.row_number().over(inside)).alias("p").join(offsets.alias("o"), same).select("p.*", "o.offset", "o.n")
+    ranked = numbered.withColumn("nth", F.col("offset") + F.col("own") - 1).drop("own", "offset", "piece")
     i = F.ceil((F.col("nth") - 0.5) * (target - 1) / (F.col("n") - 1))
     hit = F.floor(i * (F.col("n") - 1) / (target - 1) + 0.5) == F.col("nth")
     return ranked.filter((F.col("n") <= target) | hit).drop("n")

@@ -234,11 +234,15 @@ def formulas(spark, sf_dir):
     return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(U.compile_formula(FORMULA, given), 6).alias("value"))
 
 
-@query()
+@query("SELECT l_orderkey, l_linenumber, l_partkey, round(sqrt(l_extendedprice * (1 - l_discount) / l_quantity), 6) AS value, true AS exact FROM lineitem")
 def exact_formulas(spark, sf_dir):
-    """The formula in 50-digit decimals, which SQL has no type for."""
+    """The formula in 50-digit decimals; ``exact``: the text is that of a number and its square, to 12 digits, is what the root was taken of."""
     rows = _table(spark, sf_dir, "lineitem")
-    return rows.select("l_orderkey", "l_linenumber", U.evaluate_exactly(FORMULA, price=F.col("l_extendedprice"), discount=F.col("l_discount"), quantity=F.col("l_quantity")).alias("value"))
+    value = U.evaluate_exactly(FORMULA, price=F.col("l_extendedprice"), discount=F.col("l_discount"), quantity=F.col("l_quantity"))
+    found = rows.select("l_orderkey", "l_linenumber", "l_partkey", value.alias("text"), (F.col("l_extendedprice") * (1 - F.col("l_discount")) / F.col("l_quantity")).alias("square"))
+    number = F.col("text").cast("double")
+    exact = F.col("text").rlike(r"^[0-9]+(\.[0-9]+)?$") & (F.abs(number * number - F.col("square")) <= F.col("square") * 1e-12)
+    return found.select("l_orderkey", "l_linenumber", "l_partkey", F.round(number, 6).alias("value"), exact.alias("exact"))
 
 
 # graphs
@@ -402,15 +406,31 @@ def box_conflicts(spark, sf_dir):
     return matching.overlapping_pairs(_boxes(spark, sf_dir), ["page"]).withColumn("overlap", F.round("overlap", 6))
 
 
-@query()
+_IOU = "greatest(least(a.x1, b.x1) - greatest(a.x0, b.x0), 0) * greatest(least(a.y1, b.y1) - greatest(a.y0, b.y0), 0)"
+_MOVED = "SELECT l_orderkey AS page, l_returnflag AS kind, l_partkey * 10 + l_linenumber AS id, l_linenumber * 10.0::DOUBLE + l_discount * 40 AS x0, l_quantity + l_discount * 40 AS y0, l_linenumber * 10.0::DOUBLE + l_discount * 40 + 15 AS x1, l_quantity + l_discount * 40 + 20 AS y1 FROM lineitem"
+
+
+@query(f"""WITH RECURSIVE g AS (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY id, x0, y0, x1, y1) AS nth FROM ({_BOXES})), p AS (SELECT *, row_number() OVER (PARTITION BY page, kind ORDER BY id, x0, y0, x1, y1) AS nth FROM ({_MOVED})),
+i AS (SELECT a.page, a.kind, a.nth AS g, b.nth AS p, a.id AS gi, b.id AS pi, {_IOU} AS c FROM g a JOIN p b ON a.page = b.page AND a.kind = b.kind WHERE a.x0 < b.x1 AND b.x0 < a.x1 AND a.y0 < b.y1 AND b.y0 < a.y1),
+o AS (SELECT *, c / (600 - c) AS iou, row_number() OVER (PARTITION BY page, kind ORDER BY round(c / (600 - c), 12) DESC, g, p) AS rn FROM i WHERE c > 0),
+w AS (SELECT page, kind, 0::BIGINT AS rn, []::BIGINT[] AS ug, []::BIGINT[] AS up, NULL::BIGINT AS gi, NULL::BIGINT AS pi, NULL::DOUBLE AS iou FROM o WHERE rn = 1
+  UNION ALL SELECT w.page, w.kind, o.rn, CASE WHEN list_contains(ug, o.g) OR list_contains(up, o.p) THEN ug ELSE list_append(ug, o.g) END, CASE WHEN list_contains(ug, o.g) OR list_contains(up, o.p) THEN up ELSE list_append(up, o.p) END,
+    CASE WHEN list_contains(ug, o.g) OR list_contains(up, o.p) THEN NULL ELSE o.gi END, o.pi, o.iou FROM w JOIN o ON o.page = w.page AND o.kind = w.kind AND o.rn = w.rn + 1),
+l AS (SELECT page, kind, max_by(ug, rn) AS ug, max_by(up, rn) AS up FROM w GROUP BY ALL)
+SELECT page, kind, gi AS gold_id, pi AS predicted_id, round(iou, 6) AS iou, iou >= 0.5 AS matched FROM w WHERE gi IS NOT NULL
+UNION ALL SELECT g.page, g.kind, id, NULL, NULL, false FROM g LEFT JOIN l ON l.page = g.page AND l.kind = g.kind WHERE NOT coalesce(list_contains(ug, nth), false)
+UNION ALL SELECT p.page, p.kind, NULL, id, NULL, false FROM p LEFT JOIN l ON l.page = p.page AND l.kind = p.kind WHERE NOT coalesce(list_contains(up, nth), false)""")
 def box_match(spark, sf_dir):
-    """Greedy assignment: the order of choices is beyond SQL."""
-    return matching.match(_boxes(spark, sf_dir, moved=40.0), _boxes(spark, sf_dir), ["page", "kind"])
+    found = matching.match(_boxes(spark, sf_dir, moved=40.0), _boxes(spark, sf_dir), ["page", "kind"])
+    return found.withColumn("iou", F.round("iou", 6))
 
 
-@query()
+@query(f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (PARTITION BY page ORDER BY id, x0, y0, x1, y1) AS nth FROM ({_BOXES})), n AS (SELECT a.page, b.nth, a.nth AS first, a.id AS first_id, {_IOU} AS c FROM r a JOIN r b ON a.page = b.page AND a.nth < b.nth),
+l AS (SELECT page, nth, list(first ORDER BY first) AS near FROM n WHERE c / (600 - c) >= 0.3 GROUP BY ALL),
+w AS (SELECT page, nth, [nth] AS kept, nth AS keeps FROM r WHERE nth = 1 UNION ALL SELECT r.page, r.nth, CASE WHEN list_has_any(w.kept, coalesce(near, [])) THEN w.kept ELSE list_append(w.kept, r.nth) END,
+  coalesce(list_filter(coalesce(near, []), lambda x: list_contains(w.kept, x))[1], r.nth) FROM w JOIN r ON r.page = w.page AND r.nth = w.nth + 1 LEFT JOIN l ON l.page = r.page AND l.nth = r.nth)
+SELECT r.page, r.id, k.id AS kept_id FROM w JOIN r USING (page, nth) JOIN r k ON k.page = w.page AND k.nth = w.keeps""")
 def box_deduplication(spark, sf_dir):
-    """Greedy sieve by id, beyond SQL."""
     return matching.deduplicate_boxes(_boxes(spark, sf_dir), ["page"], least=0.3)
 
 
