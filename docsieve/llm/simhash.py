@@ -5,9 +5,10 @@ Anchors are the codewords of the perfect binary Golay code, which cover all
 turn. If two fingerprints differ in at most 3 bits, one of the two fields
 differs in at most 1 bit; then the anchor nearest to the one lies within
 3 + 1 of the other, so a fingerprint is sent to all (at most six) anchors within
-that radius. The 41 bits outside the field, cut into four parts, agree in at
-least one part, which refines the anchor's group. Inside a group fingerprints
-are compared exactly, so nothing is missed and nothing is linked by chance.
+that radius. The 41 bits outside the field, cut into m parts, agree in m - 3 of
+them at least, which refine the anchor's group; the more fingerprints there
+are, the more parts, so that groups stay small. Inside a group fingerprints are
+compared exactly, so nothing is missed and nothing is linked by chance.
 
 Only distinct fingerprints are compared, and a group gives the edges of a
 spanning forest, never all its pairs.
@@ -17,10 +18,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, partial
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, quoted, text_or_empty
@@ -31,7 +33,8 @@ SHINGLE, SEED, BITS = 3, 42, 3
 LENGTH, CHECKS, GENERATOR = 23, 11, 0xC75
 #: First bits of the two fields.
 FIELDS = (0, 23)
-PARTS = 4
+#: Parts of the bits outside a field, and distinct fingerprints up to which so many do; beyond them there are six.
+PARTS = ((4, 1 << 33), (5, 1 << 39))
 #: A group of up to SMALL is compared by shifts, one of up to LARGE by search in
 #: one task, and larger ones in tiles of TILE that go to different tasks.
 SMALL, LARGE, TILE = 64, 32_768, 8_192
@@ -87,8 +90,6 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         for k in range(n):
             table[1 << k : 2 << k] = table[: 1 << k] ^ np.uint32(column[first + k])
         parts.append(table)
-    from itertools import combinations
-
     errors: list[list[int]] = [[] for _ in range(1 << CHECKS)]
     for weight in range(5):
         for bits in combinations(range(LENGTH), weight):
@@ -103,8 +104,17 @@ def golay() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return parts[0], parts[1], table
 
 
-def anchor_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(key, index of the fingerprint) of every group that each fingerprint belongs to."""
+def parts_for(count: int) -> int:
+    return next((m for m, most in PARTS if count <= most), 6)
+
+
+def anchor_keys(prints: np.ndarray, parts: int = 4) -> tuple[np.ndarray, np.ndarray]:
+    """(key, index of the fingerprint) of every group that each fingerprint belongs to.
+
+    A group is named by the field, the anchor, a choice of ``parts`` - 3 parts of the other bits, and those bits.
+    """
+    edges = [i * (64 - LENGTH) // parts for i in range(parts + 1)]
+    choices = list(combinations(range(parts), parts - 3))
     low, high, errors = golay()
     keys, index = [], []
     everyone = np.arange(len(prints))
@@ -117,13 +127,13 @@ def anchor_keys(prints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         for e in near.T:
             there = everyone[e != 0xFFFFFFFF]
             code = (field ^ e)[there].astype(np.uint64)
-            start = 0
-            for part in range(PARTS):
-                width = (64 - LENGTH - start) // (PARTS - part)
-                bits = (rest[there] >> np.uint64(start)) & np.uint64((1 << width) - 1)
-                keys.append(((code << np.uint64(11) | bits) << np.uint64(3)) | np.uint64(f * PARTS + part))
+            for c, chosen in enumerate(choices):
+                bits = code
+                for part in chosen:
+                    width = edges[part + 1] - edges[part]
+                    bits = bits << np.uint64(width) | (rest[there] >> np.uint64(edges[part])) & np.uint64((1 << width) - 1)
+                keys.append(bits << np.uint64(6) | np.uint64(f * len(choices) + c))
                 index.append(there)
-                start += width
     return np.concatenate(keys), np.concatenate(index)
 
 
@@ -236,6 +246,8 @@ def links(prints: DataFrame, *, bits: int = BITS) -> DataFrame:
     if not 0 <= bits <= 3:
         raise ValueError("the anchors cover up to 3 bits")
 
+    parts = parts_for(prints.count())
+
     def replicate(batches) -> Iterator:
         import pyarrow as pa
 
@@ -243,7 +255,7 @@ def links(prints: DataFrame, *, bits: int = BITS) -> DataFrame:
             own = batch.column(0).to_numpy()
             for i in range(0, len(own), 1 << 14):
                 part = own[i : i + (1 << 14)]
-                keys, index = anchor_keys(part.view(np.uint64))
+                keys, index = anchor_keys(part.view(np.uint64), parts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(part[index])], names=["key", "fp"])
 
     rows = prints.select("fp").mapInArrow(replicate, "key long, fp long")
@@ -313,12 +325,13 @@ def deduplicate(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "tex
     """The rows of ``docs`` that stay: of each group the one with the smallest id.
 
     Of rows that share that id, the one with the smallest fingerprint stays, then
-    that with the smallest hash of its text. A group of documents without ids keeps one row.
+    that with the smallest hash of its text; of rows equal in id and text, which
+    are reduced in every task before they meet, any one. A group of documents
+    without ids keeps one row.
     """
     found = _grouped(docs, id_col, text_col, bits, shingle).filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
     own = found.groupBy("root").agg(F.min(F.struct("fp", "text_hash", "doc_id")).alias("x"))  # partial minima: a large group is a row per task
-    kept_id, kept_hash, nth = fresh(docs, "kept_id", "kept_hash", "nth")
+    kept_id, kept_hash = fresh(docs, "kept_id", "kept_hash")
     stay = own.select(F.col("x.doc_id").alias(kept_id), F.col("x.text_hash").alias(kept_hash))
     joined = docs.join(stay, quoted(id_col).eqNullSafe(F.col(kept_id)) & (F.xxhash64(quoted(text_col)) == F.col(kept_hash)))
-    one = Window.partitionBy(quoted(id_col), kept_hash).orderBy(kept_hash)
-    return joined.withColumn(nth, F.row_number().over(one)).filter(F.col(nth) == 1).select(*(quoted(c) for c in docs.columns))
+    return joined.dropDuplicates([kept_id, kept_hash]).select(*(quoted(c) for c in docs.columns))
