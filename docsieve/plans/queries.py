@@ -14,6 +14,7 @@ from docsieve.operators import alignment, changes, composition, graph, matching,
 from docsieve.plans import assessment, catalog, layout, packages, provenance  # noqa: F401  (they register queries of their own)
 from docsieve.plans.registry import ORACLES, QUERIES, TERMS, query  # noqa: F401
 from docsieve.plans.registry import table as _table
+from docsieve.plans import records as _records  # noqa: F401
 from docsieve.sources import markup, records
 
 # retrieval
