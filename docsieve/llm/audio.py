@@ -100,10 +100,15 @@ def _mel_bank(rate: float, frame: int, mels: int) -> np.ndarray:
     return np.maximum(0, np.minimum(rise, fall))
 
 
+@lru_cache(maxsize=1)
+def _window() -> np.ndarray:
+    return np.hanning(FRAME)
+
+
 def log_mel(x: np.ndarray, rate: float) -> tuple[np.ndarray, np.ndarray]:
     """Log-mel rows and energies in dB of frames that overlap by half."""
     frames = np.lib.stride_tricks.sliding_window_view(x, FRAME)[::HOP]
-    power = np.abs(np.fft.rfft(frames * np.hanning(FRAME))) ** 2
+    power = np.abs(np.fft.rfft(frames * _window())) ** 2
     return np.log10(power @ _mel_bank(rate, FRAME, MELS) + 1e-8), 10 * np.log10((frames * frames).mean(axis=1) + 1e-8)
 
 
@@ -134,12 +139,14 @@ def analyse(samples: bytes, rate: int, chunk: int = CHUNK) -> tuple[np.ndarray,
     return np.concatenate(mels), np.concatenate(energies), own_rate
 
 
+@lru_cache(maxsize=1)
 def tensor_type():
     import pyarrow as pa
 
     return pa.fixed_shape_tensor(pa.float16(), (CLIP_FRAMES, MELS))
 
 
+@lru_cache(maxsize=1)
 def clip_schema():
     """Columns of a recording's clips: frames in the clip, those inside segments, their energy (sum of dB), time span, log-mels."""
     import pyarrow as pa
@@ -157,14 +164,15 @@ def clips_of(samples: bytes, rate: int):
     full = np.full((n * CLIP_FRAMES, MELS), FLOOR, dtype=np.float16)
     full[: len(mels)] = mels
     inside = np.zeros(len(energy) + 1, dtype=np.int64)
-    np.add.at(inside, starts, 1)
-    np.add.at(inside, ends, -1)
+    inside[starts] += 1  # no two segments share a start or an end
+    inside[ends] -= 1
     first = np.arange(n) * CLIP_FRAMES
     last = np.minimum(first + CLIP_FRAMES, len(energy))
     sums = [np.add.reduceat(v, first) for v in (np.cumsum(inside)[:-1], energy)]
     time = lambda f, to: (f * HOP if to == 0 else (f - 1) * HOP + FRAME) / own_rate
     columns = [pa.array((last - first).astype(np.int32)), pa.array(sums[0].astype(np.int32)), pa.array(sums[1]), pa.array(time(first, 0)), pa.array(time(last, 1))]
-    tensor = pa.FixedShapeTensorArray.from_numpy_ndarray(full.reshape(n, CLIP_FRAMES, MELS))
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(full.ravel()), CLIP_FRAMES * MELS)
+    tensor = pa.ExtensionArray.from_storage(tensor_type(), flat)
     return pa.RecordBatch.from_arrays([*columns, tensor], schema=clip_schema()), (time(starts, 0), time(ends, 1))
 
 
@@ -231,19 +239,25 @@ def clip_tensors(recordings: DataFrame, *, media_col: str = "media") -> DataFram
         span = pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())])
 
         def work(media):
-            audio, cuts, stored = [], [], []
+            audio, cuts, sizes, stored = [], [], [], []
             for m in media:
                 if not m.is_valid:
-                    audio.append(None), cuts.append(None), stored.append(None)
+                    audio.append((None,) * 5)
+                    sizes.append(0)
+                    stored.append(None)
                     continue
                 m = m.as_py()
                 samples, rate = from_wav(m)
                 clips, spans = clips_of(samples, rate)
                 audio.append((len(samples), hashlib.sha256(samples).hexdigest(), zlib.crc32(samples[-16:]), len(m), hashlib.sha256(m).hexdigest()))
-                cuts.append([{"start_s": a, "end_s": b} for a, b in zip(*(x.tolist() for x in spans), strict=True)])
+                cuts.append(spans)
+                sizes.append(len(spans[0]))
                 stored.append(clips.serialize().to_pybytes())
-            rows = [None if a is None else dict(zip((f.name for f in digest), a, strict=True)) for a in audio]
-            return [pa.array(rows, digest), pa.array(cuts, pa.list_(span)), pa.array(stored, pa.binary())]
+            none = np.array([c is None for c in stored])
+            fields = [pa.array(c, f.type) for c, f in zip(zip(*audio, strict=True), digest, strict=True)]
+            flat = [pa.array(np.concatenate([c[k] for c in cuts]) if cuts else np.empty(0)) for k in (0, 1)]
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *sizes]).astype(np.int32)), pa.StructArray.from_arrays(flat, fields=list(span)), mask=pa.array(none))
+            return [pa.StructArray.from_arrays(fields, fields=list(digest), mask=pa.array(none)), lists, pa.array(stored, pa.binary())]
 
         return work
 
