@@ -95,3 +95,21 @@ def dangling(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
 def adjacency(edges: DataFrame) -> DataFrame:
     return edges.groupBy("src").agg(F.array_sort(F.collect_set("dst")).alias("targets"))
+
+
+def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that each node reaches along edges (src, dst) in either direction; a node without edges is its own.
+
+    Every node takes the smallest label around it, then its label's label, until
+    nothing changes: labels jump ever farther, so rounds follow the logarithm of the longest path as a rule.
+    """
+    links = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    now = cut(nodes.select("node", F.col("node").alias("root")).distinct())
+    while True:
+        near = links.join(now.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
+        step = now.join(near, "node", "left").select("node", F.least("root", F.coalesce("near", "root")).alias("up"), F.col("root").alias("was"))
+        jump = step.select(F.col("node").alias("up"), F.col("up").alias("further"))
+        new = cut(step.join(jump, "up").select("node", F.least("up", "further").alias("root"), "was"))
+        if new.filter("root <> was").isEmpty():
+            return new.select("node", "root")
+        now = new.select("node", "root")

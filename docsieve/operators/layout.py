@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsieve.functions import geometry as G
 from docsieve.functions import text as T
+from docsieve.operators import graph, matching
 
 BOX = ("x0", "y0", "x1", "y1")
 #: A numbered heading, and the page number that may follow its title (fixed values).
@@ -188,3 +189,35 @@ def chart_labels(charts: DataFrame, key: str, text: str) -> DataFrame:
     rows = charts.select(key, one.alias("x")).select(key, F.lower(F.regexp_extract("x", pattern, 1)).alias("label"), F.regexp_extract("x", pattern, 2).alias("value"))
     label = F.when(F.col("label").isin("axis", "axes"), "axis").when(F.col("label").startswith("tick"), "ticks").when(F.col("label").startswith("annotation"), "annotations").otherwise(F.col("label"))
     return rows.filter("label <> '' AND value <> ''").select(key, label.alias("label"), "value")
+
+
+def near_groups(boxes: DataFrame, page: list[str], *, gap: float) -> DataFrame:
+    """(page, root, n, x0, y0, x1, y1): groups of boxes of a page that lie within ``gap`` of each other, directly or through others, with their common box.
+
+    ``root`` is the smallest id of the group; ids are unique over all pages.
+    """
+    half = gap / 2
+    grown = boxes.select(*page, "id", (F.col("x0") - half).alias("x0"), (F.col("y0") - half).alias("y0"), (F.col("x1") + half).alias("x1"), (F.col("y1") + half).alias("y1"))
+    pairs = matching.meeting(grown, grown, page).filter("a.id < b.id").select(F.col("a.id").alias("src"), F.col("b.id").alias("dst"))
+    found = graph.components(graph.cut(pairs), boxes.select(F.col("id").alias("node")))
+    return boxes.join(found.withColumnRenamed("node", "id"), "id").groupBy(*page, "root").agg(F.count("*").alias("n"), F.min("x0").alias("x0"), F.min("y0").alias("y0"), F.max("x1").alias("x1"), F.max("y1").alias("y1"))
+
+
+def best_group(groups: DataFrame, page: list[str]) -> DataFrame:
+    """The group of each page with the most boxes, then the largest box, then the smallest root."""
+    rank = Window.partitionBy(*page).orderBy(F.desc("n"), F.desc((F.col("x1") - F.col("x0")) * (F.col("y1") - F.col("y0"))), "root")
+    return groups.withColumn("nth", F.row_number().over(rank)).filter("nth = 1").drop("nth")
+
+
+def title_boxes(titles: DataFrame, words: DataFrame, page: list[str]) -> DataFrame:
+    """(page, title_id, line, x0, y0, x1, y1): where a title's words stand as the words of one line; null where no line, or more than one, has just these.
+
+    Titles are (page, title_id, title), words (page, line, nth, word, box).
+    Lines are joined by their folded words, in order.
+    """
+    folded = lambda c: T.fold(F.col(c))
+    row = F.transform(F.array_sort(F.collect_list(F.struct("nth", folded("word").alias("w")))), lambda r: r["w"])
+    lines = words.groupBy(*page, "line").agg(F.array_join(row, " ").alias("x"), *(F.min(c).alias(c) for c in ("x0", "y0")), *(F.max(c).alias(c) for c in ("x1", "y1")))
+    once = lines.groupBy(*page, "x").agg(F.count("*").alias("n"), F.min(F.struct("line", *BOX)).alias("at")).filter("n = 1")
+    wanted = titles.select(*page, "title_id", T.collapse_space(folded("title")).alias("x"))
+    return wanted.join(once, [*page, "x"], "left").select(*page, "title_id", "at.*")

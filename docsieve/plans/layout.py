@@ -182,3 +182,44 @@ def _charts(spark, sf_dir):
     """Each part as the text of a chart."""
     raw = F.format_string("Axes: %s\nTick : 1, 2\n| year | price |\n|---|:---:|\n| %s | %s |\nunit: kg\nlegend:\n| %s ||\nplain words", "p_type", F.col("p_size").cast("string"), "p_name", "p_brand")
     return table(spark, sf_dir, "part").select("p_partkey", raw.alias("raw"))
+
+
+# groups
+
+
+_ROWS = "SELECT l_orderkey AS page, l_orderkey * 100000000 + row_number() OVER (PARTITION BY l_orderkey ORDER BY l_partkey, l_linenumber, l_suppkey, l_extendedprice) AS id, l_quantity * 10 AS x0, l_quantity * 10 + 30 AS x1 FROM lineitem"
+_NEAR = f"""r AS ({_ROWS}), m AS (SELECT *, max(x1) OVER (PARTITION BY page ORDER BY x0, x1, id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r),
+n AS (SELECT *, sum(CASE WHEN b IS NULL OR x0 - b >= 8 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY x0, x1, id ROWS UNBOUNDED PRECEDING) AS g FROM m),
+groups AS (SELECT page, min(id) AS root, count(*) AS n, min(x0) AS x0, 0.0::DOUBLE AS y0, max(x1) AS x1, 20.0::DOUBLE AS y1 FROM n GROUP BY page, g)"""
+
+
+def _near(spark, sf_dir):
+    """An order's lines as panels in one row; those less than 8 apart belong together."""
+    from pyspark.sql.window import Window
+
+    nth = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_partkey", "l_linenumber", "l_suppkey", "l_extendedprice"))
+    x = F.col("l_quantity") * 10
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_orderkey") * 100_000_000 + nth).alias("id"), x.alias("x0"), F.lit(0.0).alias("y0"), (x + 30).alias("x1"), F.lit(20.0).alias("y1"))
+    return L.near_groups(rows, ["page"], gap=8.0)
+
+
+@query(f"WITH {_NEAR} SELECT * FROM groups")
+def panel_groups(spark, sf_dir):
+    return _near(spark, sf_dir)
+
+
+@query(f"WITH {_NEAR} SELECT * FROM groups QUALIFY row_number() OVER (PARTITION BY page ORDER BY n DESC, (x1 - x0) * 20 DESC, root) = 1")
+def ruling_tables(spark, sf_dir):
+    """The best group of each page."""
+    return L.best_group(_near(spark, sf_dir), ["page"])
+
+
+@query("""SELECT page, title_id, CASE WHEN ok THEN 1 END AS line, CASE WHEN ok THEN 0.0::DOUBLE END AS x0, CASE WHEN ok THEN 20.0::DOUBLE END AS y0, CASE WHEN ok THEN 30.0::DOUBLE END AS x1, CASE WHEN ok THEN 28.0::DOUBLE END AS y1 FROM (SELECT p_partkey AS page, p_partkey AS title_id, p_partkey % 3 <> 0 AND p_type <> split_part(p_name, ' ', 1) AS ok FROM part)""")
+def title_boxes(spark, sf_dir):
+    """Each part is a page with its name on one line, or on two (every third), which leaves it without a place."""
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("page"), "p_name", "p_type")
+    lines = F.array(F.upper("p_type"), F.col("p_name"), F.when(F.col("page") % 3 == 0, F.concat("p_name", F.lit(" "))).otherwise(F.lit("Foot")))
+    cut = parts.select("page", F.posexplode(lines).alias("line", "x")).select("page", "line", F.posexplode(F.split(F.trim("x"), " ")).alias("nth", "word"))
+    words = cut.select("page", "line", "nth", "word", (F.col("nth") * F.lit(15.0)).alias("x0"), (F.col("line") * F.lit(20.0)).alias("y0"), (F.col("nth") * F.lit(15.0) + 15).alias("x1"), (F.col("line") * F.lit(20.0) + 8).alias("y1"))
+    titles = parts.select("page", F.col("page").alias("title_id"), F.upper("p_name").alias("title"))
+    return L.title_boxes(titles, words, ["page"])

@@ -246,3 +246,29 @@ def id_collisions(spark, sf_dir):
     entries = side("part", "p", "partkey").unionByName(side("supplier", "s", "suppkey")).unionByName(side("customer", "c", "custkey"))
     found = entries.groupBy("id").agg(F.count_distinct("package").alias("n_packages"), F.array_join(F.array_sort(F.collect_set("package")), ",").alias("packages"))
     return found.filter("n_packages > 1")
+
+
+@query("""SELECT c_nationkey AS source, count(DISTINCT kind) AS n_kinds, count(DISTINCT package) AS n_packages, string_agg(DISTINCT kind, ',' ORDER BY kind) AS kinds FROM (SELECT c_nationkey, 'customer' AS kind, c_custkey % 4 AS package FROM customer UNION ALL SELECT s_nationkey, 'supplier', 4 FROM supplier) GROUP BY 1""")
+def composed_sources(spark, sf_dir):
+    """Nations as sources that packages of customers and suppliers require, grouped by source."""
+    one = table(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("source"), F.lit("customer").alias("kind"), (F.col("c_custkey") % 4).alias("package"))
+    both = one.unionByName(table(spark, sf_dir, "supplier").select(F.col("s_nationkey").alias("source"), F.lit("supplier").alias("kind"), F.lit(4).cast("long").alias("package")))
+    return both.groupBy("source").agg(F.count_distinct("kind").alias("n_kinds"), F.count_distinct("package").alias("n_packages"), F.array_join(F.array_sort(F.collect_set("kind")), ",").alias("kinds"))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_orderkey, l_partkey FROM lineitem) SELECT o_orderkey, o_orderstatus, coalesce(string_agg(l_partkey::VARCHAR, ',' ORDER BY l_partkey), '') AS evidence, count(l_partkey) AS n FROM orders LEFT JOIN e ON l_orderkey = o_orderkey WHERE o_orderkey % 50 = 0 GROUP BY ALL""")
+def object_reads(spark, sf_dir):
+    """Every 50th order looked up among all, with its distinct parts as evidence."""
+    asked = table(spark, sf_dir, "orders").filter("o_orderkey % 50 = 0").select("o_orderkey", "o_orderstatus")
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey").distinct()
+    found = asked.join(lines, "o_orderkey", "left").groupBy("o_orderkey", "o_orderstatus").agg(F.array_sort(F.collect_list("l_partkey")).alias("e"), F.count("l_partkey").alias("n"))
+    return found.select("o_orderkey", "o_orderstatus", F.array_join("e", ",").alias("evidence"), "n")
+
+
+@query("""SELECT o_orderstatus AS package, count(*) AS n, count(*) FILTER (c_custkey IS NULL) AS dangling, count(*) FILTER (o_totalprice > 400000) AS out_of_range, CASE WHEN count(*) FILTER (c_custkey IS NULL) > 0 THEN 'invalid' ELSE 'valid' END AS state FROM orders LEFT JOIN (SELECT c_custkey FROM customer WHERE c_acctbal >= 0) ON c_custkey = o_custkey GROUP BY 1""")
+def package_integrity(spark, sf_dir):
+    """Orders by status as packages: references without an end and values out of range, in one pass."""
+    known = table(spark, sf_dir, "customer").filter("c_acctbal >= 0").select(F.col("c_custkey").alias("o_custkey"), F.lit(True).alias("known"))
+    rows = table(spark, sf_dir, "orders").join(known, "o_custkey", "left")
+    out = rows.groupBy(F.col("o_orderstatus").alias("package")).agg(F.count("*").alias("n"), F.count_if(F.col("known").isNull()).alias("dangling"), F.count_if(F.col("o_totalprice") > 400_000).alias("out_of_range"))
+    return out.withColumn("state", F.when(F.col("dangling") > 0, "invalid").otherwise("valid"))
