@@ -236,21 +236,21 @@ def html_grid(rows: DataFrame, key: str, html: str) -> DataFrame:
     cut = rows.select(key, lines.alias("lines")).filter(F.size("lines") > 0)
     cell = r"(?is)(<t[dh]\b[^>]*>.*?)</t[dh]>"
     span = lambda c, name: F.greatest(F.coalesce(F.regexp_extract(F.regexp_extract(c, r"(?is)^(<t[dh]\b[^>]*>)", 1), rf'(?i)\b{name}\s*=\s*["\']?(\d+)', 1).try_cast("int"), F.lit(1)), F.lit(1))
-    parts = F.transform("lines", lambda r: F.transform(F.regexp_extract_all(r, F.lit(cell), F.lit(1)), lambda c: F.struct(span(c, "rowspan").alias("rs"), span(c, "colspan").alias("cs"), T.collapse_space(F.regexp_replace(c, "<[^>]*>", " ")).alias("text"))))
+    parts = F.flatten(F.transform("lines", lambda r, i: F.transform(F.regexp_extract_all(r, F.lit(cell), F.lit(1)), lambda c: F.struct(i.alias("row"), span(c, "rowspan").alias("rs"), span(c, "colspan").alias("cs"), T.collapse_space(F.regexp_replace(c, "<[^>]*>", " ")).alias("text")))))
 
     @F.pandas_udf("array<struct<row:int,col:int,row_span:int,col_span:int,text:string>>")
     def placed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(table):
-            free_from: dict[tuple[int, int], bool] = {}
-            out = []
-            for i, line in enumerate(table):
-                j = 0
-                for c in line:
-                    while (i, j) in free_from:
-                        j += 1
-                    free_from.update(((a, b), True) for a in range(i, i + c["rs"]) for b in range(j, j + c["cs"]))
-                    out.append({"row": i, "col": j, "row_span": c["rs"], "col_span": c["cs"], "text": c["text"]})
-                    j += c["cs"]
+            taken, out, last, j = set(), [], None, 0
+            for c in table:
+                i = c["row"]
+                if i != last:
+                    last, j = i, 0
+                while (i, j) in taken:
+                    j += 1
+                taken.update((a, b) for a in range(i, i + c["rs"]) for b in range(j, j + c["cs"]))
+                out.append({"row": i, "col": j, "row_span": c["rs"], "col_span": c["cs"], "text": c["text"]})
+                j += c["cs"]
             return out
 
         for tables in batches:
