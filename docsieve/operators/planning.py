@@ -13,13 +13,14 @@ from docsieve.functions import text as T
 
 from . import graph
 
-#: Scores, the margin that decides and the titles that make no knowledge (fixed values).
+#: Scores of places of headings and the margin that decides (fixed values).
 METHODS = {"normalized-exact": 80, "unicode-ligature-equivalent": 76, "dehyphenated-line-match": 72, "compact-token-boundary-match": 68}
 BOUNDARIES = {"exact-line": 35, "line-boundary": 20, "substring": -12}
 ROLES = {"body-heading": 30, "inline-heading-candidate": 0, "running-header": -80, "footer": -80, "body-text": -20}
 MARGIN = 12
-NO_KNOWLEDGE = r"(?i)\b(bibliography|references?|index|glossary|acknowledge?ments?|contents)\b"
-FRONT_MATTER = r"(?i)\b(preface|foreword|dedication|copyright|contents|acknowledge?ments?)\b"
+#: Titles that make no knowledge, and words of front matter (fixed values).
+NO_KNOWLEDGE = r"(?i)\b(?:bibliography|references?|index|glossary|acknowledg(?:e)?ments?|contents|table of contents)\b"
+FRONT_MATTER = r"(?i)\b(?:preface|foreword|dedication|copyright|contents|table of contents|acknowledg(?:e)?ments?)\b"
 
 
 def _points(of: Column, table: dict[str, int]) -> Column:
