@@ -194,3 +194,18 @@ def test_ids_of_any_type(spark):
     plan = mixing.copies(mixing.sized_documents(docs))
     assert dict(plan.dtypes)["doc_id"] == "string" and plan.count() == 4
     assert mixing.mix(docs).count() == plan.agg(F.sum("copies")).first()[0]
+
+
+@pytest.mark.parametrize("name", queries.oracle_sql())
+def test_sql(spark, name):
+    import duckdb
+
+    db = duckdb.connect()
+    for table in ("documents", "pages"):
+        db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
+    found = db.execute(queries.oracle_sql()[name])
+    names = sorted(c[0] for c in found.description)
+    got = queries.queries()[name](spark, SF)
+    assert sorted(got.columns) == names
+    place = {c[0]: i for i, c in enumerate(found.description)}
+    assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(tuple(r[place[c]] for c in names) for r in found.fetchall())
