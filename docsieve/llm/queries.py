@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio, bpe, language_model, mixing, quality_classifier, quality_rules, sharding, simhash, toxicity, warc
+from . import audio, bpe, fill_in_middle, filter_audit, language_model, mixing, packing, quality_classifier, quality_rules, sharding, simhash, toxicity, warc
 from .common import id_remainder, materialize, utf8_bytes
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+PACKED_VOCABULARY = "byte_bpe_50k.json"
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -88,6 +89,20 @@ def op10_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_model.score(_table(spark, sf_dir, "documents"))
 
 
+def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pieces(packing.pack(_table(spark, sf_dir, "documents"), PACKED_VOCABULARY))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    laid_out = fill_in_middle.restore(fill_in_middle.fill_in_middle(_table(spark, sf_dir, "documents").select("doc_id", "text")))
+    digest = lambda c: F.sha2(F.col(c).cast("binary"), 256).alias(f"{c}_sha256")
+    return laid_out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest("output"), digest("restored"))
+
+
 def queries() -> dict:
     return {
         "op1_sharding": op1_sharding,
@@ -100,6 +115,9 @@ def queries() -> dict:
         "op8_simhash": op8_simhash,
         "op9_quality_classifier": op9_quality_classifier,
         "op10_language_model": op10_language_model,
+        "op11_packing": op11_packing,
+        "op12_filter_audit": op12_filter_audit,
+        "op13_fill_in_middle": op13_fill_in_middle,
     }
 
 
@@ -130,6 +148,25 @@ SELECT page_id, n::BIGINT AS payload_bytes, array_to_string(list_transform(range
   CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM h"""
 
 
+#: Each order and step against the masks of the documents; shapley is the sum over the orders.
+AUDIT_SQL = r"""WITH w AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+l AS (SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS bad FROM labels GROUP BY 1),
+m AS (SELECT part, CASE WHEN len(w) < 200 THEN 'A' ELSE '' END || CASE WHEN 100 * len(list_distinct(w)) < 50 * len(w) THEN 'B' ELSE '' END || CASE WHEN 100 * length(regexp_replace(x, '[^A-Z]', '', 'g')) > 2 * length(x) THEN 'C' ELSE '' END || CASE WHEN regexp_matches(x, '[#$%&*|]') THEN 'D' ELSE '' END || CASE WHEN doc_id > min(doc_id) OVER (PARTITION BY x) THEN 'E' ELSE '' END AS fails, coalesce(good, 0) AS good, coalesce(bad, 0) AS bad FROM w LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, fails, count(*) AS n, sum(good) AS good, sum(bad) AS bad FROM m GROUP BY 1, 2),
+f AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS f),
+o AS (SELECT a.f || b.f || c.f || d.f || e.f AS filter_order FROM f a JOIN f b ON b.f <> a.f JOIN f c ON c.f NOT IN (a.f, b.f) JOIN f d ON d.f NOT IN (a.f, b.f, c.f) JOIN f e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+s AS (SELECT filter_order, step, filter_order[step] AS f, CASE WHEN step = 1 THEN '[0]' ELSE '[' || filter_order[1:step - 1] || ']' END AS before FROM o, range(1, 6) t(step)),
+g AS (SELECT part, filter_order, step, f, sum(CASE WHEN NOT contains(fails, f) AND NOT regexp_matches(fails, before) THEN n ELSE 0 END) AS kept, sum(CASE WHEN contains(fails, f) AND NOT regexp_matches(fails, before) THEN n ELSE 0 END) AS removed, sum(CASE WHEN contains(fails, f) AND regexp_matches(fails, before) THEN n ELSE 0 END) AS redundant, sum(CASE WHEN fails = f THEN n ELSE 0 END) AS unique_fails,
+  sum(CASE WHEN contains(fails, f) AND NOT regexp_matches(fails, before) THEN good ELSE 0 END) AS good_lost, sum(CASE WHEN contains(fails, f) AND NOT regexp_matches(fails, before) THEN bad ELSE 0 END) AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT part, filter_order, step::INTEGER AS step, kept::BIGINT AS kept, removed::BIGINT AS removed, redundant::BIGINT AS redundant, unique_fails::BIGINT AS unique_fails, good_lost::BIGINT AS good_lost, toxic_lost::BIGINT AS toxic_lost, (sum(removed) OVER (PARTITION BY part, f))::BIGINT AS shapley FROM g"""
+
+MIDDLE_SQL = r"""WITH u AS (SELECT doc_id, coalesce(text, '') AS x, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS d FROM documents),
+h AS (SELECT *, len(u) AS n, ('0x' || d[1:8])::BIGINT % (len(u) + 1) AS i, ('0x' || d[9:16])::BIGINT % (len(u) + 1) AS j, ('0x' || d[17:24])::BIGINT % 100 AS r, ('0x' || d[25:32])::BIGINT % 100 AS q FROM u),
+f AS (SELECT *, CASE WHEN x = '' OR regexp_matches(x, '<[PSM]>') OR r >= 50 THEN 'plain' WHEN q < 80 THEN 'spm' ELSE 'psm' END AS form, array_to_string(u[1:least(i, j)], '') AS a, array_to_string(u[least(i, j) + 1:greatest(i, j)], '') AS m, array_to_string(u[greatest(i, j) + 1:], '') AS s FROM h)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(a) END::BIGINT AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || a || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || a || '<M>' || m ELSE x END) AS output_sha256, sha256(x) AS restored_sha256 FROM f"""
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the queries that it can express; the tests hold the others against plain versions."""
-    return {"op3_quality_rules": QUALITY_SQL, "op6_warc": WARC_SQL}
+    return {"op3_quality_rules": QUALITY_SQL, "op6_warc": WARC_SQL, "op12_filter_audit": AUDIT_SQL, "op13_fill_in_middle": MIDDLE_SQL}
