@@ -7,43 +7,87 @@ Loops run over joins; each round's small change is written to the shared folder
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a checkpoint in the shared folder ``spark.checkpoint.dir``.
+    """``df`` as a written table in the shared folder ``spark.checkpoint.dir``, read again: one pass, and files that outlive executors.
 
     Where that is unset, a session in one process (tests) gets a temporary
     folder; a cluster, whose machines would not share it, gets an error.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-            folder = tempfile.mkdtemp(prefix="docsieve-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    spark = df.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="docsieve-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
-def reach(edges: DataFrame, seeds: DataFrame, max_hops: int) -> DataFrame:
-    """(seed, node, hops): nodes within ``max_hops`` of each seed, the seed itself at 0, by the fewest hops.
+def reach(edges: DataFrame, seeds: DataFrame, max_hops: int | None = None) -> DataFrame:
+    """(seed, node, hops): nodes within ``max_hops`` of each seed (None: all it reaches), the seed itself at 0, by the fewest hops.
 
     ``seeds`` has one column, node. Each hop joins only the nodes new in the last one.
     """
-    links = edges.select("src", "dst").distinct()
-    found = seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).distinct()
-    last = found
-    for hop in range(1, max_hops + 1):
+    links = cut(edges.select("src", "dst").distinct())
+    found = cut(seeds.select(F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).distinct())
+    last, hop = found, 0
+    while max_hops is None or hop < max_hops:
+        hop += 1
         step = last.join(links, last["node"] == links["src"]).select("seed", F.col("dst").alias("node")).distinct()
         last = cut(step.join(found, ["seed", "node"], "left_anti").withColumn("hops", F.lit(hop)))
+        if max_hops is None and last.isEmpty():
+            break
         found = found.unionByName(last)
     return found
 
 
+def downstream(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(node, hops): nodes that any of the seeds reaches along edges, by the fewest hops from the nearest.
+
+    One row for a node, whatever the number of seeds; as many joins as hops.
+    """
+    links = cut(edges.select("src", "dst").distinct())
+    last = cut(seeds.select("node", F.lit(0).alias("hops")).distinct())
+    found, hop = last, 0
+    while not last.isEmpty():
+        hop += 1
+        step = links.join(last.select(F.col("node").alias("src")), "src", "left_semi").select(F.col("dst").alias("node")).distinct()
+        last = cut(step.join(found, "node", "left_anti").withColumn("hops", F.lit(hop)))
+        found = found.unionByName(last)
+    return found
+
+
+def shortest_paths(edges: DataFrame, ends: DataFrame, *, most: int, max_hops: int | None = None) -> DataFrame:
+    """(node, path, nth): ways along edges from a node to one of the ``ends`` (column node), as arrays from the node on.
+
+    Shortest first, ties by the names along the way, at most ``most`` a node. A
+    way to the ``most`` best of a node leads over the ``most`` best of its next
+    node, so each hop keeps no more than those, picked in part before the
+    shuffle: rows follow most x nodes even where ways are countless. Ways that
+    come back to themselves end. A way goes on past an end it meets.
+    """
+    links = cut(edges.select(F.col("src").alias("node"), F.col("dst").alias("via")).distinct())
+    last = cut(ends.select("node", F.array("node").alias("path")).distinct())
+    done, hop = last.withColumn("nth", F.lit(1)), 0
+    while not last.isEmpty() and (max_hops is None or hop < max_hops):
+        hop += 1
+        step = links.join(last.select(F.col("node").alias("via"), "path"), "via").filter(~F.array_contains("path", F.col("node"))).select("node", F.concat(F.array("node"), "path").alias("path"))
+        best = step.withColumn("nth", F.row_number().over(Window.partitionBy("node").orderBy("path"))).filter(F.col("nth") <= most)
+        before = done.groupBy("node").agg(F.count("*").alias("had"))
+        ranked = best.join(before, "node", "left").withColumn("nth", (F.col("nth") + F.coalesce("had", F.lit(0))).cast("int"))
+        last = cut(ranked.filter(F.col("nth") <= most).select("node", "path", "nth"))
+        done, last = done.unionByName(last), last.drop("nth")
+    return done
+
+
 def affected(edges: DataFrame, changed: DataFrame, max_hops: int) -> DataFrame:
     """(node, hops, n_causes): what depends on changed nodes, against the direction src -> dst."""
     back = edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))

@@ -50,24 +50,14 @@ def closure(edges: DataFrame, seeds: DataFrame, sizes: DataFrame, *, max_hops: i
     return placed.select("seed", "node", "hops", "place", ((F.col("place") <= max_objects) & (F.col("sum") <= max_bytes)).alias("taken"))
 
 
-def paths_to_roots(edges: DataFrame, nodes: DataFrame, *, max_hops: int, most: int = MAX_PATHS) -> DataFrame:
+def paths_to_roots(edges: DataFrame, nodes: DataFrame, *, max_hops: int | None = None, most: int = MAX_PATHS) -> DataFrame:
     """(node, path, nth): ways from a node along its edges to nodes without any, as ``a>b>c``; shortest first, at most ``most`` a node.
 
-    The bound is what the report asks for; ways that come back to themselves end.
+    The bound is what the report asks for and holds at every hop, see :func:`graph.shortest_paths`.
     """
-    links = edges.select("src", "dst").distinct()
-    last, done = nodes.select("node", F.array("node").alias("path")), []
-    for _ in range(max_hops + 1):
-        end = F.element_at("path", -1)
-        done.append(last.join(links.select(F.col("src").alias("e")).distinct(), end == F.col("e"), "left_anti"))
-        step = last.join(links, end == F.col("src")).filter(~F.array_contains("path", F.col("dst")))
-        last = graph.cut(step.select("node", F.concat("path", F.array("dst")).alias("path")))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
-    rows = out.select("node", F.array_join("path", ">").alias("path"), F.size("path").alias("n"))
-    nth = F.row_number().over(Window.partitionBy("node").orderBy("n", "path"))
-    return rows.withColumn("nth", nth).filter(F.col("nth") <= most).drop("n")
+    ends = nodes.select("node").join(edges.select(F.col("src").alias("node")).distinct(), "node", "left_anti")
+    ways = graph.shortest_paths(edges, ends, most=most, max_hops=max_hops).join(nodes.select("node").distinct(), "node", "left_semi")
+    return ways.select("node", F.array_join("path", ">").alias("path"), "nth")
 
 
 def graph_issues(nodes: DataFrame, edges: DataFrame, kinds: dict[str, str]) -> DataFrame:
@@ -93,20 +83,6 @@ def graph_issues(nodes: DataFrame, edges: DataFrame, kinds: dict[str, str]) -> D
     return out
 
 
-def invalidation(old: DataFrame, new: DataFrame, edges: DataFrame, *, max_hops: int) -> DataFrame:
-    """(node, action, hops): rebuild for nodes that changed or depend on one that did, remove, or reuse.
-
-    Nodes are (node, sha256); an edge's src depends on its dst.
-    """
-    both = old.select("node", F.col("sha256").alias("o")).join(new.select("node", F.col("sha256").alias("n")), "node", "full_outer")
-    changed = both.filter("o IS NULL OR n IS NULL OR o <> n").select("node")
-    hit = graph.affected(edges, changed, max_hops).select("node", "hops")
-    state = both.join(changed.withColumn("own", F.lit(0)), "node", "left").join(hit, "node", "left")
-    hops = F.coalesce("own", "hops")
-    action = F.when(F.col("n").isNull(), "remove").when(hops.isNull(), "reuse").otherwise("rebuild")
-    return state.select("node", action.alias("action"), hops.alias("hops"))
-
-
 def answer_issues(claims: DataFrame, citations: DataFrame, bundle: DataFrame, rules: dict[str, int]) -> DataFrame:
     """(answer, claim, issue): citations outside the answer's bundle, and claims with fewer citations than their kind asks for.
 

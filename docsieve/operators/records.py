@@ -9,9 +9,6 @@ from docsieve.functions import geometry as G
 from docsieve.functions import text as T
 from docsieve.operators import provenance as V
 
-#: Actions in the order in which a changed record asks for them (fixed values).
-ACTIONS = ("rebuild", "revalidate", "rereview")
-
 
 def compact_map(text: Column) -> Column:
     """Struct of ``compact``, a text without white space and hyphens, and ``pos``, where each of its characters stood."""
@@ -111,15 +108,6 @@ def snapshot(rows: DataFrame, key: str, kind: str, identity: list[str], evidence
     return rows.select(F.col(key).alias("node"), F.lit(kind).alias("kind"), V.record_hash(*identity).alias("identity_sha256"), V.record_hash(*evidence).alias("evidence_sha256"), V.record_hash(*identity, *evidence).alias("content_sha256"))
 
 
-def required_actions(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(node, actions): what a changed node asks for, in a fixed order: rebuild for a new identity, revalidate for new content, rereview for new evidence."""
-    side = lambda df, s: df.select("node", F.struct("identity_sha256", "evidence_sha256", "content_sha256").alias(s))
-    both = side(old, "o").join(side(new, "n"), "node", "full_outer").filter("o IS NOT NULL AND n IS NOT NULL")
-    differs = lambda c: F.col(f"o.{c}") != F.col(f"n.{c}")
-    asked = F.array_compact(F.array(F.when(differs("identity_sha256"), ACTIONS[0]), F.when(differs("content_sha256"), ACTIONS[1]), F.when(differs("evidence_sha256"), ACTIONS[2])))
-    return both.select("node", F.array_join(asked, ",").alias("actions")).filter("actions <> ''")
-
-
 def source_merges(rows: DataFrame, source: str, first: str, last: str) -> DataFrame:
     """(source, first, last, n, state): page ranges of a source united where they meet; a source whose ranges leave a gap is rejected."""
     w = Window.partitionBy(source).orderBy(first, last)

@@ -75,19 +75,6 @@ def graph_issues(spark, sf_dir):
     return found
 
 
-@query("""WITH n AS (SELECT n_nationkey, n_nationkey % 5 = 0 AS ch FROM nation)
-SELECT 'n:' || n_nationkey AS node, CASE WHEN ch THEN 'rebuild' ELSE 'reuse' END AS action, CASE WHEN ch THEN 0 END AS hops FROM n UNION ALL SELECT 'r:' || r_regionkey, 'reuse', NULL FROM region
-UNION ALL SELECT 'c:' || c_custkey, CASE WHEN c_acctbal < 0 THEN 'remove' WHEN ch THEN 'rebuild' ELSE 'reuse' END, CASE WHEN c_acctbal < 0 THEN 0 WHEN ch THEN 1 END FROM customer JOIN n ON n_nationkey = c_nationkey
-UNION ALL SELECT 's:' || s_suppkey, CASE WHEN ch THEN 'rebuild' ELSE 'reuse' END, CASE WHEN ch THEN 1 END FROM supplier JOIN n ON n_nationkey = s_nationkey""")
-def invalidation_plan(spark, sf_dir):
-    """Every fifth nation changes and customers in debt go; what stands on them is rebuilt."""
-    nodes = _nodes(spark, sf_dir).select("node", F.sha2("node", 256).alias("sha256"))
-    gone = table(spark, sf_dir, "customer").filter("c_acctbal < 0").select(F.concat(F.lit("c:"), "c_custkey").alias("node"))
-    touched = F.col("node").startswith("n:") & (F.substring("node", 3, 9).try_cast("int") % 5 == 0)
-    new = nodes.join(gone, "node", "left_anti").withColumn("sha256", F.when(touched, "new").otherwise(F.col("sha256")))
-    return K.invalidation(nodes, new, _edges(spark, sf_dir), max_hops=3)
-
-
 # answers, links, suites
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from docsieve.functions import geometry as G
 from docsieve.functions import text as T
 from docsieve.functions import units as U
+from docsieve.operators import change_plan as C
 from docsieve.operators import records as R
 from docsieve.plans.registry import query, table
 
@@ -136,13 +137,21 @@ def auto_edges(spark, sf_dir):
     return R.auto_edges(rows, "key", {"o_custkey": "customer", "parts": "part", "status": "status"})
 
 
-@query("""SELECT o_orderkey AS node, array_to_string(list_filter([CASE WHEN o_orderkey % 3 = 0 THEN 'rebuild' END, CASE WHEN o_orderkey % 3 = 0 OR o_orderkey % 5 = 0 THEN 'revalidate' END, CASE WHEN o_orderkey % 5 = 0 THEN 'rereview' END], lambda x: x IS NOT NULL), ',') AS actions FROM orders WHERE o_orderkey % 3 = 0 OR o_orderkey % 5 = 0""")
+@query("""WITH o AS (SELECT o_orderkey AS node, o_orderkey % 3 = 0 AS i, o_orderkey % 5 = 0 AS e FROM orders) SELECT node, CASE WHEN i OR e THEN 'changed' ELSE 'unchanged' END AS change, i AS identity_drift, e AS evidence_drift, CASE WHEN i OR e THEN 'rebuild,re-review' ELSE '' END AS actions FROM o""")
 def snapshot_actions(spark, sf_dir):
-    """Two snapshots of orders: a third got another customer, a fifth another price."""
+    """Two snapshots of orders as statements: a third got another customer, a fifth another price."""
     orders = table(spark, sf_dir, "orders")
     newer = orders.withColumn("o_custkey", F.when(F.col("o_orderkey") % 3 == 0, -1).otherwise(F.col("o_custkey"))).withColumn("o_totalprice", F.when(F.col("o_orderkey") % 5 == 0, -1.0).otherwise(F.col("o_totalprice")))
-    shot = lambda df: R.snapshot(df, "o_orderkey", "order", ["o_custkey", "o_orderstatus"], ["o_totalprice"])
-    return R.required_actions(shot(orders), shot(newer))
+
+    def shot(df):
+        rows = R.snapshot(df, "o_orderkey", "semantic_assertion", ["o_custkey", "o_orderstatus"], ["o_totalprice"])
+        none = F.array().cast("array<string>")
+        return rows.select("node", "kind", F.col("content_sha256").alias("content"), F.col("identity_sha256").alias("identity"), F.col("evidence_sha256").alias("evidence"), F.lit("p").alias("protocol"), F.lit("").alias("inputs"), F.lit(2).alias("reviewers"), F.create_map(F.lit("read"), F.lit(True)).alias("capabilities"), F.lit("").alias("tag"), none.alias("required_receipts"), none.alias("receipts"))
+
+    states = C.node_states(shot(orders), shot(newer))
+    differs = lambda f: F.col(f"o.{f}") != F.col(f"n.{f}")
+    asked = F.when(F.col("change") == "unchanged", "").otherwise(F.array_join(C.required_actions(F.col("n.kind")), ","))
+    return states.select("node", "change", differs("identity").alias("identity_drift"), differs("evidence").alias("evidence_drift"), asked.alias("actions"))
 
 
 @query("""WITH r AS (SELECT l_suppkey * 1000000 + l_partkey AS source, l_linenumber * 10 AS f, (l_linenumber * 10 + l_quantity % 12)::INT AS l FROM lineitem), m AS (SELECT *, max(l) OVER (PARTITION BY source ORDER BY f, l ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS b FROM r)
