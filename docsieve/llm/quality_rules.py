@@ -5,11 +5,11 @@ source is kept in a mergeable quantile sketch: counts of exponentially growing
 bins (128 to each power of two, so a quantile is at most 1/128 too low). Merging
 is adding counts, whatever the order, so the thresholds are the same on every
 cluster. A document is rejected where a signal lies beyond its group's cut:
-outside the quartiles by a multiple of their range, or beyond the first gap in
-the values above the third quartile, which is what tells the odd ones of a
-signal that is zero nearly everywhere. The cuts of a group are drawn to those
-of its language, and these to those of the whole corpus, the more the fewer
-rows it has. No cut is fixed.
+outside the quartiles by a multiple of their range, or above the lowest value
+whose tail (the rows above it) has a median many times as large, which is what
+tells the odd ones of a signal that is zero nearly everywhere. The cuts of a
+group are drawn to those of its language, and these to those of the whole
+corpus, the more the fewer rows it has. No cut is fixed.
 """
 
 from __future__ import annotations
@@ -31,8 +31,8 @@ SYMBOLS = b"#*$%&|<>"
 BIN_BITS = 7
 #: Rows of its own at which a group's cut counts as much as that of the level above.
 HALF_ROWS = 50
-#: A cut lies so many quartile ranges outside the quartiles, or in a gap of this ratio.
-RANGES, GAP = 3, 32
+#: A cut lies so many quartile ranges outside the quartiles, or below a tail whose median is so many times what it starts at.
+RANGES, FAR = 3, 256
 #: Signals per word: name, counted field, scale, whether low values count too.
 SIGNALS = (
     ("word_length", "word_chars", 100, True),
@@ -129,19 +129,31 @@ def merge(sketches: DataFrame, keys: list[str]) -> DataFrame:
 def cuts(sketches: DataFrame, keys: list[str]) -> DataFrame:
     """Rows (keys, signal, rows, low, high); a cut that the values don't show is null.
 
-    A gap from a value a to the next value b counts where b is at least GAP
-    times a + 1; its cut is the geometric middle.
+    A value a from the third quartile on counts as the end of the usual ones if
+    the median of the rows above it is at least FAR times a + 1; the cut is the
+    geometric middle. It depends on quantiles alone: rows that come to lie
+    between a and FAR times a + 1 leave the cut where it is as long as they are
+    no more than those beyond.
     """
     group = Window.partitionBy(*keys, "signal")
     order = group.orderBy("bin")
     upto = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    ranked = sketches.withColumn("upto", upto).withColumn("next", F.lead("bin").over(order)).withColumn("rows", F.sum("n").over(group))
+    ranked = sketches.withColumn("upto", upto).withColumn("rows", F.sum("n").over(group))
     quartile = lambda k: F.min(F.when(4 * F.col("upto") >= k * F.col("rows"), F.col("bin")))
-    gap = F.when((4 * F.col("upto") >= 3 * F.col("rows")) & (F.col("next") >= GAP * (F.col("bin") + 1)), F.sqrt((F.col("bin") + 1) * F.col("next")))
-    found = ranked.groupBy(*keys, "signal").agg(F.max("rows").alias("rows"), quartile(1).alias("q1"), quartile(3).alias("q3"), F.min(gap).alias("gap"))
+    cells = F.sort_array(F.collect_list(F.struct("bin", "n", (F.col("rows") - F.col("upto")).alias("tail"))))  # a cell a bin
+    found = ranked.groupBy(*keys, "signal").agg(F.max("rows").alias("rows"), quartile(1).alias("q1"), quartile(3).alias("q3"), cells.alias("cells"))
+    beyond = lambda a: F.aggregate("cells", F.lit(0).cast("long"), lambda s, b: s + F.when(b["bin"] + 1 >= FAR * (a["bin"] + 1), b["n"]).otherwise(F.lit(0)))
+    ends = F.filter("cells", lambda a: (a["bin"] >= F.col("q3")) & (a["tail"] > 0) & (2 * beyond(a) >= a["tail"]))
+    tail = F.try_element_at(ends, F.lit(1))["bin"]
     wide = F.when(F.col("q3") > F.col("q1"), RANGES * (F.col("q3") - F.col("q1")))
     both = F.col("signal").isin([name for name, _, _, low in SIGNALS if low])
-    return found.select(*keys, "signal", "rows", F.when(both, F.col("q1") - wide).cast("double").alias("low"), F.least((F.col("q3") + wide).cast("double"), "gap").alias("high"))
+    return found.select(
+        *keys,
+        "signal",
+        "rows",
+        F.when(both, F.col("q1") - wide).cast("double").alias("low"),
+        F.least((F.col("q3") + wide).cast("double"), (tail + 1) * F.sqrt(F.lit(float(FAR)))).alias("high"),
+    )
 
 
 def drawn(own: DataFrame, above: DataFrame, keys: list[str]) -> DataFrame:

@@ -133,8 +133,9 @@ f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_fail
 v AS (SELECT doc_id, lang, source, unnest(['word_length', 'symbols', 'dup_lines', 'repeats']) AS signal, unnest([100 * word_chars // n_words, 1000 * n_symbols // n_words, 1000 * n_dup_lines // n_words, 1000 * n_repeat_words // n_words]) AS value FROM f WHERE NOT base_failed),
 b AS (SELECT *, (value >> greatest(length(bin(value)) - 8, 0)) << greatest(length(bin(value)) - 8, 0) AS bin FROM v),
 c AS (SELECT 2 AS lvl, lang, source, signal, bin, count(*) AS n FROM b GROUP BY ALL UNION ALL SELECT 1, lang, NULL, signal, bin, count(*) FROM b GROUP BY ALL UNION ALL SELECT 0, NULL, NULL, signal, bin, count(*) FROM b GROUP BY ALL),
-k AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, signal ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lvl, lang, source, signal) AS total, lead(bin) OVER (PARTITION BY lvl, lang, source, signal ORDER BY bin) AS nx FROM c),
-q AS (SELECT lvl, lang, source, signal, max(total)::DOUBLE AS total, min(CASE WHEN 4 * upto >= total THEN bin END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS q3, min(CASE WHEN 4 * upto >= 3 * total AND nx >= 32 * (bin + 1) THEN sqrt((bin + 1) * nx) END) AS gap FROM k GROUP BY ALL),
+k AS (SELECT *, sum(n) OVER (PARTITION BY lvl, lang, source, signal ORDER BY bin) AS upto, sum(n) OVER (PARTITION BY lvl, lang, source, signal) AS total FROM c),
+x AS (SELECT a.lvl, a.lang, a.source, a.signal, a.bin, sum(CASE WHEN b.bin + 1 >= 256 * (a.bin + 1) THEN b.n ELSE 0 END) AS beyond FROM c a JOIN c b ON a.lvl = b.lvl AND a.signal = b.signal AND a.lang IS NOT DISTINCT FROM b.lang AND a.source IS NOT DISTINCT FROM b.source GROUP BY ALL),
+q AS (SELECT lvl, k.lang, k.source, signal, max(total)::DOUBLE AS total, min(CASE WHEN 4 * upto >= total THEN bin END) AS q1, min(CASE WHEN 4 * upto >= 3 * total THEN bin END) AS q3, min(CASE WHEN 4 * upto >= 3 * total AND total > upto AND 2 * beyond >= total - upto THEN (k.bin + 1) * 16.0::DOUBLE END) AS gap FROM k JOIN x USING (lvl, signal, bin) WHERE k.lang IS NOT DISTINCT FROM x.lang AND k.source IS NOT DISTINCT FROM x.source GROUP BY lvl, k.lang, k.source, signal),
 t AS (SELECT *, CASE WHEN signal = 'word_length' AND q3 > q1 THEN (q1 - 3 * (q3 - q1))::DOUBLE END AS low, coalesce(least((CASE WHEN q3 > q1 THEN q3 + 3 * (q3 - q1) END)::DOUBLE, gap), (CASE WHEN q3 > q1 THEN q3 + 3 * (q3 - q1) END)::DOUBLE, gap) AS high FROM q),
 d1 AS (SELECT o.lang, o.signal, coalesce(o.total / (o.total + 50) * o.low + (1 - o.total / (o.total + 50)) * a.low, o.low, a.low) AS low, coalesce(o.total / (o.total + 50) * o.high + (1 - o.total / (o.total + 50)) * a.high, o.high, a.high) AS high FROM t o JOIN t a ON o.lvl = 1 AND a.lvl = 0 AND a.signal = o.signal),
 d2 AS (SELECT o.lang, o.source, o.signal, coalesce(o.total / (o.total + 50) * o.low + (1 - o.total / (o.total + 50)) * a.low, o.low, a.low) AS low, coalesce(o.total / (o.total + 50) * o.high + (1 - o.total / (o.total + 50)) * a.high, o.high, a.high) AS high FROM t o JOIN d1 a ON o.lvl = 2 AND a.lang IS NOT DISTINCT FROM o.lang AND a.signal = o.signal),
