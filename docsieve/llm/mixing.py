@@ -9,6 +9,10 @@ document (or the whole pool) is integral. Going from the largest document to
 the smallest, a chunk ends with one fractional document at most, as a rule its
 smallest. Those residuals meet in chunks of the next level, a reduction tree
 that ends with one document per source.
+
+Where the document at the root is large for its source, so that drawing it or
+not misses the target by more than a stated share, a few documents of that
+source take one copy more or less afterwards, the largest that fit first.
 """
 
 from __future__ import annotations
@@ -23,6 +27,8 @@ SEED = 5_009
 MAX_COPIES = 3
 #: Documents that one fold takes at most, but for chance: chunks are dealt by hash.
 FAN_IN = 128
+#: Share of its target by which a source may miss it before copies are evened out; documents looked at for that, in so many rounds.
+SHARE, EVENED, ROUNDS = 0.005, 64, 4
 
 
 def source_targets(sizes: DataFrame, max_copies: int = MAX_COPIES) -> DataFrame:
@@ -124,10 +130,14 @@ def copies(sized: DataFrame, *, fan_in: int = FAN_IN, max_copies: int = MAX_COPI
 
     ``sized`` is what :func:`sized_documents` gives; it is written out once, and
     everything follows from that. Returns its columns, source_size, target and
-    copies, one row per row of ``sized``; ids keep their type. A source's words
-    taken differ from its target by less than the document left at the root of
-    its tree, as a rule its smallest. Documents of size 0 get no copies. Repeated
-    rows count each by itself. An empty table gives an empty result.
+    copies, one row per row of ``sized``; ids keep their type. Each document has
+    floor(f) or ceil(f) copies, f being the share that its source's target asks
+    for. The document left at the root of a source's tree may be any of it; where
+    drawing it misses the target by over SHARE, :func:`_evened` brings the source
+    nearer. Where none is missed so far, as in sources without a document
+    of over SHARE of the target, the mean copies are those of the pivotal method.
+    Documents of size 0 get no copies. Repeated rows count each by itself. An
+    empty table gives an empty result.
     """
     sized = materialize(sized, "mix-sized")
     doc = DOC.format(sized.schema["doc_id"].dataType.simpleString())
@@ -167,6 +177,42 @@ def copies(sized: DataFrame, *, fan_in: int = FAN_IN, max_copies: int = MAX_COPI
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
+    return _evened(out, max_copies)
+
+
+def _evened(drawn: DataFrame, max_copies: int) -> DataFrame:
+    """``drawn`` with sources that miss their targets by over SHARE brought nearer.
+
+    Of the documents that may still go from floor(f) to ceil(f) copies, or back,
+    and aren't larger than what is missing, the EVENED largest of a source are
+    looked at, picked in part before the shuffle; each in turn changes if it
+    fits what is left. A round ends below the smallest of them that was
+    passed over, or has used them all; what is missing then shrinks on in the
+    next round. Sources that are near enough take no part.
+    """
+    out = materialize(drawn, "mix-drawn")
+    key = ["doc_id", "source", "h", "nth"]
+    f = F.least(F.col("target") / F.col("source_size"), F.lit(float(max_copies)))
+    base, tie = F.floor(f), F.xxhash64(F.lit(SEED + 1), "doc_id", "h", "nth")
+    for _ in range(ROUNDS):
+        sums = out.groupBy(F.col("source").alias("k")).agg(F.max("target").alias("t"), F.sum(F.col("size") * F.col("copies")).alias("taken"))
+        off = sums.select("k", (F.col("t") - F.col("taken")).alias("gap")).filter(F.abs("gap") > SHARE * F.col("t"))
+        may = F.when(F.col("gap") > 0, (F.col("copies") == base) & (base < f)).otherwise(F.col("copies") == base + 1)
+        rows = out.join(off, F.col("source").eqNullSafe(F.col("k"))).filter((F.col("size") > 0) & (F.col("size") <= F.abs("gap")) & may).select(*key, "size", "gap", tie.alias("tie"))
+        place = F.row_number().over(Window.partitionBy("source").orderBy(F.col("size").desc(), "tie", "doc_id", "nth"))
+        some = rows.withColumn("place", place).filter(F.col("place") <= EVENED)
+        lists = some.groupBy("source").agg(F.max("gap").alias("gap"), F.sort_array(F.collect_list(F.struct("place", "size", *(F.col(c).alias(f"k_{c}") for c in key)))).alias("rows"))
+        picked = F.array().cast(dict(lists.dtypes)["rows"])
+        fits = lambda s, x: F.when(x["size"] <= s["left"], F.struct((s["left"] - x["size"]).alias("left"), F.concat(s["picked"], F.array(x)).alias("picked"))).otherwise(s)
+        chosen = F.aggregate("rows", F.struct(F.abs("gap").alias("left"), picked.alias("picked")), fits)["picked"]
+        changes = lists.select(F.signum("gap").cast("int").alias("change"), F.inline(chosen)).select("change", *(f"k_{c}" for c in key))
+        changes = materialize(changes, "mix-changes")  # at most EVENED rows a source
+        if changes.isEmpty():
+            return out
+        same = F.lit(True)
+        for c in key:
+            same &= F.col(c).eqNullSafe(F.col(f"k_{c}"))
+        out = materialize(out.join(changes, same, "left").select(*(c for c in out.columns if c != "copies"), (F.col("copies") + F.coalesce("change", F.lit(0))).cast("int").alias("copies")), "mix-evened")
     return out
 
 
