@@ -202,6 +202,7 @@ def join_fragments(fragments: Column) -> Column:
 
 
 def is_caption_prefix(text: Column) -> Column:
+    """Whether a text is nothing but the word that opens a caption (the pattern is a fixed value)."""
     return text.rlike(r"(?i)^\s*(?:figure|fig(?:ure)?\.?|图|table|tab(?:le)?\.?|表|equation|eq(?:uation)?\.?|式)\s*$")
 
 

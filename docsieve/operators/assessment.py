@@ -166,12 +166,16 @@ def budget_receipt(used: DataFrame, keys: list[str], limits: dict[str, float]) -
     return sums.withColumn("status", F.when(over, "budget-exhausted").otherwise("complete"))
 
 
-def candidate_kinds(tables: Column, rows: Column, figures: Column, images: Column, line_ops: Column, stroke_ops: Column, charts: Column) -> Column:
-    """The kinds of objects that a page's counts speak for."""
+def candidate_kinds(labels: dict[str, Column], *, rows: Column, images: Column, forms: Column, line_ops: Column, stroke_ops: Column) -> Column:
+    """The kinds of objects that a page's counts speak for. ``labels``: how many labels of each kind it has (missing: none)."""
+    none = F.lit(0)
+    tables, figures, charts, diagrams, equations = (labels.get(k, none) for k in ("table", "figure", "chart", "diagram", "equation"))
     return F.array_compact(F.array(
         F.when((tables > 0) | (rows >= 1) | ((line_ops >= 2) & (stroke_ops >= 2)), "table"),
-        F.when((figures > 0) | (images > 0), "figure"),
+        F.when((figures > 0) | (images + forms > 0), "figure"),
         F.when((charts > 0) | ((line_ops >= 2) & (rows == 0) & (images > 0)), "chart"),
+        F.when(diagrams > 0, "diagram"),
+        F.when(equations > 0, "equation"),
     ))
 
 

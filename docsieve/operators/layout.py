@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 from docsieve.functions import geometry as G
 from docsieve.functions import text as T
 from docsieve.operators import graph, matching
+from docsieve.operators import sequences as S
 
 BOX = ("x0", "y0", "x1", "y1")
 #: A numbered heading, and the page number that may follow its title (fixed values).
 HEADING, TRAILING_PAGE = r"^(\d+(?:\.\d+)*)\s+([A-Za-z][^\n]{2,})$", r"(?U)\s+\d{1,3}$"
+#: The start of a table's caption: its word and a number token (fixed value).
+TABLE_CAPTION = r"(?iU)^\s*(?:Table|Tab(?:le)?\.?|表)\s*(?:[A-Za-z]+|[IVXLCDM]+|\d+)(?:[.-](?:[A-Za-z]+|[IVXLCDM]+|\d+))*"
 
 
 def same_line(a: Column, b: Column) -> Column:
@@ -99,7 +102,7 @@ def clusters_below(captions: DataFrame, lines: DataFrame, page: list[str], *, he
     """
     gap, reach = max(20.0, height * 0.035), height * 0.35
     below = captions.select(*page, "caption", F.col("y1").alias("top")).join(lines, page)
-    below = below.filter((F.col("y1") > F.col("top") - max(2.0, height * 0.005)) & (F.col("y0") <= F.col("top") + reach) & (F.trim("text") != "") & ~F.col("text").rlike(r"(?i)^\s*(?:table|tab\.?|表)\s*[0-9]"))
+    below = below.filter((F.col("y1") > F.col("top") - max(2.0, height * 0.005)) & (F.col("y0") <= F.col("top") + reach) & (F.trim("text") != "") & ~F.col("text").rlike(TABLE_CAPTION))
     w = Window.partitionBy(*page, "caption").orderBy("y0", "x0", "x1", "y1", "line")
     bottom = F.greatest(F.col("top"), F.max("y1").over(w.rowsBetween(Window.unboundedPreceding, -1)))
     cut = below.withColumn("nth", F.row_number().over(w)).withColumn("far", F.when((F.col("nth") > 1) & (F.col("y0") - bottom > gap), 1).otherwise(0))
@@ -108,21 +111,16 @@ def clusters_below(captions: DataFrame, lines: DataFrame, page: list[str], *, he
     return out.filter("n_lines >= 2")
 
 
-def segments(nodes: DataFrame, book: list[str], *, first_page: Column, last_page: Column, max_depth: int) -> DataFrame:
+def segments(nodes: DataFrame, book: list[str], *, first_page: Column, last_page: Column) -> DataFrame:
     """(book, node, title, depth, parent, n_children, start_page, end_page, scope_start, scope_end) of an outline in document order.
 
-    Nodes have node (their order), title, depth (0 to ``max_depth``) and
-    start_page. A parent is the last node before with a smaller depth. A node
-    ends on the page where the next of its depth or less starts; the scope clips both.
+    Nodes have node (their order), title, depth (of any size) and start_page. A
+    parent is the last node before with a smaller depth. A node ends on the page
+    where the next of its depth or less starts; the scope clips both.
     """
-    w = Window.partitionBy(*book).orderBy("node")
-    before, after = w.rowsBetween(Window.unboundedPreceding, -1), w.rowsBetween(1, Window.unboundedFollowing)
-    parent, end = F.lit(None).cast("long"), F.lit(None).cast("int")
-    for d in range(max_depth + 1):
-        shallower = F.max(F.when(F.col("depth") < d, F.col("node"))).over(before)
-        following = F.min(F.when(F.col("depth") <= d, F.struct("node", "start_page"))).over(after)["start_page"]
-        parent, end = F.when(F.col("depth") == d, shallower).otherwise(parent), F.when(F.col("depth") == d, following).otherwise(end)
-    own = nodes.withColumn("parent", parent).withColumn("next", end).withColumn("end_page", F.greatest("start_page", F.coalesce(F.least("next", last_page), last_page)))
+    own = S.nearest_shallower(nodes.withColumn("node", F.col("node").cast("long")), book, ["node"], "depth", "node", "parent")
+    own = S.nearest_shallower(own.withColumn("start_page", F.col("start_page").cast("int")), book, ["node"], "depth", "start_page", "next", ahead=True, equal=True)
+    own = own.withColumn("end_page", F.greatest("start_page", F.coalesce(F.least("next", last_page), last_page)))
     own = own.withColumn("scope_start", F.least(F.greatest("start_page", first_page), last_page)).withColumn("scope_end", F.greatest("scope_start", F.least("end_page", last_page)))
     children = own.filter("parent IS NOT NULL").groupBy(*book, F.col("parent").alias("node")).agg(F.count("*").alias("n_children"))
     return own.join(children, [*book, "node"], "left").select(*book, "node", "title", "depth", "parent", F.coalesce("n_children", F.lit(0)).alias("n_children"), "start_page", "end_page", "scope_start", "scope_end")
@@ -134,26 +132,22 @@ def physical_order(rows: DataFrame, book: list[str], title: str, page_text: str)
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*book).orderBy("start_page", at.asc_nulls_last(), "node")))
 
 
-def heading_fallback(pages: DataFrame, book: list[str], page: str, text: str, *, max_depth: int = 6) -> DataFrame:
+def heading_fallback(pages: DataFrame, book: list[str], page: str, text: str) -> DataFrame:
     """(book, node, title, depth, page, parent): numbered headings in the first 24 lines of each page.
 
-    A heading counts where it comes first in its book, whatever its case. A
-    parent is the last heading of the depth above, if no shallower one came after it.
+    A heading counts where it comes first in its book, whatever its case. Depth
+    is the number of points in its number, without a bound. A parent is the last
+    heading of the depth above, if no shallower one came after it.
     """
     lines = pages.select(*book, page, F.posexplode(F.slice(F.split(text, r"\r\n|\n|\r"), 1, 24)).alias("line", "raw")).withColumn("raw", T.collapse_space(F.col("raw")))
     found = lines.select(*book, page, "line", F.regexp_extract("raw", HEADING, 1).alias("number"), F.regexp_extract("raw", HEADING, 2).alias("rest")).filter("number <> ''")
     found = found.withColumn("title", F.concat_ws(" ", "number", T.strip(F.regexp_replace("rest", TRAILING_PAGE, ""))))
     once = found.withColumn("nth", F.row_number().over(Window.partitionBy(*book, F.lower("title")).orderBy(page, "line"))).filter("nth = 1")
     depth = (F.length("number") - F.length(F.regexp_replace("number", r"\.", ""))).cast("int")
-    w = Window.partitionBy(*book).orderBy(page, "line")
-    nodes = once.withColumn("depth", depth).withColumn("node", F.row_number().over(w) - 1)
-    before = w.rowsBetween(Window.unboundedPreceding, -1)
-    parent = F.lit(None).cast("int")
-    for d in range(1, max_depth + 1):
-        # the last node of depth d - 1 or less must itself be of depth d - 1
-        above = F.max(F.when(F.col("depth") < d, F.struct("node", "depth"))).over(before)
-        parent = F.when((F.col("depth") == d) & (above["depth"] == d - 1), above["node"]).otherwise(parent)
-    return nodes.select(*book, "node", "title", "depth", page, parent.alias("parent"))
+    nodes = once.withColumn("depth", depth).withColumn("node", F.row_number().over(Window.partitionBy(*book).orderBy(page, "line")) - 1)
+    above = S.nearest_shallower(nodes.withColumn("own", F.struct("node", "depth")), book, ["node"], "depth", "own", "above")
+    parent = F.when(F.col("above.depth") == F.col("depth") - 1, F.col("above.node"))
+    return above.select(*book, "node", "title", "depth", page, parent.alias("parent"))
 
 
 def equivalence(a: Column, b: Column, *, same_scope: Column, same_space: Column, same_object: Column, tolerance: Column) -> Column:

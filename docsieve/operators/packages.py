@@ -205,7 +205,10 @@ def delimited_cells(rows: DataFrame, key: str, text: str, delimiter: str = ",")
 def html_grid(rows: DataFrame, key: str, html: str) -> DataFrame:
     """(key, row, col, row_span, col_span, text) of the first table of a page: cells go to the first free place of their row, past those that reach down from above.
 
-    Tags are cut in Spark; only the placing of a table's cells runs in Python.
+    Tags are cut in Spark; only the placing of a table's cells runs in Python. A
+    cell is held as its columns and the row it reaches to, so that memory follows
+    the cells of a table and not the spans they claim; a span too large for an
+    integer counts as one.
     """
     body = F.regexp_extract(F.col(html), r"(?is)<table\b[^>]*>(.*?)</table>", 1)
     lines = F.regexp_extract_all(body, F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
@@ -217,14 +220,14 @@ def html_grid(rows: DataFrame, key: str, html: str) -> DataFrame:
     @F.pandas_udf("array<struct<row:int,col:int,row_span:int,col_span:int,text:string>>")
     def placed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         def one(table):
-            taken, out, last, j = set(), [], None, 0
+            reach, out, last, j = [], [], None, 0  # (first column, past the last, past the last row) of cells that reach down
             for c in table:
                 i = c["row"]
                 if i != last:
-                    last, j = i, 0
-                while (i, j) in taken:
-                    j += 1
-                taken.update((a, b) for a in range(i, i + c["rs"]) for b in range(j, j + c["cs"]))
+                    last, j, reach = i, 0, [r for r in reach if r[2] > i]
+                while over := [r for r in reach if r[0] <= j < r[1]]:
+                    j = max(r[1] for r in over)
+                reach.append((j, j + c["cs"], i + c["rs"]))
                 out.append({"row": i, "col": j, "row_span": c["rs"], "col_span": c["cs"], "text": c["text"]})
                 j += c["cs"]
             return out

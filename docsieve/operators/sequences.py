@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 from docsieve.operators import graph
 
@@ -35,15 +35,45 @@ def islands(rows: DataFrame, keys: list[str], order: list[str], breaks: Column)
     return marked.withColumn("island", F.sum("_break").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_break")
 
 
-def section_ends(rows: DataFrame, keys: list[str], order: list[str], depth: str, place: str, depths: int) -> DataFrame:
-    """``rows`` plus ``next_place``: of the next row of the same key that is no deeper, null where there is none.
+def nearest_shallower(rows: DataFrame, keys: list[str], order: list[str], depth: str, value: str, name: str, *, ahead: bool = False, equal: bool = False) -> DataFrame:
+    """``rows`` plus ``name``: ``value`` of the nearest row of the same key before (``ahead``: after) that has less depth (``equal``: or as much), else null.
 
-    One window pass keeps, for each depth up to ``depths``, the next place of at
-    most that depth; no pair of rows is ever made.
+    A key's rows pass in order through one task, which keeps a stack of one row
+    for each depth that is open; depths have no bound. Rows of null depth are
+    neither found nor find anything.
     """
-    after = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1, Window.unboundedFollowing)
-    nexts = F.array(*(F.first(F.when(F.col(depth) <= d, F.col(place)), ignorenulls=True).over(after) for d in range(depths + 1)))
-    return rows.withColumn("next_place", F.get(nexts, F.col(depth)))
+    directed = [F.col(c).desc() if ahead else F.col(c).asc() for c in order]
+    sorted_rows = rows.repartition(*keys).sortWithinPartitions(*keys, *directed)
+    schema = StructType([*rows.schema.fields, StructField(name, rows.schema[value].dataType)])
+    names, n = rows.columns, len(keys)
+
+    def run(batches) -> Iterator:
+        import pyarrow as pa
+
+        key, stack = object(), []
+        for batch in batches:
+            columns = [batch.column(names.index(c)) for c in (*keys, depth, value)]
+            found = []
+            for *k, d, v in zip(*(c.to_pylist() for c in columns), strict=True):
+                if k != key:
+                    key, stack = k, []
+                if d is None:
+                    found.append(None)
+                    continue
+                while stack and (stack[-1][0] > d or stack[-1][0] == d and not equal):
+                    stack.pop()
+                found.append(stack[-1][1] if stack else None)
+                if stack and stack[-1][0] == d:
+                    stack.pop()
+                stack.append((d, v))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, columns[n + 1].type)], names=schema.names)
+
+    return sorted_rows.mapInArrow(run, schema)
+
+
+def section_ends(rows: DataFrame, keys: list[str], order: list[str], depth: str, place: str) -> DataFrame:
+    """``rows`` plus ``next_place``: of the next row of the same key that is no deeper, null where there is none. Any depth will do."""
+    return nearest_shallower(rows, keys, order, depth, place, "next_place", ahead=True, equal=True)
 
 
 def interpolate(curves: DataFrame, wanted: DataFrame, key: str) -> DataFrame:

@@ -148,11 +148,12 @@ def budget_receipts(spark, sf_dir):
     return A.budget_receipt(table(spark, sf_dir, "lineitem"), ["l_suppkey"], {"l_quantity": 15_000, "l_linenumber": 2_400})
 
 
-@query("""SELECT page_id, concat_ws(',', CASE WHEN t > 0 OR r >= 1 THEN 'table' END, CASE WHEN f > 0 THEN 'figure' END, CASE WHEN h >= 2 AND r = 0 AND f > 0 THEN 'chart' END) AS kinds FROM (SELECT page_id, len(regexp_extract_all(html, '<table')) AS t, len(regexp_extract_all(html, '<tr')) AS r, len(regexp_extract_all(html, '<img')) AS f, len(regexp_extract_all(html, '<li')) AS h FROM pages)""")
+@query("""SELECT page_id, concat_ws(',', CASE WHEN t > 0 OR r >= 1 THEN 'table' END, CASE WHEN f > 0 OR fm > 0 THEN 'figure' END, CASE WHEN h >= 2 AND r = 0 AND f > 0 THEN 'chart' END, CASE WHEN dg > 0 THEN 'diagram' END, CASE WHEN eq > 0 THEN 'equation' END) AS kinds FROM (SELECT page_id, len(regexp_extract_all(html, '<form|<nav')) AS fm, len(regexp_extract_all(html, '<(?:svg|pre|code)')) AS dg, len(regexp_extract_all(html, '<(?:math|sup|h2)')) AS eq, len(regexp_extract_all(html, '<table')) AS t, len(regexp_extract_all(html, '<tr')) AS r, len(regexp_extract_all(html, '<img')) AS f, len(regexp_extract_all(html, '<li')) AS h FROM pages)""")
 def candidate_kinds(spark, sf_dir):
     """What pages hold, by counts of their marks; list items stand for line operators."""
     n = lambda mark: F.size(F.regexp_extract_all("html", F.lit(mark), F.lit(0)))
-    kinds = A.candidate_kinds(n("<table"), n("<tr"), F.lit(0), n("<img"), n("<li"), F.lit(0), F.lit(0))
+    labels = {"table": n("<table"), "diagram": n("<(?:svg|pre|code)"), "equation": n("<(?:math|sup|h2)")}
+    kinds = A.candidate_kinds(labels, rows=n("<tr"), images=n("<img"), forms=n("<form|<nav"), line_ops=n("<li"), stroke_ops=F.lit(0))
     return table(spark, sf_dir, "pages").select("page_id", F.array_join(kinds, ",").alias("kinds"))
 
 

@@ -97,7 +97,7 @@ def _nodes(spark, sf_dir):
 e AS (SELECT *, greatest(start_page, coalesce(least(nxt, 60), 60)) AS end_page, least(greatest(start_page, 10), 60) AS scope_start FROM p), c AS (SELECT book, parent AS node, count(*) AS n_children FROM p WHERE parent IS NOT NULL GROUP BY ALL)
 SELECT e.book, e.node, title, depth, parent, coalesce(n_children, 0) AS n_children, start_page, end_page, scope_start, greatest(scope_start, least(end_page, 60)) AS scope_end FROM e LEFT JOIN c ON c.book = e.book AND c.node = e.node""")
 def outline_segments(spark, sf_dir):
-    return L.segments(_nodes(spark, sf_dir), ["book"], first_page=F.lit(10), last_page=F.lit(60), max_depth=3)
+    return L.segments(_nodes(spark, sf_dir), ["book"], first_page=F.lit(10), last_page=F.lit(60))
 
 
 @query(f"""WITH n AS ({_NODES}), x AS (SELECT *, (start_page // 9)::INT AS p, 'view error click' AS t FROM n)

@@ -360,7 +360,7 @@ _NEXT = ", ".join(f"min(CASE WHEN depth <= {d} THEN event_id END) OVER w AS n{d}
 FROM (SELECT *, (event_id % 4)::INT AS depth FROM events) WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))""")
 def section_ends(spark, sf_dir):
     rows = _table(spark, sf_dir, "events").select("user_id", "event_id", (F.col("event_id") % 4).cast("int").alias("depth"))
-    return sequences.section_ends(rows, ["user_id"], ["event_id"], "depth", "event_id", 3).select("event_id", "depth", "next_place")
+    return sequences.section_ends(rows, ["user_id"], ["event_id"], "depth", "event_id").select("event_id", "depth", "next_place")
 
 
 @query("""SELECT user_id, event_id + 0.5::DOUBLE AS x, value + (nv - value) * (event_id + 0.5::DOUBLE - event_id) / (ni - event_id) AS y

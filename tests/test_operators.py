@@ -306,3 +306,25 @@ def test_contested_sources(spark):
     found = composition.contested_sources(spark.createDataFrame(claims, kind))
     assert values(found) == [("s", "p", 1, 9), ("s", "q", 9, 12), ("u", "p", None, None), ("u", "q", 3, 3)]
     assert values(composition.contested_sources(spark.createDataFrame([], kind))) == []
+
+
+def test_depths_have_no_bound(spark):
+    from docsieve.operators import layout, sequences
+
+    chain = [(1, i, i) for i in range(40)] + [(1, 40, 17), (1, 41, 0), (2, 1, None), (2, 2, 5), (2, 3, 5)]
+    rows = spark.createDataFrame(chain, "book int, node int, depth int").repartition(3)
+    up = {(r["book"], r["node"]): r["up"] for r in sequences.nearest_shallower(rows, ["book"], ["node"], "depth", "node", "up").collect()}
+    assert up == {(1, 0): None} | {(1, i): i - 1 for i in range(1, 40)} | {(1, 40): 16, (1, 41): None, (2, 1): None, (2, 2): None, (2, 3): None}
+    ends = {(r["book"], r["node"]): r["next_place"] for r in sequences.section_ends(rows, ["book"], ["node"], "depth", "node").collect()}
+    assert ends == {(1, 0): 41} | {(1, i): 41 if i < 17 else 40 for i in range(1, 40)} | {(1, 40): 41, (1, 41): None, (2, 1): None, (2, 2): 3, (2, 3): None}
+    text = "\n".join(".".join(["1"] * i) + f" Part {'x' * i}" for i in range(1, 13)) + "\n1.1.9.9 Lost way\n1.2 Next one\n1.2.1.1 No parent"
+    got = layout.heading_fallback(spark.createDataFrame([(1, 1, text)], "book int, page int, text string"), ["book"], "page", "text").orderBy("node").collect()
+    assert [r["parent"] for r in got] == [None, *range(11), 2, 0, None]
+
+
+def test_grids_hold_cells_not_spans(spark):
+    from docsieve.operators import packages
+
+    html = '<table><tr><td rowspan="100000000">a</td><td colspan="200000000">b</td></tr><tr><td>c</td></tr><tr><td rowspan=2>d</td><td>e</td></tr><tr><td>f</td></tr></table>'
+    rows = packages.html_grid(spark.createDataFrame([(1, html)], "k int, html string"), "k", "html").collect()
+    assert [(r["row"], r["col"], r["text"]) for r in rows] == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c"), (2, 1, "d"), (2, 2, "e"), (3, 2, "f")]
