@@ -90,13 +90,13 @@ def answer_issues(spark, sf_dir):
 
 
 @query("""SELECT c_custkey AS left_id, s_suppkey AS right_id, CASE WHEN c_custkey % 11 = 0 THEN 'unresolved' WHEN s_acctbal < 0 OR c_acctbal < -500 THEN 'rejected' WHEN c_nationkey <> s_nationkey OR c_mktsegment = 'BUILDING' THEN 'deferred' ELSE 'linked' END AS state,
-CASE WHEN c_custkey % 11 = 0 OR s_acctbal < 0 OR c_acctbal < -500 THEN '' ELSE concat_ws(',', CASE WHEN c_nationkey <> s_nationkey THEN 'nation_differs' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'segment_unknown' END) END AS reasons FROM customer JOIN supplier ON c_custkey % 10 = s_suppkey""")
+CASE WHEN c_custkey % 11 = 0 OR s_acctbal < 0 OR c_acctbal < -500 THEN '' ELSE concat_ws(',', CASE WHEN c_nationkey <> s_nationkey THEN 'nation_differs' END, CASE WHEN c_mktsegment = 'BUILDING' THEN 'segment_unknown' END) END AS reasons FROM customer JOIN supplier ON c_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) = s_suppkey""")
 def cross_links(spark, sf_dir):
     """Customers and suppliers as records of two packages, linked where nation and segment allow it."""
     c = table(spark, sf_dir, "customer").select(F.lit("c").alias("package"), F.col("c_custkey").alias("id"), F.sha2("c_name", 256).alias("sha"), F.lit("firm").alias("kind"), F.when(F.col("c_acctbal") < -500, "rejected").otherwise("ok").alias("review"), F.col("c_nationkey").alias("nation"), F.when(F.col("c_mktsegment") != "BUILDING", "any").alias("segment"))
     s = table(spark, sf_dir, "supplier").select(F.lit("s").alias("package"), F.col("s_suppkey").alias("id"), F.sha2("s_name", 256).alias("sha"), F.lit("firm").alias("kind"), F.when(F.col("s_acctbal") < 0, "rejected").otherwise("ok").alias("review"), F.col("s_nationkey").alias("nation"), F.lit("any").alias("segment"))
     left = c.select(F.col("package").alias("left_package"), F.col("id").alias("left_id"), F.when(F.col("id") % 11 == 0, "old").otherwise(F.col("sha")).alias("left_sha"))
-    pairs = left.join(s.select(F.col("package").alias("right_package"), F.col("id").alias("right_id"), F.col("sha").alias("right_sha")), F.col("left_id") % 10 == F.col("right_id"))
+    pairs = left.join(s.select(F.col("package").alias("right_package"), F.col("id").alias("right_id"), F.col("sha").alias("right_sha")), F.col("left_id") % F.lit(s.agg(F.max("id") + 1).first()[0] or 1) == F.col("right_id"))
     return K.cross_links(pairs, c.unionByName(s), ["nation", "segment"])
 
 

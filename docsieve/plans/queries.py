@@ -508,15 +508,15 @@ def shared_concepts(spark, sf_dir):
 
 
 def _concepts(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Every customer and the supplier whose number is its own modulo 100, each with a unit of money for its nation."""
+    """Every customer and the supplier whose number is its own modulo the suppliers' numbers, each with a unit of money for its nation."""
     unit = "array(struct(CASE nation % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'CENT' ELSE 'KG' END AS name, IF(nation % 3 = 2, 'mass', 'money') AS dimension, IF(nation % 3 = 1, 0.01D, 1D) AS scale)) AS units"
     side = lambda t, c: _table(spark, sf_dir, t).selectExpr(f"{c}_{'custkey' if c == 'c' else 'suppkey'} AS ref", f"{c}_nationkey AS nation", f"{c}_acctbal > 0 AS solvent").selectExpr("*", unit)
     left, right = side("customer", "c"), side("supplier", "s")
-    pairs = left.select(F.col("ref").alias("left_ref")).join(right.select(F.col("ref").alias("right_ref")), F.col("left_ref") % 100 == F.col("right_ref"))
+    pairs = left.select(F.col("ref").alias("left_ref")).join(right.select(F.col("ref").alias("right_ref")), F.col("left_ref") % F.lit(right.agg(F.max("ref") + 1).first()[0] or 1) == F.col("right_ref"))
     return pairs, left, right
 
 
-@query("""SELECT c_custkey AS left_ref, s_suppkey AS right_ref, kind, kind = 'applicability' AS conflict FROM customer JOIN supplier ON c_custkey % 100 = s_suppkey,
+@query("""SELECT c_custkey AS left_ref, s_suppkey AS right_ref, kind, kind = 'applicability' AS conflict FROM customer JOIN supplier ON c_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) = s_suppkey,
 (VALUES ('definition'), ('applicability')) k(kind) WHERE CASE kind WHEN 'definition' THEN c_nationkey <> s_nationkey ELSE (c_acctbal > 0) <> (s_acctbal > 0) END""")
 def concept_differences(spark, sf_dir):
     return alignment.differences(*_concepts(spark, sf_dir), {"definition": "nation", "applicability": "solvent"}).select("left_ref", "right_ref", "kind", "conflict")
@@ -527,7 +527,7 @@ _UNIT = "CASE {0}_nationkey % 3 WHEN 0 THEN 'EUR' WHEN 1 THEN 'CENT' ELSE 'KG' E
 
 @query(f"""SELECT left_ref, right_ref, left_unit, right_unit, CASE WHEN left_unit = right_unit THEN 'same' WHEN 'KG' IN (left_unit, right_unit) THEN 'dimension' ELSE 'unit' END AS kind,
 CASE WHEN left_unit = right_unit THEN 1.0::DOUBLE WHEN 'KG' IN (left_unit, right_unit) THEN NULL WHEN left_unit = 'CENT' THEN 0.01::DOUBLE ELSE 100.0::DOUBLE END AS factor
-FROM (SELECT c_custkey AS left_ref, s_suppkey AS right_ref, {_UNIT.format('c', 'left_unit')}, {_UNIT.format('s', 'right_unit')} FROM customer JOIN supplier ON c_custkey % 100 = s_suppkey)""")
+FROM (SELECT c_custkey AS left_ref, s_suppkey AS right_ref, {_UNIT.format('c', 'left_unit')}, {_UNIT.format('s', 'right_unit')} FROM customer JOIN supplier ON c_custkey % (SELECT max(s_suppkey) + 1 FROM supplier) = s_suppkey)""")
 def unit_maps(spark, sf_dir):
     return alignment.unit_maps(*_concepts(spark, sf_dir))
 
