@@ -205,7 +205,7 @@ def test_sql(spark, name):
     import duckdb
 
     db = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "labels"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     found = db.execute(queries.oracle_sql()[name])
     names = sorted(c[0] for c in found.description)

@@ -1,14 +1,11 @@
 """Packing, filter audit and fill-in-middle against plain versions, on odd rows and whole small tables."""
 
-import glob
 import hashlib
-import os
 import re
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
-import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -32,18 +29,6 @@ def texts(docs):
     return {r["doc_id"]: r["text"] or "" for r in docs.collect()}
 
 
-@pytest.mark.parametrize("name", ["op12_filter_audit", "op13_fill_in_middle"])
-def test_sql(spark, name):
-    db = duckdb.connect()
-    for path in glob.glob(f"{SF}/*.parquet"):
-        db.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM '{path}'")
-    found = db.execute(queries.oracle_sql()[name])
-    names = [c[0] for c in found.description]
-    got = queries.queries()[name](spark, SF)
-    assert sorted(names) == sorted(got.columns)
-    assert Counter(map(tuple, got.select(*names).collect())) == Counter(found.fetchall())
-
-
 # packing
 
 
