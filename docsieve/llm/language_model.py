@@ -16,10 +16,11 @@ so that rows never outnumber the entries.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import id_remainder, materialize, quoted, text_or_empty
@@ -29,6 +30,10 @@ from .common import id_remainder, materialize, quoted, text_or_empty
 FOLDS, DELETED = 10, 1
 #: Tokens of a block, and entries of a range of hashes, about.
 BLOCK, ENTRIES = 1_000_000, 1_000_000
+#: Bytes of a text that are taken apart at once.
+PIECE = 1 << 20
+#: Partitions that ranges and blocks are dealt to: at most this many, or two for each core of a larger cluster.
+MOST_PARTITIONS = 4096
 #: Tokens whose probabilities are worked out at once.
 SLICE = 1 << 17
 #: Buckets of context counts: bit lengths up to BUCKETS - 1.
@@ -37,12 +42,13 @@ BUCKETS = 16
 STEPS = 8
 #: The token that ends every document.
 END = b"\n"
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
 ADD = 0.1
 ROUNDS, ENOUGH = 200, 1e-7
 #: Kinds of entries.
 WORD, PAIR = 0, 1
 
-BLOCKS = "block long, role int, ids array<{}>, lengths array<int>, words array<long>, tokens array<int>"
+BLOCKS = "block long, role int, ids array<{}>, lengths array<int>, words array<long>, tokens array<int>, before array<int>, cuts array<long>"
 REQUESTS = "part long, block long, role int, keys array<long>, counts array<int>"
 ANSWERS = "part long, block long, role int, counts array<long>, deleted array<long>, n long, v long, n_deleted long"
 
@@ -75,41 +81,50 @@ def _array(lists, i: int = 0) -> np.ndarray:
 def blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """Rows of BLOCKS: documents of one role (0 never learned from, 1 held out for the weights, 2 others).
 
-    ``tokens`` numbers the block's distinct words, whose hashes are ``words``.
-    A document is never cut; ids keep their type.
+    ``tokens`` numbers the block's distinct words, whose hashes are ``words``;
+    ids keep their type. A document that is longer than what is left of a block
+    goes on in the next one: ``before`` has the context of each part's first
+    token (END at the start of a document), ``cuts`` a number that the parts of
+    one document share (null for a whole one).
     """
     remainder = id_remainder(id_col, FOLDS)
     role = F.when(remainder == 0, 0).when(remainder == DELETED, 1).otherwise(2).cast("int")
+    piece = min(PIECE, 4 * block)
 
     def build(batches) -> Iterator:
         import pyarrow as pa
         from pyspark import TaskContext
 
-        names = ["block", "role", "ids", "lengths", "words", "tokens"]
-        task, made, id_type = TaskContext.get().partitionId(), 0, None
-        held: dict[int, tuple] = {}
+        names = ["block", "role", "ids", "lengths", "words", "tokens", "before", "cuts"]
+        task, made, cut_ones, id_type = TaskContext.get().partitionId(), 0, 0, None
+        held: dict[int, _Held] = {}
 
         def flush(r):
             nonlocal made
-            ids, lengths, index, tokens, _ = held.pop(r)
+            part = held.pop(r)
             made += 1
-            cells = [pa.array([(task << 24) + made]), pa.array([r], pa.int32()), pa.array([ids], pa.list_(id_type)), _list(np.array(lengths), pa.int32())]
-            cells += [_list(_hash_words(list(index)).view(np.int64), pa.int64()), _list(np.concatenate(tokens), pa.int32())]
+            cells = [pa.array([(task << 24) + made]), pa.array([r], pa.int32()), pa.array([part.ids], pa.list_(id_type)), _list(np.array(part.lengths), pa.int32())]
+            cells += [_list(_hash_words(list(part.index)).view(np.int64), pa.int64()), _list(np.concatenate(part.tokens), pa.int32())]
+            cells += [_list(np.array(part.before), pa.int32()), pa.array([part.cuts], pa.list_(pa.int64()))]
             return pa.RecordBatch.from_arrays(cells, names=names)
 
         for batch in batches:
             id_type = batch.column(0).type
             for key, r, text in zip(batch.column(0), batch.column(1).to_pylist(), batch.column(2), strict=True):
-                if r not in held:
-                    held[r] = ([], [], {END: 0}, [], [0])
-                ids, lengths, index, tokens, n = held[r]
-                words = text.as_py().encode().lower().split()
-                words.append(END)
-                tokens.append(np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int32, count=len(words)))
-                ids.append(key.as_py())
-                lengths.append(len(words))
-                n[0] += len(words)
-                if n[0] >= block:
+                held.setdefault(r, _Held()).open(key.as_py(), END)
+                last = None
+                for words in _pieces(text.as_py().encode().lower(), piece):
+                    if last is not None and held[r].n >= block:  # more words come: they go on in a new block
+                        if held[r].cuts[-1] is None:
+                            cut_ones += 1
+                            held[r].cuts[-1] = (task << 32) + cut_ones
+                        number = held[r].cuts[-1]
+                        yield flush(r)
+                        held[r] = _Held()
+                        held[r].open(key.as_py(), last, number)
+                    held[r].add(words)
+                    last = words[-1]
+                if held[r].n >= block:
                     yield flush(r)
         for r in list(held):
             yield flush(r)
@@ -118,12 +133,42 @@ def blocks(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", b
     return docs.select(quoted(id_col), role, text_or_empty(text_col)).mapInArrow(build, BLOCKS.format(id_type))
 
 
-def _pairs(tokens: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct pairs of a block: hashes (sorted), the place of each token's pair among them, and their counts.
+def _pieces(text: bytes, size: int) -> Iterator[list[bytes]]:
+    """The words of a text, then END, in lists of the words of about ``size`` bytes each; no list is empty."""
+    at = 0
+    while at < len(text):
+        gap = SPACE.search(text, at + size)
+        stop = gap.start() if gap else len(text)
+        words = text[at:stop].split()
+        if words:
+            yield words
+        at = stop
+    yield [END]
 
-    A document's first token follows the end of another, so END is its context.
-    """
-    code, place, counts = np.unique(_before(tokens, lengths).astype(np.int64) * len(words) + tokens, return_inverse=True, return_counts=True)
+
+class _Held:
+    """What a block has so far."""
+
+    def __init__(self):
+        self.ids, self.lengths, self.index, self.tokens, self.before, self.cuts, self.n = [], [], {END: 0}, [], [], [], 0
+
+    def open(self, key, context: bytes, number: int | None = None):
+        """The next document, or the rest of one that was cut."""
+        self.ids.append(key)
+        self.lengths.append(0)
+        self.before.append(self.index.setdefault(context, len(self.index)))
+        self.cuts.append(number)
+
+    def add(self, words: list[bytes]):
+        index = self.index
+        self.tokens.append(np.fromiter((index.setdefault(w, len(index)) for w in words), dtype=np.int32, count=len(words)))
+        self.lengths[-1] += len(words)
+        self.n += len(words)
+
+
+def _pairs(tokens: np.ndarray, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct pairs of a block: hashes (sorted), the place of each token's pair among them, and their counts."""
+    code, place, counts = np.unique(contexts.astype(np.int64) * len(words) + tokens, return_inverse=True, return_counts=True)
     keys = _hash_pairs(words[code // len(words)], words[code % len(words)])
     order = np.argsort(keys)
     rank = np.empty_like(order)
@@ -131,18 +176,16 @@ def _pairs(tokens: np.ndarray, lengths: np.ndarray, words: np.ndarray) -> tuple[
     return keys[order], rank[place], counts[order]
 
 
-def _before(tokens: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """The context of each token; END is that of a document's first."""
-    before = np.empty_like(tokens)
-    before[1:] = tokens[:-1]
-    before[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = 0
-    return before
-
+def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths, words, tokens and the context of each token of the only row of a table of BLOCKS.
 
-def _read(row) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Lengths, words and tokens of the only row of a table of BLOCKS."""
-    lengths, words, tokens = (_array(row[c]) for c in ("lengths", "words", "tokens"))
-    return lengths, words.view(np.uint64), tokens
+    A document's first token follows the end of another, so END is its context.
+    """
+    lengths, words, tokens, before = (_array(row[c]) for c in ("lengths", "words", "tokens", "before"))
+    contexts = np.empty_like(tokens)
+    contexts[1:] = tokens[:-1]
+    contexts[np.concatenate([[0], np.cumsum(lengths)[:-1]])] = before
+    return lengths, words.view(np.uint64), tokens, contexts
 
 
 def _ranges(keys: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,10 +207,10 @@ def requests(made: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for i in range(batch.num_rows):
                 row = batch.slice(i, 1)
-                lengths, words, tokens = _read(row)
+                _, words, tokens, contexts = _read(row)
                 order = np.argsort(words)
                 single = (words[order], np.bincount(tokens, minlength=len(words))[order])
-                pair_keys, _, pair_counts = _pairs(tokens, lengths, words)
+                pair_keys, _, pair_counts = _pairs(tokens, contexts, words)
                 for kind, (keys, counts) in ((WORD, single), (PAIR, (pair_keys, pair_counts))):
                     own, at = _ranges(keys, bits)
                     ends = pa.array(at, pa.int32())
@@ -207,20 +250,20 @@ def answers(asked: DataFrame, ranges: int) -> DataFrame:
         sums = {"part": [part], "n": [int(total.sum())], "v": [int((total > 0).sum())], "n_deleted": [int(deleted.sum())]}
         return pa.concat_tables([answer, pa.table(sums)], promote_options="default")
 
-    return asked.repartition(2 * ranges, "part").groupBy("part").applyInArrow(add, ANSWERS)
+    return asked.repartition(partitions(asked.sparkSession, 2 * ranges), "part").groupBy("part").applyInArrow(add, ANSWERS)
 
 
 def _counts(row, got, which: str) -> list[np.ndarray]:
     """Counts per token of a block: of the token, of its context, of the pair. ``which``: counts or deleted."""
-    lengths, words, tokens = _read(row)
+    _, words, tokens, contexts = _read(row)
     parts, lists = got["part"].to_numpy(), got[which]
     order = np.argsort(words)
     # a block's rows in the order of their ranges have its keys in ascending order
     word, pair = (np.concatenate([_array(lists, i) for i in sorted(np.flatnonzero(parts % 2 == kind).tolist(), key=parts.__getitem__)]) for kind in (WORD, PAIR))
     of_word = np.empty(len(words), dtype=np.int64)
     of_word[order] = word
-    _, place, _ = _pairs(tokens, lengths, words)
-    return [of_word[tokens], of_word[_before(tokens, lengths)], pair[place]]
+    _, place, _ = _pairs(tokens, contexts, words)
+    return [of_word[tokens], of_word[contexts], pair[place]]
 
 
 def _bucket(context: np.ndarray) -> np.ndarray:
@@ -268,13 +311,19 @@ def em(cells: list[tuple[int, int, int, int]], v: int) -> np.ndarray:
     return np.stack([fit(table[:, 0] == b, overall) if (table[:, 0] == b).any() else overall for b in range(BUCKETS)])
 
 
+def partitions(spark: SparkSession, wanted: int) -> int:
+    """``wanted`` partitions, as far as a cluster of this size can keep track of them; a partition then has several ranges or blocks, one after the other."""
+    return min(wanted, max(MOST_PARTITIONS, 2 * spark.sparkContext.defaultParallelism))
+
+
 def _together(made: DataFrame, answered: DataFrame, n_blocks: int, work, schema: str) -> DataFrame:
     """``work(row of a block, its answers)`` for each block, as Arrow tables; so is its result."""
 
     def both(left, right):
         return work(left.combine_chunks(), right.combine_chunks())
 
-    left, right = made.repartition(n_blocks, "block"), answered.filter("block IS NOT NULL").repartition(n_blocks, "block")
+    n = partitions(made.sparkSession, n_blocks)
+    left, right = made.repartition(n, "block"), answered.filter("block IS NOT NULL").repartition(n, "block")
     return left.groupBy("block").cogroup(right.groupBy("block")).applyInArrow(both, schema)
 
 
@@ -288,13 +337,15 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
     keep their type; repeated rows count each by itself; other columns, whatever
     their names, are not looked at; without any training document all counts
     are 0 and the uniform estimate is what is left; an empty table gives an
-    empty result. Counts are kept by 64-bit hashes of words and pairs.
+    empty result. Counts are kept by 64-bit hashes of words and pairs. A text of
+    any length is taken apart piece by piece and may lie in many blocks.
     """
     import pyarrow as pa
 
     id_type = docs.schema[id_col].dataType.simpleString()
     made = materialize(blocks(docs, id_col=id_col, text_col=text_col, block=block), "lm-blocks")
-    tokens, n_blocks = made.agg(F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)), F.count("*")).first()
+    long_ones = F.exists("cuts", lambda x: x.isNotNull())
+    tokens, n_blocks, has_cuts = made.agg(F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)), F.count("*"), F.coalesce(F.bool_or(long_ones), F.lit(False))).first()
     bits = max(0, int(tokens // entries).bit_length())
     n_blocks = max(1, n_blocks)
 
@@ -316,7 +367,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
     weights = em([tuple(r) for r in counted.groupBy("bucket", "p2", "p1").agg(F.sum("n").alias("n")).orderBy("bucket", "p2", "p1").collect()], v)
 
     def scores(row, got):
-        lengths, _, _ = _read(row)
+        lengths = _array(row["lengths"])
         every = _counts(row, got, "counts")
         base, mixed, known = np.empty(len(every[0])), np.empty(len(every[0])), np.empty(len(every[0]), dtype=np.int64)
         for i in range(0, len(base), SLICE):
@@ -329,8 +380,13 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
             known[part] = c > 0
         at = np.concatenate([[0], np.cumsum(lengths)[:-1]])
         sums = [pa.array(np.add.reduceat(x, at)) for x in (known, base, mixed)]
-        ids = row["ids"].chunk(0).flatten()
-        return pa.table([ids, pa.array([row["role"][0].as_py() == 0] * len(ids)), pa.array(lengths.astype(np.int64)), *sums], names=["doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"])
-
-    out = _together(made, answered, n_blocks, scores, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+        ids, cuts = (row[c].chunk(0).flatten() for c in ("ids", "cuts"))
+        return pa.table([ids, pa.array([row["role"][0].as_py() == 0] * len(ids)), pa.array(lengths.astype(np.int64)), *sums, cuts], names=["doc_id", "held_out", *added, "cut"])
+
+    added = ["n_tokens", "n_known", "base_score", "score"]
+    out = _together(made, answered, n_blocks, scores, f"doc_id {id_type}, held_out boolean, n_tokens long, n_known long, base_score double, score double, cut long")
+    if has_cuts:  # parts of one document add up
+        out = materialize(out, "lm-scores")
+        parts = out.filter("cut IS NOT NULL").groupBy("cut").agg(F.first("doc_id").alias("doc_id"), F.first("held_out").alias("held_out"), *(F.sum(c).alias(c) for c in added))
+        out = out.filter("cut IS NULL").unionByName(parts)
     return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")

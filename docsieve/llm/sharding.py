@@ -8,7 +8,7 @@ records, which is cut into shards whose row counts differ by at most one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import fresh, materialize, quoted, shared_dir, text_or_empty, with_fields
@@ -26,6 +26,28 @@ RUN_BITS = 10
 BUCKET_BYTES = 16 << 20
 
 
+def row_values(docs: DataFrame) -> list[Column]:
+    """The columns of ``docs`` as values that can be hashed: maps as JSON."""
+    return [F.to_json(F.struct(quoted(f.name))) if "map<" in f.dataType.simpleString() else quoted(f.name) for f in docs.schema]
+
+
+def counted(rows: DataFrame, values: list[Column], h: str, piece_bytes: int, size: Column) -> DataFrame:
+    """``rows`` with a hash ``h`` of their own for each of equal rows.
+
+    Equal rows are counted, partly before the shuffle; one of them stands for
+    all, and is repeated number by number in pieces of about ``piece_bytes``, so
+    that no task holds or makes all copies. Which of them gets which number is
+    no matter. Equal are rows whose two 64-bit hashes are.
+    """
+    again, n, first, piece, number, one = fresh(rows, "again", "n", "first", "piece", "number", "one")
+    groups = rows.withColumn(again, F.xxhash64(F.lit("again"), *values)).groupBy(h, again).agg(F.count("*").alias(n), F.first(F.struct(*(quoted(c) for c in rows.columns if c != h))).alias(one), F.first(size).alias(piece))
+    # copies a piece; a piece's row is repeated only after it has moved to a task of its own
+    groups = groups.withColumn(piece, F.greatest(F.lit(1), F.lit(piece_bytes).cast("long") / F.col(piece)).cast("long"))
+    pieces = groups.withColumn(first, F.explode(F.expr(f"sequence(0L, `{n}` - 1, `{piece}`)"))).repartition(h, first)
+    copies = pieces.withColumn(number, F.explode(F.expr(f"sequence(`{first}`, least(`{first}` + `{piece}`, `{n}`) - 1)")))
+    return copies.select(*(quoted(one)[c].alias(c) if c != h else F.when(quoted(number) == 0, quoted(h)).otherwise(F.xxhash64(h, again, number)).alias(h) for c in rows.columns))
+
+
 def shuffle_to_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_id", text_col: str = "text", seed: int = SEED, bucket_bytes: int = BUCKET_BYTES, cells: int = CELLS, path: str | None = None) -> DataFrame:
     """Write ``docs`` as ``n_shards`` shuffled shards and return them as read back.
 
@@ -36,16 +58,26 @@ def shuffle_to_shards(docs: DataFrame, n_shards: int = 8, *, id_col: str = "doc_
 
     Null ids and texts hash like other values. Copies with ids of their own
     scatter over all buckets, whatever their number, and so do rows that differ
-    in any other column (but maps); only rows equal in all of them share a
-    bucket and are interchangeable. A bucket always holds whole records, however
-    long. An empty table gives an empty result.
+    in any other column. Rows equal in all of them are interchangeable: where
+    they are more than a bucket should hold, their count is split and each number
+    scatters by itself. A bucket always holds whole records, however long. An
+    empty table gives an empty result.
     """
     spark = docs.sparkSession
     cell, h, bucket, start, total, shard, slot = fresh(docs, "cell", "hash", "bucket", "start", "total", "shard", "slot")
-    rest = [quoted(f.name) for f in docs.schema if f.name not in (id_col, text_col) and "map<" not in f.dataType.simpleString()]
-    hashed = docs.withColumn(h, F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col), *rest)).withColumn(cell, F.pmod(quoted(h), F.lit(cells)).cast("int"))
+    every = row_values(docs)
+    hashed = docs.withColumn(h, F.xxhash64(F.lit(seed), quoted(id_col), quoted(text_col), *every)).withColumn(cell, F.pmod(quoted(h), F.lit(cells)).cast("int"))
+
+    def per_cell_of(rows: DataFrame) -> DataFrame:
+        return materialize(rows.groupBy(cell).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_or_empty(text_col)) + 64).alias("bytes")), "cells")
 
-    per_cell = materialize(hashed.groupBy(cell).agg(F.count("*").alias("n"), F.sum(F.octet_length(text_or_empty(text_col)) + 64).alias("bytes")), "cells")
+    per_cell = per_cell_of(hashed)
+    full = per_cell.filter((F.col("bytes") > bucket_bytes) & (F.col("n") > 1)).select(cell)
+    if not full.isEmpty():
+        hot = counted(hashed.join(full, cell, "left_semi").drop(cell), every, h, bucket_bytes, F.octet_length(text_or_empty(text_col)) + 64)
+        spread = hot.withColumn(cell, F.pmod(quoted(h), F.lit(cells)).cast("int"))
+        hashed = hashed.join(full, cell, "left_anti").unionByName(spread)
+        per_cell = per_cell_of(hashed)
     wanted = (per_cell.agg(F.sum("bytes")).first()[0] or 0) // bucket_bytes
     if cells < wanted:
         return shuffle_to_shards(docs, n_shards, id_col=id_col, text_col=text_col, seed=seed, bucket_bytes=bucket_bytes, cells=1 << int(wanted).bit_length(), path=path)

@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsieve.llm import audio, bpe, language_model, mixing, quality_rules, queries, sharding, simhash, warc
+from docsieve.llm.common import materialize as sharding_materialize
 from docsieve.llm.common import word_count
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -47,6 +48,21 @@ def test_more_bytes_get_more_cells(odd):
     assert rows_of(few, "doc_id", "text") == rows_of(odd, "doc_id", "text")
 
 
+def test_equal_rows_are_split_by_their_count(spark, monkeypatch):
+    """A third of all rows are equal: no bucket holds more than its share."""
+    same = F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id"))
+    rows = spark.range(6_000).select(same.alias("doc_id"), F.concat(F.lit("some words of text "), same).alias("text"), F.create_map(F.lit("k"), same % 2).alias("m"))
+    seen = []
+    monkeypatch.setattr(sharding, "materialize", lambda df, name: seen.append(sharding_materialize(df, name)) or seen[-1])
+    out = sharding.shuffle_to_shards(rows, 4, bucket_bytes=8_000)
+    assert seen[0].agg(F.max("n")).first()[0] >= 2_000 and seen[-1].agg(F.max("n")).first()[0] < 20
+    values = lambda df: Counter((r["doc_id"], r["text"], r["m"]["k"]) for r in df.collect())
+    assert values(out) == values(rows)
+    assert [r[1:] for r in out.groupBy("shard").agg(F.count("*"), F.max("slot"), F.count_distinct("slot")).collect()] == [(1_500, 1_499, 1_500)] * 4
+    again = sharding.shuffle_to_shards(rows.repartition(5), 4, bucket_bytes=8_000)
+    assert rows_of(out, "doc_id", "shard", "slot") == rows_of(again, "doc_id", "shard", "slot")
+
+
 # audio
 
 
@@ -523,6 +539,29 @@ def test_base_scores_and_counts(odd, docs, nothing):
     assert language_model.score(nothing).count() == 0
 
 
+def test_documents_go_on_in_the_next_block(spark, docs, odd):
+    """Blocks smaller than a document, and of few tokens, change no score."""
+    for table, block in ((docs.filter("doc_id < 60"), 40), (odd.filter("length(text) < 10000 OR text IS NULL").select("doc_id", "text"), 2)):
+        made = language_model.blocks(table, block=block)
+        assert made.agg(F.max(F.size("tokens"))).first()[0] < 20 * block and made.filter(F.exists("cuts", lambda x: x.isNotNull())).count() > 1
+        number = lambda r: (r["doc_id"] is None, r["doc_id"], r["n_tokens"], r["n_known"], round(r["base_score"], 6), round(r["score"], 6))
+        got, whole = (Counter(map(number, language_model.score(table, block=b, entries=50).collect())) for b in (block, language_model.BLOCK))
+        assert got == whole
+
+
+def test_partitions_are_bounded_by_the_cluster(spark):
+    cores = spark.sparkContext.defaultParallelism
+    assert language_model.partitions(spark, 256) == 256
+    assert language_model.partitions(spark, 10**7) == max(4096, 2 * cores)
+
+
+def test_many_ranges_share_partitions(docs, monkeypatch):
+    wide = {r["doc_id"]: r["score"] for r in language_model.score(docs, block=2_000, entries=200).collect()}
+    monkeypatch.setattr(language_model, "partitions", lambda spark, wanted: min(wanted, 3))
+    narrow = {r["doc_id"]: r["score"] for r in language_model.score(docs, block=2_000, entries=200).collect()}
+    assert wide.keys() == narrow.keys() and all(math.isclose(narrow[k], v, rel_tol=1e-9) for k, v in wide.items())
+
+
 def test_weights_follow_the_likelihood():
     cells = [(3, 4, 30, 900), (3, -1, 20, 100), (5, -1, 16, 50)]
     w = language_model.em(cells, 1_000)
