@@ -9,24 +9,34 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` as a written table in the shared folder ``spark.checkpoint.dir``, read again: one pass, and files that outlive executors.
+#: The temporary folder of a session in one process that names no shared one.
+_own: list[str] = []
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder ``spark.checkpoint.dir`` that driver and executors share.
 
     Where that is unset, a session in one process (tests) gets a temporary
     folder; a cluster, whose machines would not share it, gets an error.
     """
-    spark = df.sparkSession
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        folder = tempfile.mkdtemp(prefix="docsieve-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    path = f"{folder.rstrip('/')}/cut-{uuid.uuid4().hex}"
+        if not _own:
+            _own.append(tempfile.mkdtemp(prefix="docsieve-"))
+        folder = _own[0]
+    return folder.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` as a written table in the shared folder, read again: one pass, and files that outlive executors."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

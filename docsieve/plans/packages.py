@@ -212,8 +212,8 @@ def outline_resolutions(spark, sf_dir):
 @query("SELECT 'nation' AS entity, count(*) AS n_rows, 'verified' AS state FROM nation UNION ALL SELECT 'supplier', count(*), 'verified' FROM supplier UNION ALL SELECT 'part', count(*), 'changed' FROM part WHERE p_size <> 3")
 def sealed_tables(spark, sf_dir):
     """Three tables written with a lock on their contents; one is written again without some rows, which the lock shows."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or graph.cut(spark.range(1)).sparkSession.sparkContext.getCheckpointDir()
-    path = f"{base.rstrip('/')}/sealed-{uuid.uuid4().hex}"
+    base = graph.shared_folder(spark)
+    path = f"{base}/sealed-{uuid.uuid4().hex}"
     tables = {t: table(spark, sf_dir, t) for t in ("nation", "supplier", "part")}
     K.sealed(tables, path)
     tables["part"].filter("p_size <> 3").write.mode("overwrite").parquet(f"{path}/part")

@@ -328,3 +328,30 @@ def test_grids_hold_cells_not_spans(spark):
     html = '<table><tr><td rowspan="100000000">a</td><td colspan="200000000">b</td></tr><tr><td>c</td></tr><tr><td rowspan=2>d</td><td>e</td></tr><tr><td>f</td></tr></table>'
     rows = packages.html_grid(spark.createDataFrame([(1, html)], "k int, html string"), "k", "html").collect()
     assert [(r["row"], r["col"], r["text"]) for r in rows] == [(0, 0, "a"), (0, 1, "b"), (1, 1, "c"), (2, 1, "d"), (2, 2, "e"), (3, 2, "f")]
+
+
+def test_boxes_of_all_sizes_meet(spark):
+    """A page-sized box meets all boxes once; small ones meet their neighbours alone."""
+    import random
+
+    from docsieve.operators import matching
+    from pyspark.sql import functions as F
+
+    r = random.Random(5)
+    side = lambda: r.choice([0.0, 0.5, 3.0, 4.0, 20.0, 130.0])
+    rows = []
+    for i in range(150):
+        x, y = r.uniform(-50, 550), r.uniform(-50, 750)
+        rows.append((i % 2, i, x, y, x + side(), y + side()))
+    rows += [(0, 900, 0.0, 0.0, 600.0, 800.0), (0, 901, 0.0, 0.0, 600.0, 800.0), (1, 902, 8.0, 8.0, 4.0, 9.0)]
+    boxes = spark.createDataFrame(rows, "page int, id long, x0 double, y0 double, x1 double, y1 double")
+    meets = lambda a, b: a[0] == b[0] and all(x[2] <= x[4] for x in (a, b)) and a[2] < b[4] and b[2] < a[4] and a[3] < b[5] and b[3] < a[5]
+    expected = sorted((a[1], b[1]) for a in rows for b in rows if meets(a, b))
+    assert sorted(tuple(x) for x in matching.meeting(boxes, boxes, ["page"]).select("a.id", "b.id").collect()) == expected and len(expected) > 300
+    few = boxes.filter("id % 3 = 0")
+    assert sorted(tuple(x) for x in matching.meeting(few, boxes, ["page"]).select("a.id", "b.id").collect()) == [p for p in expected if p[0] % 3 == 0]
+
+    grid = spark.range(4_000).select(F.lit(1).alias("page"), "id", *(v.cast("double").alias(n) for n, v in (("x0", F.col("id") % 50 * 10), ("y0", F.floor(F.col("id") / 50) * 10), ("x1", F.col("id") % 50 * 10 + 9), ("y1", F.floor(F.col("id") / 50) * 10 + 9))))
+    whole = spark.createDataFrame([(1, 9_999, 0.0, 0.0, 500.0, 800.0)], grid.schema)
+    met = matching.meeting(grid.unionByName(whole), grid.unionByName(whole), ["page"])
+    assert met.count() == 3 * 4_000 + 1
