@@ -355,3 +355,21 @@ def test_boxes_of_all_sizes_meet(spark):
     whole = spark.createDataFrame([(1, 9_999, 0.0, 0.0, 500.0, 800.0)], grid.schema)
     met = matching.meeting(grid.unionByName(whole), grid.unionByName(whole), ["page"])
     assert met.count() == 3 * 4_000 + 1
+
+
+def test_metric_suite_of_few_items(spark):
+    """No bundle gives no row; repeated or missing items make a bundle invalid; ratios over nothing are null."""
+    from docsieve.operators import metrics
+
+    fields = "present boolean, box struct<x0:double,y0:double,x1:double,y1:double>, row_count int, column_count int, spans string, cells string, numbers array<string>, units array<string>, axes array<string>, ticks string, legend string, series string, values string"
+    costs = ", ".join(f"{c} long" for c in (*metrics.SUMMED, *metrics.LARGEST))
+    said = (False, None, None, None, None, None, None, None, None, None, None, None, None)
+    gold = spark.createDataFrame([("b", "calibration", i, "chart", *said) for i in "xy"], f"book string, split string, item string, kind string, {fields}")
+    row = lambda mode, item: ("b", "calibration", item, mode, *said, *range(8))
+    schema = f"book string, split string, item string, mode string, {fields}, {costs}"
+    assert metrics.evaluate(gold, spark.createDataFrame([], schema), ["book"]).count() == 0
+    out = metrics.evaluate(gold, spark.createDataFrame([row("off", "x"), row("off", "y"), row("auto", "x"), row("auto", "x"), row("full", "x")], schema), ["book"]).collect()
+    assert len(out) == 90 and {r["status"] for r in out if r["mode"] != "off"} == {"invalid"}
+    off = {r["metric"]: r["value"] for r in out if r["mode"] == "off"}
+    assert off["object_detection_f1"] is None and off["bbox_iou"] is None and off["chart_axis_candidate_recall"] is None and off["chart_tick_candidate_exactness"] is None
+    assert off["numeric_exactness"] == 1 and off["hallucinated_numeric_count"] == 0 and off["elapsed_ms"] == 0 and off["cold_start_ms"] == 4
