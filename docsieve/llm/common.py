@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -10,25 +9,20 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from docsieve.operators.graph import shared_folder
+
 
 #: Bytes of a column that a worker turns over before it hands rows on.
 SLICE = 2 << 20
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share.
+    """A fresh path in the folder ``spark.checkpoint.dir`` that driver and executors share.
 
-    The folder is the session's ``spark.checkpoint.dir``. Where that is unset, a
-    session in one process (tests) gets a temporary folder; a cluster, whose
-    machines would not share it, gets an error.
+    Where that is unset, a session in one process (tests) gets a temporary
+    folder; a cluster gets an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = tempfile.mkdtemp(prefix="docsieve-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
