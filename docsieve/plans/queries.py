@@ -11,7 +11,7 @@ from docsieve.functions import predicates as P
 from docsieve.functions import text as T
 from docsieve.functions import units as U
 from docsieve.operators import alignment, changes, composition, graph, matching, planning, retrieval, sequences
-from docsieve.plans import assessment, catalog, change_plan, layout, metrics, packages, provenance, runtime  # noqa: F401  (they register queries of their own)
+from docsieve.plans import assessment, catalog, change_plan, indexed, layout, metrics, packages, provenance, runtime  # noqa: F401  (they register queries of their own)
 from docsieve.plans.registry import ORACLES, QUERIES, TERMS, query  # noqa: F401
 from docsieve.plans.registry import table as _table
 from docsieve.plans import records as _records  # noqa: F401
