@@ -84,11 +84,13 @@ def _formed(entries: DataFrame, entry_id: str, terms: Column, attributes: Sequen
 def _write(rows: DataFrame, folder: str, buckets: int, attributes: Sequence[str]) -> str:
     """Writes a segment of (entry_id, terms, attributes, digest); its name.
 
+    Terms are made once and written, since entries and postings both read them.
     Postings are rebalanced by bucket: adaptive execution splits the bucket of a
     term that most entries have, and joins small ones.
     """
     spark, segment = rows.sparkSession, f"s{uuid.uuid4().hex}"
     entries = f"{folder}/entries/segment={segment}"
+    rows = graph.cut(rows)
     rows.select("entry_id", "digest", F.size("terms").alias("n_terms"), *attributes).write.parquet(entries)
     if not spark.read.parquet(entries).groupBy("entry_id").count().filter("count > 1").isEmpty():
         raise ValueError("an entry id is there more than once")
