@@ -25,14 +25,19 @@ def shared_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def materialize(df: DataFrame, name: str, compression: str = "snappy", group: int | None = None) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it again.
 
     This cuts the lineage with files that outlive any executor. The schema is
-    given to the reader, so an empty table stays readable.
+    given to the reader, so an empty table stays readable. ``group``: bytes at
+    which a row group ends, checked after each row; for rows of megabytes, of
+    which a writer or reader else holds all of a task at once.
     """
     path = shared_dir(df.sparkSession, name)
-    df.write.option("compression", compression).parquet(path)
+    write = df.write.option("compression", compression)
+    if group:
+        write = write.option("parquet.block.size", group).option("parquet.page.size.row.check.min", 1)
+    write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

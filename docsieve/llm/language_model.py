@@ -30,6 +30,8 @@ from .common import id_remainder, materialize, quoted, text_or_empty
 FOLDS, DELETED = 10, 1
 #: Tokens of a block, and entries of a range of hashes, about.
 BLOCK, ENTRIES = 1_000_000, 1_000_000
+#: Bytes at which a row group of stored blocks ends: about one block.
+GROUP = 4 << 20
 #: Bytes of a text that are taken apart at once.
 PIECE = 1 << 20
 #: Partitions that ranges and blocks are dealt to: at most this many, or two for each core of a larger cluster.
@@ -343,7 +345,7 @@ def score(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", bl
     import pyarrow as pa
 
     id_type = docs.schema[id_col].dataType.simpleString()
-    made = materialize(blocks(docs, id_col=id_col, text_col=text_col, block=block), "lm-blocks")
+    made = materialize(blocks(docs, id_col=id_col, text_col=text_col, block=block), "lm-blocks", group=GROUP)
     long_ones = F.exists("cuts", lambda x: x.isNotNull())
     tokens, n_blocks, has_cuts = made.agg(F.coalesce(F.sum(F.size("tokens").cast("long")), F.lit(0)), F.count("*"), F.coalesce(F.bool_or(long_ones), F.lit(False))).first()
     bits = max(0, int(tokens // entries).bit_length())

@@ -566,3 +566,17 @@ def test_weights_follow_the_likelihood():
     cells = [(3, 4, 30, 900), (3, -1, 20, 100), (5, -1, 16, 50)]
     w = language_model.em(cells, 1_000)
     assert np.allclose(w.sum(axis=1), 1) and w[3, 0] > 0.8 and w[5, 1] > w[5, 0]
+
+
+def test_lm_stored_blocks(docs, monkeypatch):
+    """A stored block is a row group of its own once it has the bytes, so that no reader holds all blocks of a file."""
+    import pyarrow.parquet as pq
+
+    stored = {}
+    monkeypatch.setattr(language_model, "materialize", lambda df, name, *a, **k: stored.setdefault(name, sharding_materialize(df, name, *a, **k)))
+    monkeypatch.setattr(language_model, "GROUP", 1_000, raising=False)
+    language_model.score(docs.coalesce(1), block=5_000)
+    (file,) = stored["lm-blocks"].inputFiles()
+    read = pq.ParquetFile(file.removeprefix("file://")).metadata
+    assert read.num_rows > 3
+    assert read.num_row_groups == read.num_rows
