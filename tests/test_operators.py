@@ -1,5 +1,6 @@
 """Operators on small hand-made tables."""
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -52,6 +53,19 @@ def test_verbatim_copies_in_other_scripts(spark):
     assert values(found, "output_id", "n_windows", "first_source") == [(1, 2, 1), (3, 4, 2), (5, 2, 3)]
 
 
+def test_verbatim_copies_query_takes_texts_as_they_are(spark, tmp_path):
+    words = " ".join(f"straße{chr(97 + i)}" for i in range(22))
+    wide, odd = "".join(chr(0xFF76 + i % 10) for i in range(30)), "".join(chr(0xE000 + i) for i in range(30))
+    spark.createDataFrame([(1, words), (2, wide), (3, odd), (4, None)], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    texts = [(1, words.replace("ß", "ss")), (2, words.replace("ß", "\u1e9e").upper()), (3, words.upper()), (4, wide), (5, odd), (6, words.replace("s", "\u0130")), (7, None)]
+    spark.createDataFrame(texts, "doc_id int, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    db = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        db.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    found = values(queries.verbatim_copies(spark, str(tmp_path)), "output_id", "n_windows", "first_source")
+    assert found == sorted(db.execute(queries.ORACLES["verbatim_copies"]).fetchall()) == [(2, 2, 1), (5, 7, 3)]
+
+
 def test_equal_query_texts_are_scored_once_and_all_answered(spark):
     asked = spark.createDataFrame([(i, "asia china") for i in range(50)] + [(99, "asia japan"), (100, "mars")], "q int, place string")
     entries = spark.createDataFrame([(1, "asia japan"), (2, "asia china"), (3, "asia china")], "e int, place string")
