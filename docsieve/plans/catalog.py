@@ -79,29 +79,33 @@ scored AS (SELECT query_id, entry_id, sum(points) AS score FROM (SELECT query_id
 
 
 def _catalog(spark, sf_dir):
-    """Prompts of suppliers, parts as objects of a catalog, and their scores."""
+    """Prompts of suppliers, and parts as objects of a catalog."""
     entries = table(spark, sf_dir, "part").selectExpr(
         "concat('obj-', p_partkey) AS entry_id", "p_name AS title", "p_type AS statement", "concat(p_brand, '_x ', p_size) AS formula", "array(p_brand, concat('size ', p_size)) AS assumptions",
         "concat(p_type, ' only') AS valid_when", "p_brand AS fails_when", "concat(p_name, ' use') AS applicability", "p_partkey", "p_brand", "p_size",
     )
     said = "concat('Which ', p_name, ' or ', p_type, ' of ', IF(s_suppkey % 3 = 0, concat('obj-', p_partkey), 'it'), IF(s_suppkey % 4 = 0, ' against Brand 3 and dispute', '')) AS prompt"
     asked = table(spark, sf_dir, "supplier").join(table(spark, sf_dir, "part"), F.expr("p_partkey = s_suppkey * 7 % 100")).selectExpr("s_suppkey AS query_id", said)
+    return asked, entries
+
+
+def _objects(entries):
+    """What a search in the objects of a catalog takes: their postings, ids and titles."""
     names = lambda c: entries.select("entry_id", F.col(c).alias("name"))
-    posted = retrieval.object_postings(entries, "entry_id", retrieval.OBJECT_WEIGHTS)
-    scored = retrieval.catalog_scores(asked, posted, ids=names("entry_id"), titles=names("title"), query_id="query_id", prompt="prompt")
-    return asked, entries, posted, scored
+    return {"posted": retrieval.object_postings(entries, "entry_id", retrieval.OBJECT_WEIGHTS), "ids": names("entry_id"), "titles": names("title")}
 
 
 @query(f"WITH {_POSTED} SELECT entry_id, term, weight::INT AS weight FROM posted")
 def object_terms(spark, sf_dir):
     """The terms of all seven fields of an object, each with its largest weight."""
-    return _catalog(spark, sf_dir)[2]
+    return _objects(_catalog(spark, sf_dir)[1])["posted"]
 
 
 @query(f"""WITH {_POSTED} SELECT query_id, entry_id, score::BIGINT AS score, place::INT AS place FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, entry_id) AS place
 FROM scored JOIN (SELECT query_id, max(score) AS best FROM scored GROUP BY 1) USING (query_id) WHERE score >= greatest(12, (best * 30 + 99) // 100)) WHERE place <= 8""")
 def object_query(spark, sf_dir):
-    return retrieval.top_hits(_catalog(spark, sf_dir)[3], 8)
+    asked, entries = _catalog(spark, sf_dir)
+    return retrieval.top_hits(retrieval.catalog_scores(asked, **_objects(entries), query_id="query_id", prompt="prompt"), 8)
 
 
 @query(f"""WITH {_POSTED}, c AS (SELECT 'con-' || p_partkey AS conflict_id, 'dispute against ' || p_brand || ' and brand' AS topic, 'obj-' || p_partkey AS claim FROM part WHERE p_size = 7),
@@ -109,18 +113,21 @@ ct AS (SELECT DISTINCT conflict_id, unnest({TERMS.format('topic')}) AS term FROM
 own AS (SELECT query_id, conflict_id FROM ct JOIN terms USING (term) GROUP BY ALL HAVING 12 * count(*) >= 48)
 SELECT query_id, conflict_id FROM own UNION SELECT query_id, conflict_id FROM scored JOIN c ON claim = entry_id WHERE score >= 80 UNION SELECT query_id, conflict_id FROM asked, c WHERE contains(lower(prompt), lower(claim))""")
 def catalog_conflicts(spark, sf_dir):
-    """Conflicts that a prompt brings up: by topic, by a strong claim or by a claim's id."""
-    asked, entries, _, scored = _catalog(spark, sf_dir)
+    """Conflicts that a prompt brings up: by topic, by a strong claim or by a claim's id. Equal prompts are looked at once, and only claims are scored."""
+    asked, entries = _catalog(spark, sf_dir)
+    asked, texts = retrieval.by_prompt(asked, "query_id", "prompt")
+    scored = retrieval.catalog_scores(texts, **_objects(entries.filter("p_size = 7")), query_id="query_id", prompt="prompt")
     disputed = entries.filter("p_size = 7").selectExpr("concat('con-', p_partkey) AS conflict_id", "concat('dispute against ', p_brand, ' and brand') AS topic", "entry_id AS claim_id")
     topics = retrieval.object_postings(disputed, "conflict_id", retrieval.CONFLICT_WEIGHTS)
-    own = retrieval.scores(asked, topics, query_id="query_id", prompt="prompt")
-    return retrieval.triggered(asked, scored, own, disputed.select("conflict_id", "claim_id"), query_id="query_id", prompt="prompt")
+    own = retrieval.scores(texts, topics, query_id="query_id", prompt="prompt")
+    found = retrieval.triggered(texts, scored, own, disputed.select("conflict_id", "claim_id"), query_id="query_id", prompt="prompt")
+    return retrieval.for_all(asked, found)
 
 
 @query(f"""WITH {_POSTED}, g AS (SELECT 'gap-' || p_partkey AS gap_id, p_name || ' ' || p_type || ' against brand' AS statement FROM part WHERE p_size = 11), gt AS (SELECT DISTINCT gap_id, unnest({TERMS.format('statement')}) AS term FROM g)
 SELECT query_id, gap_id, (10 * count(*))::BIGINT AS score FROM gt JOIN terms USING (term) GROUP BY ALL HAVING 10 * count(*) >= 30""")
 def catalog_gaps(spark, sf_dir):
-    asked, entries, _, _ = _catalog(spark, sf_dir)
+    asked, entries = _catalog(spark, sf_dir)
     gaps = entries.filter("p_size = 11").select(F.concat(F.lit("gap-"), "p_partkey").alias("gap_id"), F.concat_ws(" ", "title", F.col("statement"), F.lit("against brand")).alias("statement"))
     scored = retrieval.scores(asked, retrieval.object_postings(gaps, "gap_id", retrieval.GAP_WEIGHTS), query_id="query_id", prompt="prompt")
     return scored.filter(F.col("score") >= retrieval.GAP_SCORE).select("query_id", F.col("entry_id").alias("gap_id"), "score")
