@@ -105,7 +105,7 @@ def object_terms(spark, sf_dir):
 FROM scored JOIN (SELECT query_id, max(score) AS best FROM scored GROUP BY 1) USING (query_id) WHERE score >= greatest(12, (best * 30 + 99) // 100)) WHERE place <= 8""")
 def object_query(spark, sf_dir):
     asked, entries = _catalog(spark, sf_dir)
-    return retrieval.top_hits(retrieval.catalog_scores(asked, **_objects(entries), query_id="query_id", prompt="prompt"), 8)
+    return retrieval.catalog_hits(asked, **_objects(entries), query_id="query_id", prompt="prompt", limit=8)
 
 
 @query(f"""WITH {_POSTED}, c AS (SELECT 'con-' || p_partkey AS conflict_id, 'dispute against ' || p_brand || ' and brand' AS topic, 'obj-' || p_partkey AS claim FROM part WHERE p_size = 7),
