@@ -127,10 +127,12 @@ def catalog_conflicts(spark, sf_dir):
 @query(f"""WITH {_POSTED}, g AS (SELECT 'gap-' || p_partkey AS gap_id, p_name || ' ' || p_type || ' against brand' AS statement FROM part WHERE p_size = 11), gt AS (SELECT DISTINCT gap_id, unnest({TERMS.format('statement')}) AS term FROM g)
 SELECT query_id, gap_id, (10 * count(*))::BIGINT AS score FROM gt JOIN terms USING (term) GROUP BY ALL HAVING 10 * count(*) >= 30""")
 def catalog_gaps(spark, sf_dir):
+    """Gaps whose statement has three terms of a prompt or more. Equal prompts are looked at once."""
     asked, entries = _catalog(spark, sf_dir)
+    asked, texts = retrieval.by_prompt(asked, "query_id", "prompt")
     gaps = entries.filter("p_size = 11").select(F.concat(F.lit("gap-"), "p_partkey").alias("gap_id"), F.concat_ws(" ", "title", F.col("statement"), F.lit("against brand")).alias("statement"))
-    scored = retrieval.scores(asked, retrieval.object_postings(gaps, "gap_id", retrieval.GAP_WEIGHTS), query_id="query_id", prompt="prompt")
-    return scored.filter(F.col("score") >= retrieval.GAP_SCORE).select("query_id", F.col("entry_id").alias("gap_id"), "score")
+    scored = retrieval.scores(texts, retrieval.object_postings(gaps, "gap_id", retrieval.GAP_WEIGHTS), query_id="query_id", prompt="prompt")
+    return retrieval.for_all(asked, scored.filter(F.col("score") >= retrieval.GAP_SCORE).select("query_id", F.col("entry_id").alias("gap_id"), "score"))
 
 
 @query(f"""WITH e AS (SELECT c_custkey AS entry_id, replace(c_name, 'Customer#', 'C') AS title FROM customer), t AS (SELECT entry_id, unnest(list_distinct({TERMS.format('title')})) AS term FROM e),
