@@ -223,7 +223,7 @@ def roots(states: DataFrame, edges: DataFrame) -> DataFrame:
 def violations(states: DataFrame, found: DataFrame) -> DataFrame:
     """(node, code, detail, reason): what must stop a build: a source or receipt that is gone, an id that means something
     else now, another protocol, fewer reviewers, a capability that was denied, receipts that are asked for and missing."""
-    s = states.join(found.select("node", "reason"), "node", "left")
+    s = states.join(found.select("node", "reason").hint("merge"), "node", "left")
     text = F.lit("")
     same = lambda f: F.col(f"o.{f}").eqNullSafe(F.col(f"n.{f}"))
     both = F.col("o").isNotNull() & F.col("n").isNotNull()
@@ -267,7 +267,8 @@ def invalidations(states: DataFrame, found: DataFrame, old_edges: DataFrame, new
     gone = graph.downstream(old_edges, found.filter("change = 'removed'").select("node"))
     hit = now.select("node", "hops", F.lit(True).alias("now"), F.lit(False).alias("gone")).unionByName(gone.select("node", "hops", F.lit(False).alias("now"), F.lit(True).alias("gone")))
     hit = hit.groupBy("node").agg(F.min("hops").alias("hops"), F.bool_or("now").alias("now"), F.bool_or("gone").alias("gone"))
-    rows = hit.join(states.select("node", F.col("o.kind").alias("o"), F.col("n.kind").alias("n")), "node")
+    # all nodes: by the size of their files Spark would take them for small and send them through the driver
+    rows = hit.join(states.select("node", F.col("o.kind").alias("o"), F.col("n.kind").alias("n")).hint("merge"), "node")
     of = lambda there, kind: F.when(there, required_actions(F.coalesce(kind, F.lit("unknown")))).otherwise(F.array().cast("array<string>"))
     first = F.coalesce(F.when(F.col("now"), F.coalesce("n", "o")).otherwise(F.col("o")), F.lit("unknown"))
     asked = F.concat(of(F.col("now"), F.coalesce("n", "o")), of(F.col("gone"), F.col("o")))

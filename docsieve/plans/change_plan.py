@@ -80,7 +80,7 @@ def _graphs(spark, sf_dir):
         nodes(supplier, _id("s", "s_suppkey"), "support", protocol=F.when(s % 50 == 9, "q").otherwise("p"), reviewers=F.when(s % 50 == 8, 1).otherwise(2), execute=s % 50 == 7, **wanted),
     )
     placed = edges(supplier, _id("n", "s_nationkey"), _id("s", "s_suppkey"))
-    from_customers = lambda df: union(edges(df, _id("n", "c_nationkey"), _id("c", "c_custkey")), edges(df, _id("c", "c_custkey"), _id("k", "c_mktsegment")), edges(orders.join(df, orders["o_custkey"] == df["c_custkey"]), _id("c", "o_custkey"), _id("o", "o_orderkey")))
+    from_customers = lambda df: union(edges(df, _id("n", "c_nationkey"), _id("c", "c_custkey")), edges(df, _id("c", "c_custkey"), _id("k", "c_mktsegment")), edges(orders.join(df.hint("merge"), orders["o_custkey"] == df["c_custkey"]), _id("c", "o_custkey"), _id("o", "o_orderkey")))
     receipts = lambda when: edges(nation.filter(when), _id("x", "n_nationkey"), _id("n", "n_nationkey"))
     moved = nation.withColumn("n_regionkey", F.when(n == 3, (F.col("n_regionkey") + 1) % 5).otherwise(F.col("n_regionkey")))
     regions = lambda df: edges(df, _id("r", "n_regionkey"), _id("n", "n_nationkey"))

@@ -53,6 +53,16 @@ def test_ways_back_to_themselves_end(spark):
     assert {tuple(r) for r in graph.downstream(loop, frame(spark, [("a",)], "node string")).collect()} == {("a", 0), ("b", 1), ("c", 2)}
 
 
+def test_many_written_rows_ask_for_merge_joins(spark, monkeypatch):
+    pairs = [("a", "b"), ("b", "c"), ("c", "d"), ("x", "c")]
+    monkeypatch.setattr(graph, "MOST_SENT", 1)
+    plans, write = [], graph.cut
+    monkeypatch.setattr(graph, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df))
+    found = graph.downstream(edges_of(spark, pairs), frame(spark, [("a",), ("x",)], "node string"))
+    assert {tuple(r) for r in found.collect()} == {("a", 0), ("x", 0), ("b", 1), ("c", 1), ("d", 2)}
+    assert plans[2].count("SortMergeJoin") == 2 and "Broadcast" not in plans[2]
+
+
 # change plans
 
 NODE = "node string, kind string, content string, identity string, evidence string, protocol string, inputs string, reviewers int, capabilities map<string,boolean>, tag string, required_receipts array<string>, receipts array<string>"
@@ -68,6 +78,23 @@ def graphs(spark, old, new, old_pairs, new_pairs):
     return frame(spark, old, NODE), frame(spark, new, NODE), edge(old_pairs), edge(new_pairs)
 
 
+def test_states_of_all_nodes_are_not_broadcast(spark):
+    """Their files are far smaller than their rows, so that Spark would take them for small."""
+    states, found = (graph.cut(df) for df in plan_tables(spark))
+    links = edges_of(spark, [("a", "b")]).withColumn("edge", F.lit("e"))
+    joined = C.invalidations(states, found, links, links), C.violations(states, found)
+    for df, nodes in zip(joined, ({"a", "b"}, {"a"}), strict=True):
+        assert {r["node"] for r in df.collect()} == nodes
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def plan_tables(spark):
+    plain = lambda node, protocol: (node, "page", "x", "x", "x", protocol, "x", 1, {}, "", [], [])
+    states = C.node_states(frame(spark, [plain("a", "p"), plain("b", "p"), plain("c", "p")], NODE), frame(spark, [plain("a", "q"), plain("b", "p"), plain("c", "p")], NODE))
+    none = edges_of(spark, []).withColumn("edge", F.lit("e"))
+    return states, C.roots(states, C.edge_changes(none, none))
+
+
 def test_edges_alone_invalidate_both_ends(spark):
     same = [node(n) for n in "abcd"]
     t = C.compare(*graphs(spark, same, same, [("a", "b"), ("b", "c")], [("a", "b"), ("d", "c")]))
